@@ -19,6 +19,7 @@ side when its measured size is small and splits skewed partitions.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +99,8 @@ def validate_and_fix(labeled: DataFrame, group_cols: list[str], id_col: str, pro
     the output (they get no label); train rows pass unchanged."""
     if vocab_col not in labeled.columns:
         labeled = with_vocab(labeled, program_col, vocab_col)
+    # samples are bounded by the requested sizes; keep them for the branches below
+    labeled = labeled.persist(StorageLevel.MEMORY_AND_DISK)
     train = labeled.where(F.col(label_col) == train_label)
     dev = labeled.where(F.col(label_col) == eval_label)
     kept = drop_uncovered(dev, vocab_table(train, group_cols, vocab_col), group_cols, group_cols,

@@ -14,6 +14,7 @@ from ..operators import splits as S
 from ..operators.sampling import spread
 from ..operators.templating import exclude_eval_templates, with_abstract_template
 from . import sqlgen as Q
+from ..session import materialize
 from .fixtures import eval_program_filter, programs, table
 
 QUERIES: dict = {}
@@ -36,7 +37,7 @@ def templated_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programs minus rows whose abstract template is held out (CLI
     ``--create_training_pool``)."""
-    t = templated_programs(spark, sf_dir)
+    t = materialize(templated_programs(spark, sf_dir))
     evalt = t.where(eval_program_filter()).select("abstract_template").distinct()
     return exclude_eval_templates(t, evalt)
 
@@ -122,3 +123,242 @@ def q_uat_cli(spark, sf_dir):
     pool = training_pool(spark, sf_dir)
     return S.uat_splits(pool, "example_id", "abstract_template", "query", [-1], [20],
                         replicates=5, dev_share=0.20)
+
+
+# ---------------------------------------------------------------------------
+# 2.3 / 2.4 / 2.7 template-level relational operators
+# ---------------------------------------------------------------------------
+from ..functions.templates import MUST_TRAIN_TEMPLATES  # noqa: E402
+from ..operators import templating as TP  # noqa: E402
+from ..operators.sampling import template_counts  # noqa: E402
+
+POOL_CTES = (Q.TEMPLATED, Q.EVAL_TEMPLATES, Q.POOL)
+MUST_TRAIN_SQL = "must(abstract_template) AS (VALUES " + ", ".join(f"({Q.sql_str(t)})" for t in MUST_TRAIN_TEMPLATES) + ")"
+
+
+@register("template_freq", Q.with_programs(*POOL_CTES) +
+          " SELECT abstract_template, count(*) AS cnt, count(*) / sum(count(*)) OVER () AS freq "
+          "FROM pool GROUP BY abstract_template")
+def q_template_freq(spark, sf_dir):
+    return template_counts(training_pool(spark, sf_dir), "abstract_template")
+
+
+@register("attach_template_freq", Q.with_programs(*POOL_CTES,
+          "f AS (SELECT abstract_template, count(*) / sum(count(*)) OVER () AS freq FROM pool GROUP BY 1)") +
+          " SELECT p.example_id, f.freq FROM pool p LEFT JOIN f USING (abstract_template)")
+def q_attach_freq(spark, sf_dir):
+    return TP.attach_template_freq(training_pool(spark, sf_dir), "abstract_template").select("example_id", "freq")
+
+
+SKEW_ALPHAS = [-1.0, -0.5, 0.0]
+
+
+@register("skew_weight", Q.with_programs(*POOL_CTES,
+          "f AS (SELECT abstract_template, count(*) / sum(count(*)) OVER () AS freq FROM pool GROUP BY 1)",
+          "a(alpha) AS (VALUES " + ", ".join(f"({a!r})" for a in SKEW_ALPHAS) + ")") +
+          " SELECT f.abstract_template, a.alpha, pow(f.freq, a.alpha) AS weight FROM f, a")
+def q_skew_weight(spark, sf_dir):
+    f = template_counts(training_pool(spark, sf_dir), "abstract_template")
+    f = f.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in SKEW_ALPHAS])))
+    return f.select("abstract_template", "alpha", F.pow(F.col("freq"), F.col("alpha")).alias("weight"))
+
+
+@register("examples_per_template", Q.with_programs(*POOL_CTES) +
+          " SELECT abstract_template, count(query) AS examples FROM pool GROUP BY abstract_template")
+def q_examples_per_template(spark, sf_dir):
+    return TP.examples_per_template(training_pool(spark, sf_dir), "abstract_template")
+
+
+@register("distinct_templates", Q.with_programs(*POOL_CTES) + " SELECT DISTINCT abstract_template FROM pool")
+def q_distinct_templates(spark, sf_dir):
+    return TP.distinct_templates(training_pool(spark, sf_dir), "abstract_template")
+
+
+@register("template_difference", Q.with_programs(*POOL_CTES, MUST_TRAIN_SQL) +
+          " SELECT DISTINCT abstract_template FROM pool EXCEPT SELECT abstract_template FROM must")
+def q_template_difference(spark, sf_dir):
+    must = spark.createDataFrame([(t,) for t in MUST_TRAIN_TEMPLATES], "abstract_template string")
+    return TP.template_difference(training_pool(spark, sf_dir), must, "abstract_template")
+
+
+@register("rows_with_templates", Q.with_programs(Q.TEMPLATED, Q.EVAL_TEMPLATES) +
+          " SELECT example_id FROM templated t WHERE EXISTS "
+          "(SELECT 1 FROM evalt e WHERE e.abstract_template = t.abstract_template)")
+def q_rows_with_templates(spark, sf_dir):
+    t = materialize(templated_programs(spark, sf_dir))
+    evalt = t.where(eval_program_filter()).select("abstract_template").distinct()
+    return TP.rows_with_templates(t, evalt, "abstract_template").select("example_id")
+
+
+@register("union_all", Q.with_programs(Q.TEMPLATED, Q.EVAL_TEMPLATES) +
+          " SELECT example_id, 'comp_test' AS part FROM templated WHERE shape = 2 AND extra = 3 "
+          "UNION ALL SELECT example_id, 'comp_dev' AS part FROM templated WHERE shape = 4 AND extra = 3")
+def q_union_all(spark, sf_dir):
+    """Appends the two held-out evaluation files (test, dev) by name."""
+    p = programs(spark, sf_dir)
+    test = p.where((F.col("shape") == 2) & (F.col("extra") == 3)).select("example_id", F.lit("comp_test").alias("part"))
+    dev = p.where((F.col("shape") == 4) & (F.col("extra") == 3)).select("example_id", F.lit("comp_dev").alias("part"))
+    return test.unionByName(dev)
+
+
+def leveled_pool(spark, sf_dir):
+    """Training pool with all four template levels (materialized once)."""
+    p = TP.with_template_levels(programs(spark, sf_dir), "query", id_col="example_id")
+    p = materialize(p.withColumn("abstract_template", F.col("template_kbfree_untyped_noops")))
+    evalt = p.where(eval_program_filter()).select("abstract_template").distinct()
+    return exclude_eval_templates(p, evalt)
+
+
+@register("distinct_children", Q.with_programs(*POOL_CTES, Q.LEVELED) +
+          " SELECT 'template_kbfree_untyped_noops' AS level, template_kbfree_untyped_noops AS parent, "
+          "count(DISTINCT template_kbfree_untyped) AS children FROM leveled GROUP BY 2 "
+          "UNION ALL SELECT 'template_kbfree_untyped', template_kbfree_untyped, count(DISTINCT template_kbfree) "
+          "FROM leveled GROUP BY 2 UNION ALL SELECT 'template_kbfree', template_kbfree, count(DISTINCT template) "
+          "FROM leveled GROUP BY 2")
+def q_distinct_children(spark, sf_dir):
+    lv = leveled_pool(spark, sf_dir)
+    levels = S.HIERARCHY_LEVELS
+    parts = [TP.distinct_children(lv, p, c).select(F.lit(p).alias("level"), F.col(p).alias("parent"), "children")
+             for p, c in zip(levels[:-1], levels[1:])]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+HW_SQL = ("hw AS (SELECT c.template, c.cnt, 1.0 / c.cnt / k1.k / k2.k / k3.k / t.top AS hweight FROM "
+          "(SELECT template_kbfree_untyped_noops, template_kbfree_untyped, template_kbfree, template, count(*) AS cnt "
+          "FROM leveled GROUP BY ALL) c "
+          "JOIN (SELECT template_kbfree_untyped_noops, count(DISTINCT template_kbfree_untyped) AS k FROM leveled GROUP BY 1) k1 "
+          "USING (template_kbfree_untyped_noops) "
+          "JOIN (SELECT template_kbfree_untyped, count(DISTINCT template_kbfree) AS k FROM leveled GROUP BY 1) k2 "
+          "USING (template_kbfree_untyped) "
+          "JOIN (SELECT template_kbfree, count(DISTINCT template) AS k FROM leveled GROUP BY 1) k3 USING (template_kbfree), "
+          "(SELECT count(DISTINCT template_kbfree_untyped_noops) AS top FROM leveled) t)")
+
+
+@register("hierarchy_weight_lookup", Q.with_programs(*POOL_CTES, Q.LEVELED, HW_SQL) +
+          " SELECT l.example_id, hw.hweight FROM leveled l JOIN hw USING (template)")
+def q_hierarchy_weights(spark, sf_dir):
+    lv = leveled_pool(spark, sf_dir)
+    hw = S.hierarchy_weights(lv)
+    return lv.join(hw.select("template", "hweight"), "template").select("example_id", "hweight")
+
+
+# ---------------------------------------------------------------------------
+# vocabulary / coverage
+# ---------------------------------------------------------------------------
+from ..functions import vocab as V  # noqa: E402
+from ..operators import coverage as C  # noqa: E402
+
+
+@register("extract_properties", Q.with_programs() +
+          f" SELECT DISTINCT example_id, unnest({V.extract_properties_sql('query')}) AS prop FROM programs")
+def q_extract_properties(spark, sf_dir):
+    p = spread(programs(spark, sf_dir), "example_id")
+    return p.select("example_id", F.explode(V.extract_properties(F.col("query"))).alias("prop")).distinct()
+
+
+@register("property_vocab", Q.with_programs(*POOL_CTES) +
+          f" SELECT DISTINCT unnest({V.extract_properties_sql('query')}) AS prop FROM pool")
+def q_property_vocab(spark, sf_dir):
+    pool = training_pool(spark, sf_dir)
+    return pool.select(F.explode(V.extract_properties(F.col("query"))).alias("prop")).distinct()
+
+
+@register("has_operator", Q.with_programs() +
+          " SELECT example_id, strpos(query, ' not ') > 0 AS has_not, strpos(query, ' sort ') > 0 AS has_sort "
+          "FROM programs")
+def q_has_operator(spark, sf_dir):
+    p = programs(spark, sf_dir)
+    return p.select("example_id", V.has_operator("query", "not").alias("has_not"),
+                    V.has_operator("query", "sort").alias("has_sort"))
+
+
+@register("constants_used", Q.with_programs(*POOL_CTES) +
+          f" SELECT DISTINCT unnest({V.operators_present_sql('query')}) AS op FROM pool")
+def q_constants_used(spark, sf_dir):
+    pool = training_pool(spark, sf_dir)
+    return pool.select(F.explode(V.operators_present(F.col("query"))).alias("op")).distinct()
+
+
+@register("remove_by_token", Q.with_programs(*POOL_CTES) +
+          " SELECT example_id FROM pool WHERE strpos(query, ' ' || trim(' not ') || ' ') = 0")
+def q_remove_by_token(spark, sf_dir):
+    return C.remove_by_token(training_pool(spark, sf_dir), " not ", "query", "example_id").select("example_id")
+
+
+@register("occurs_before", Q.with_programs() +
+          " SELECT example_id, (strpos(query, 'filter') > 0 AND strpos(query, 'and') > 0 AND "
+          "strpos(query, 'filter') < strpos(query, 'and')) AS filter_before_and FROM programs")
+def q_occurs_before(spark, sf_dir):
+    from ..functions.text import occurs_before
+    p = programs(spark, sf_dir)
+    return p.select("example_id", occurs_before("query", "filter", "and").alias("filter_before_and"))
+
+
+# validate_and_fix on a hash split of the pool, one group per domain: evaluation
+# rows are 10 % of shapes 0-1 plus every row of the rarer shapes (>= 2), so
+# many use operators/properties the train rows (shapes 0-1) lack
+VF_GROUP = ["domain"]
+
+
+def _vf_labeled(spark, sf_dir):
+    from ..functions.hashing import uniform
+    pool = training_pool(spark, sf_dir)
+    u = uniform(F.col("example_id"), 7, "vf", "eval")
+    return pool.select("domain", "shape", "extra", "example_id", "query",
+                       F.when((u < 0.1) | (F.col("shape") >= 2), 2).otherwise(1)
+                        .cast("int").alias("label"))
+
+
+def _vf_sql_ctes():
+    from ..functions.hashing import uniform_sql
+    u = uniform_sql("example_id", "7", "'vf'", "'eval'")
+    return [*POOL_CTES,
+            f"lab AS (SELECT domain, shape, extra, example_id, query, CASE WHEN {u} < 0.1 OR shape >= 2 THEN 2 ELSE 1 END AS label "
+            "FROM pool)",
+            f"voc AS (SELECT domain, shape, extra, example_id, label, unnest({V.program_vocab_sql('query')}) AS tok "
+            "FROM lab)",
+            "missing AS (SELECT DISTINCT domain, tok FROM voc WHERE label = 2 "
+            "EXCEPT SELECT DISTINCT domain, tok FROM voc WHERE label = 1)"]
+
+
+@register("validate_and_fix", Q.with_programs(*_vf_sql_ctes(),
+          "bad AS (SELECT DISTINCT l.example_id FROM lab l JOIN missing m USING (domain) WHERE l.label = 2 "
+          "AND strpos(l.query, ' ' || regexp_replace(m.tok, '^\\s+|\\s+$', '', 'g') || ' ') > 0)") +
+          " SELECT domain, example_id, label FROM lab WHERE example_id NOT IN (SELECT example_id FROM bad)")
+def q_validate_and_fix(spark, sf_dir):
+    lab = _vf_labeled(spark, sf_dir)
+    return C.validate_and_fix(lab, VF_GROUP, "example_id", "query").select(*VF_GROUP, "example_id", "label")
+
+
+@register("split_coverage", Q.with_programs(*_vf_sql_ctes()) +
+          " SELECT domain, tok, CASE WHEN tok IN (" + ", ".join(Q.sql_str(o) for o in V.OPERATORS) +
+          ") THEN 'operator' ELSE 'property' END AS kind FROM missing")
+def q_split_coverage(spark, sf_dir):
+    return C.split_coverage(_vf_labeled(spark, sf_dir), VF_GROUP, "query")
+
+
+@register("vocab_difference", Q.with_programs(*_vf_sql_ctes()) + " SELECT domain, tok FROM missing")
+def q_vocab_difference(spark, sf_dir):
+    lab = C.with_vocab(_vf_labeled(spark, sf_dir), "query")
+    return C.missing_tokens(lab.where("label = 2"), lab.where("label = 1"), VF_GROUP)
+
+
+@register("is_subset", Q.with_programs(*_vf_sql_ctes()) +
+          " SELECT g.domain, coalesce(m.n, 0) AS n_missing, coalesce(m.n, 0) = 0 AS ok FROM "
+          "(SELECT DISTINCT domain FROM lab) g LEFT JOIN "
+          "(SELECT domain, count(*) AS n FROM missing GROUP BY ALL) m USING (domain)")
+def q_is_subset(spark, sf_dir):
+    return C.coverage_flags(_vf_labeled(spark, sf_dir), VF_GROUP, "query")
+
+
+@register("vocab_union", Q.with_programs(*POOL_CTES) +
+          " SELECT DISTINCT tok FROM (SELECT unnest(" + V.extract_properties_sql("query") + ") AS tok FROM pool "
+          "WHERE shape = 5 UNION ALL SELECT unnest(" + V.operators_present_sql("query") + ") FROM pool WHERE shape = 3)")
+def q_vocab_union(spark, sf_dir):
+    pool = training_pool(spark, sf_dir)
+    a = pool.where("shape = 5").select(F.explode(V.extract_properties(F.col("query"))).alias("tok"))
+    b = pool.where("shape = 3").select(F.explode(V.operators_present(F.col("query"))).alias("tok"))
+    return a.union(b).distinct()

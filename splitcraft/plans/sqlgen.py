@@ -50,3 +50,17 @@ def sample_and_label_sql(source: str, weight_expr: str, dev_share: float, seed:
         f"final AS (SELECT l.split_name, l.{id_col}, l.label FROM lab l WHERE NOT EXISTS (SELECT 1 FROM bad b "
         f"WHERE b.split_name = l.split_name AND b.{id_col} = l.{id_col}))",
     ]
+
+
+LEVELED = ("leveled AS (SELECT *, "
+           f"{template_sql('template_typed', 'query')} AS template, "
+           f"{template_sql('template_schemafree', 'query')} AS template_kbfree, "
+           f"{template_sql('template_untyped', 'query')} AS template_kbfree_untyped, "
+           "abstract_template AS template_kbfree_untyped_noops FROM pool)")
+
+
+def rank_cut_sql(source: str, key: str, id_col: str, k_expr: str, partition: str = "") -> str:
+    """Rows of ``source`` whose (key, id) rank is within ``k_expr``."""
+    part = f"PARTITION BY {partition} " if partition else ""
+    return (f"(SELECT * FROM (SELECT *, row_number() OVER ({part}ORDER BY {key}, {id_col}) AS _rk FROM {source}) "
+            f"WHERE _rk <= {k_expr})")

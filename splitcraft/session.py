@@ -51,3 +51,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set(_CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Write ``df`` to the session's checkpoint folder and continue from the
+    written copy.  Cuts the lineage (later jobs neither re-run nor re-plan
+    the upstream regex chains) and survives executor loss, unlike cached or
+    locally checkpointed blocks."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
