@@ -161,7 +161,9 @@ def weighted_sample(pool: DataFrame, id_col: str, weight_col: str, specs: list[d
                  .withColumn("_key", race_key(uniform(F.col(id_col), seed, F.col("split_name"), "draw"),
                                               F.col(weight_col))))
     group = [class_col] if class_col else [id_col]
-    summary = (pool.groupBy(*group, weight_col).agg(F.count(F.lit(1)).alias("cnt"))
+    if weight_col not in group:
+        group = group + [weight_col]
+    summary = (pool.groupBy(*group).agg(F.count(F.lit(1)).alias("cnt"))
                    .withColumn("_spec", F.explode(specs_array(specs)))
                    .select(F.col("_spec.split_name").alias("split_name"), F.col("_spec.n").alias("n"),
                            F.col(weight_col).alias("w"), "cnt"))

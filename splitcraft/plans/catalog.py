@@ -362,3 +362,200 @@ def q_vocab_union(spark, sf_dir):
     a = pool.where("shape = 5").select(F.explode(V.extract_properties(F.col("query"))).alias("tok"))
     b = pool.where("shape = 3").select(F.explode(V.operators_present(F.col("query"))).alias("tok"))
     return a.union(b).distinct()
+
+
+# ---------------------------------------------------------------------------
+# 2.9 samplers
+# ---------------------------------------------------------------------------
+from ..functions.hashing import uniform_sql  # noqa: E402
+from ..operators import sampling as SM  # noqa: E402
+
+UNIFORM_SPECS = [{"split_name": f"uniform_{n}", "n": n, "alpha": 0.0} for n in (60, 1000, 20000)]
+
+
+@register("uniform_sample", Q.with_programs(Q.specs_values(UNIFORM_SPECS),
+          f"keyed AS (SELECT x.split_name, x.n, s.example_id, -ln({uniform_sql('s.example_id', '0', 'x.split_name', chr(39) + 'draw' + chr(39))}) AS k FROM programs s, specs x)") +
+          " SELECT split_name, example_id FROM " + Q.rank_cut_sql("keyed", "k", "example_id", "n", "split_name"))
+def q_uniform_sample(spark, sf_dir):
+    """Uniform samples of 60, 1000 and 20000 rows (clamped to the table)."""
+    p = programs(spark, sf_dir).select("example_id", "query")
+    return SM.uniform_sample(p, "example_id", UNIFORM_SPECS).select("split_name", "example_id")
+
+
+EVENT_SPECS = [{"split_name": f"events_{i}", "n": 500, "alpha": -1.0} for i in range(3)]
+
+
+@register("weighted_sample", "WITH " + ", ".join([
+          Q.specs_values(EVENT_SPECS),
+          "f AS (SELECT event_type, count(*) / sum(count(*)) OVER () AS freq FROM events GROUP BY 1)",
+          "src AS (SELECT e.event_id, f.freq FROM events e JOIN f USING (event_type))",
+          f"keyed AS (SELECT x.split_name, x.n, s.event_id, -ln({uniform_sql('s.event_id', '0', 'x.split_name', chr(39) + 'draw' + chr(39))}) / pow(s.freq, x.alpha) AS k FROM src s, specs x)"]) +
+          " SELECT split_name, event_id FROM " + Q.rank_cut_sql("keyed", "k", "event_id", "n", "split_name"))
+def q_weighted_sample(spark, sf_dir):
+    """Events drawn with weight p(event_type)^-1 (every type the same mass)."""
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type")
+    ev = TP.attach_template_freq(ev, "event_type").withColumn("w", F.pow(F.col("freq"), F.lit(-1.0)))
+    return SM.weighted_sample(ev, "event_id", "w", EVENT_SPECS, class_col="event_type").select(
+        "split_name", "event_id")
+
+
+TDS_SPECS = [{"split_name": f"tds_{n}", "n": n, "alpha": 0.0} for n in (100, 1000)]
+
+
+@register("train_dev_split", Q.with_programs(Q.specs_values(TDS_SPECS),
+          *Q.sample_and_label_sql("programs", "1.0", 0.05)[:3]) + " SELECT split_name, example_id, label FROM lab")
+def q_train_dev_split(spark, sf_dir):
+    p = programs(spark, sf_dir).select("example_id", "query")
+    smp = SM.uniform_sample(p, "example_id", TDS_SPECS)
+    return SM.train_dev_split(smp, ["split_name"], "example_id", 0.05).select("split_name", "example_id", "label")
+
+
+UNIFORM_SPLIT_SPECS = [{"split_name": S.split_name(s, i, False), "n": s, "alpha": 0.0}
+                       for s in (60, 1000) for i in range(5)]
+
+
+@register("uniform_splits", Q.with_programs(*POOL_CTES, Q.specs_values(UNIFORM_SPLIT_SPECS),
+          *Q.sample_and_label_sql("pool", "1.0", 0.05)) + " SELECT split_name, example_id, label FROM final")
+def q_uniform_splits(spark, sf_dir):
+    return S.uniform_splits(training_pool(spark, sf_dir), "example_id", "query", sizes=(60, 1000),
+                            replicates=5, dev_share=0.05)
+
+
+HIER_SPECS = [{"split_name": S.split_name(-2, s, i, False), "n": s, "alpha": 0.0} for s in (60, 1000) for i in range(5)]
+
+
+@register("hierarchical_splits", Q.with_programs(*POOL_CTES, Q.LEVELED, HW_SQL, Q.specs_values(HIER_SPECS),
+          "src AS (SELECT l.example_id, l.query, hw.hweight FROM leveled l JOIN hw USING (template))",
+          *Q.sample_and_label_sql("src", "s.hweight", 0.05)) + " SELECT split_name, example_id, label FROM final")
+def q_hierarchical_splits(spark, sf_dir):
+    return S.hierarchical_splits(leveled_pool(spark, sf_dir), "example_id", "query", sizes=(60, 1000),
+                                 replicates=5, dev_share=0.05)
+
+
+def _cli_assignments(spark, sf_dir):
+    pool = training_pool(spark, sf_dir)
+    return pool, S.uat_splits(pool, "example_id", "abstract_template", "query", [-1], [20],
+                              replicates=5, dev_share=0.20)
+
+
+CLI_CTES = (*POOL_CTES, Q.specs_values(CLI_SPECS),
+            "cnt AS (SELECT abstract_template, count(*) AS cnt FROM pool GROUP BY abstract_template)",
+            "freq AS (SELECT abstract_template, cnt / sum(cnt) OVER () AS freq FROM cnt)",
+            "src AS (SELECT p.*, f.freq FROM pool p JOIN freq f USING (abstract_template))",
+            *Q.sample_and_label_sql("src", "pow(s.freq, x.alpha)", 0.20))
+CLI_NAMES = [s["split_name"] for s in CLI_SPECS]
+
+
+@register("attach_labels", Q.with_programs(*CLI_CTES) + " SELECT p.example_id, " + ", ".join(
+          f"max(CASE WHEN f.split_name = {Q.sql_str(n)} THEN f.label END) AS \"{n}\"" for n in CLI_NAMES) +
+          " FROM pool p LEFT JOIN final f USING (example_id) GROUP BY p.example_id")
+def q_attach_labels(spark, sf_dir):
+    """Wide label table: one nullable label column per CLI split."""
+    pool, a = _cli_assignments(spark, sf_dir)
+    return S.pivot_labels(pool.select("example_id"), a, "example_id", CLI_NAMES)
+
+
+@register("sampled_any", Q.with_programs(*CLI_CTES) +
+          " SELECT example_id FROM pool WHERE example_id IN (SELECT example_id FROM final)")
+def q_sampled_any(spark, sf_dir):
+    pool, a = _cli_assignments(spark, sf_dir)
+    return S.sampled_any(pool, a, "example_id").select("example_id")
+
+
+@register("remove_used", Q.with_programs(*CLI_CTES) +
+          " SELECT example_id FROM pool WHERE example_id NOT IN (SELECT example_id FROM final)")
+def q_remove_used(spark, sf_dir):
+    pool, a = _cli_assignments(spark, sf_dir)
+    return pool.join(a.select("example_id"), "example_id", "left_anti").select("example_id")
+
+
+@register("split_sizes", _uat_sql(UAT_SPECS, UAT_DEV_SHARE).replace(
+          " SELECT split_name, example_id, label FROM final",
+          " SELECT split_name, label, count(*) AS rows FROM final GROUP BY ALL"))
+def q_split_sizes(spark, sf_dir):
+    return S.split_sizes(q_uat(spark, sf_dir))
+
+
+TWO_PHASE_N = 600
+TWO_PHASE_E = 0.0
+
+
+def _two_phase_sql(n, e):
+    u_row = uniform_sql("example_id", "0", "'two_phase'", "'row'")
+    u_gap = uniform_sql("example_id", "0", "'two_phase'", "'gap'")
+    return Q.with_programs(
+        *POOL_CTES,
+        "c AS (SELECT abstract_template, count(*) AS c FROM pool GROUP BY 1)",
+        f"pre AS (SELECT p.example_id, p.abstract_template, c.c, row_number() OVER (PARTITION BY p.abstract_template "
+        f"ORDER BY {u_row}, p.example_id) - 1 AS j FROM pool p JOIN c USING (abstract_template))",
+        f"arr AS (SELECT example_id, sum(-ln({u_gap}) / pow(CAST(c - j AS DOUBLE), {float(e)!r})) OVER "
+        f"(PARTITION BY abstract_template ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS arrival "
+        f"FROM pre WHERE j < {n})") + " SELECT example_id FROM " + Q.rank_cut_sql("arr", "arrival", "example_id", str(n))
+
+
+@register("two_phase_sample", _two_phase_sql(TWO_PHASE_N, TWO_PHASE_E))
+def q_two_phase(spark, sf_dir):
+    """Template drawn with probability (remaining rows)^0, then a uniform row
+    of it, 600 times (closed form with arrival times)."""
+    pool = training_pool(spark, sf_dir).select("example_id", "abstract_template")
+    return SM.two_phase_sample(pool, "example_id", "abstract_template", TWO_PHASE_N, TWO_PHASE_E).select("example_id")
+
+
+CAP_N = 1000
+
+
+@register("cap_per_template", Q.with_programs(*POOL_CTES,
+          "g AS (SELECT abstract_template, count(query) AS gsize FROM pool GROUP BY 1)") +
+          " SELECT example_id FROM (SELECT p.example_id, g.gsize, row_number() OVER (PARTITION BY p.abstract_template "
+          f"ORDER BY {uniform_sql('p.example_id', '42', 'p.abstract_template', chr(39) + 'cap' + chr(39))}, p.example_id) AS rn "
+          f"FROM pool p JOIN g USING (abstract_template)) WHERE gsize <= {CAP_N} OR rn <= {CAP_N}")
+def q_cap_per_template(spark, sf_dir):
+    """At most 1,000 rows per template (seed 42); rarer templates whole."""
+    pool = training_pool(spark, sf_dir)
+    return SM.cap_per_group(pool, ["abstract_template"], "example_id", CAP_N, seed=42,
+                            count_col="query").select("example_id")
+
+
+COMP_TEST, COMP_DEV, COMP_IID = 0.2, 0.2, 0.05
+
+
+def _comp_sql():
+    import math
+    u_t = uniform_sql("abstract_template", "0", "'compositional'", "'template'")
+    u_it = uniform_sql("example_id", "0", "'compositional'", "'iid_test'")
+    u_id = uniform_sql("example_id", "0", "'compositional'", "'iid_dev'")
+    ceil_t = f"ceil({COMP_TEST!r} * T)"
+    return Q.with_programs(
+        Q.TEMPLATED, MUST_TRAIN_SQL,
+        "tm AS (SELECT DISTINCT abstract_template FROM templated WHERE abstract_template NOT IN (SELECT * FROM must))",
+        f"tr AS (SELECT abstract_template, row_number() OVER (ORDER BY {u_t}, abstract_template) AS rk, "
+        "count(*) OVER () AS T FROM tm)",
+        f"roles AS (SELECT abstract_template, CASE WHEN rk <= {ceil_t} THEN 'comp_test' "
+        f"WHEN rk <= {ceil_t} + ceil({COMP_DEV!r} * (T - {ceil_t})) THEN 'comp_dev' END AS role FROM tr)",
+        "r0 AS (SELECT t.example_id, t.query, coalesce(r.role, 'train') AS role FROM templated t "
+        "LEFT JOIN roles r USING (abstract_template))",
+        f"t1 AS (SELECT example_id, row_number() OVER (ORDER BY {u_it}, example_id) AS rk, count(*) OVER () AS N "
+        "FROM r0 WHERE role = 'train')",
+        f"it AS (SELECT example_id, N FROM t1 WHERE rk <= ceil({COMP_IID!r} * N))",
+        f"t2 AS (SELECT t1.example_id, t1.N, row_number() OVER (ORDER BY {u_id}, example_id) AS rk FROM t1 "
+        "WHERE example_id NOT IN (SELECT example_id FROM it))",
+        f"idv AS (SELECT example_id FROM t2 WHERE rk <= ceil({COMP_IID!r} * (N - ceil({COMP_IID!r} * N))))",
+        "r1 AS (SELECT r0.example_id, r0.query, CASE WHEN it.example_id IS NOT NULL THEN 'iid_test' "
+        "WHEN idv.example_id IS NOT NULL THEN 'iid_dev' ELSE r0.role END AS role FROM r0 "
+        "LEFT JOIN it USING (example_id) LEFT JOIN idv USING (example_id))",
+        f"voc AS (SELECT example_id, role, unnest({V.program_vocab_sql('query')}) AS tok FROM r1)",
+        "missing AS (SELECT DISTINCT role, tok FROM voc WHERE role <> 'train' "
+        "EXCEPT SELECT DISTINCT rr.role, v.tok FROM voc v, (SELECT DISTINCT role FROM r1 WHERE role <> 'train') rr "
+        "WHERE v.role = 'train')",
+        "bad AS (SELECT DISTINCT r1.example_id FROM r1 JOIN missing m USING (role) "
+        "WHERE strpos(r1.query, ' ' || regexp_replace(m.tok, '^\\s+|\\s+$', '', 'g') || ' ') > 0)",
+    ) + " SELECT example_id, role FROM r1 WHERE example_id NOT IN (SELECT example_id FROM bad)"
+
+
+@register("compositional_split", _comp_sql())
+def q_compositional(spark, sf_dir):
+    """Template-level held-out split (20 % test templates, 20 % of the rest
+    dev), 5 % iid test and 5 % iid dev rows, all validated against train."""
+    t = materialize(templated_programs(spark, sf_dir))
+    out = S.compositional_split(t, "example_id", "abstract_template", "query", COMP_TEST, COMP_DEV, COMP_IID)
+    return out.select("example_id", "role")
