@@ -559,3 +559,276 @@ def q_compositional(spark, sf_dir):
     t = materialize(templated_programs(spark, sf_dir))
     out = S.compositional_split(t, "example_id", "abstract_template", "query", COMP_TEST, COMP_DEV, COMP_IID)
     return out.select("example_id", "role")
+
+
+# ---------------------------------------------------------------------------
+# shaping for the learner
+# ---------------------------------------------------------------------------
+from ..functions import text as TX  # noqa: E402
+from ..operators import shaping as SH  # noqa: E402
+
+
+def _sql_tokens(expr):
+    """``x.split()`` in DuckDB (empty list for blank text)."""
+    return (f"CASE WHEN trim(regexp_replace({expr}, '\\s+', ' ', 'g')) = '' THEN []::VARCHAR[] ELSE "
+            f"string_split(trim(regexp_replace({expr}, '\\s+', ' ', 'g')), ' ') END")
+
+
+@register("select_split", Q.with_programs(*CLI_CTES) +
+          " SELECT p.example_id, p.question, p.query FROM pool p JOIN final f USING (example_id) "
+          "WHERE f.split_name = '-1_20_0_false' AND f.label = 1")
+def q_select_split(spark, sf_dir):
+    pool, a = _cli_assignments(spark, sf_dir)
+    return SH.select_split(a, pool, "example_id", "-1_20_0_false", 1)
+
+
+@register("drop_empty_source", "SELECT conv_id, turn FROM conversations WHERE length(text) > 0")
+def q_drop_empty(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return SH.drop_empty_source(c, "text").select("conv_id", "turn")
+
+
+@register("debug_limit", Q.with_programs() + " SELECT example_id FROM programs ORDER BY example_id LIMIT 1001")
+def q_debug_limit(spark, sf_dir):
+    return SH.debug_limit(programs(spark, sf_dir), "example_id").select("example_id")
+
+
+_DOM_SQL = "CASE split_part(example_id, '-', 1) " + " ".join(
+    f"WHEN {Q.sql_str(k)} THEN {Q.sql_str(v)}" for k, v in TX.DOMAIN_MARKERS.items()) + " END"
+
+
+@register("domain_prefix", Q.with_programs() + f" SELECT example_id, {_DOM_SQL} || ' ' || question AS source FROM programs")
+def q_domain_prefix(spark, sf_dir):
+    p = programs(spark, sf_dir)
+    return p.select("example_id", TX.domain_prefix("example_id", "question").alias("source"))
+
+
+TRUNC_MAX = 64
+
+
+@register("truncate_tokens",
+          f"SELECT conv_id, turn, len(t) AS n_tokens, array_to_string(list_concat(['@start@'], t[1:{TRUNC_MAX}], "
+          f"['@end@']), ' ') AS source FROM (SELECT conv_id, turn, {_sql_tokens('text')} AS t FROM conversations)")
+def q_truncate_tokens(spark, sf_dir):
+    """Whole conversation turns tokenised, cut to 64 tokens, markers added."""
+    c = spread(table(spark, sf_dir, "conversations"), "conv_id")
+    toks = TX.whitespace_tokens(F.col("text"))
+    return c.select("conv_id", "turn", F.size(toks).alias("n_tokens"),
+                    F.array_join(TX.truncate_tokens(toks, TRUNC_MAX, SH.START_SYMBOL, SH.END_SYMBOL), " ").alias("source"))
+
+
+@register("truncation_counts",
+          f"SELECT sum(CASE WHEN len({_sql_tokens('text')}) > {TRUNC_MAX} THEN 1 ELSE 0 END) AS source_exceeded "
+          "FROM conversations WHERE length(text) > 0")
+def q_truncation_counts(spark, sf_dir):
+    c = SH.drop_empty_source(table(spark, sf_dir, "conversations"), "text")
+    inst = SH.instances(c, "conv_id", "text", None, source_max=TRUNC_MAX)
+    return SH.truncation_counts(inst)
+
+
+@register("lower_source", Q.with_programs() +
+          " SELECT example_id, lower(question) AS source, "
+          "lower(trim(regexp_replace(regexp_replace(query, '([a-z])([A-Z])', '\\1_\\2', 'g'), '\\s+', ' ', 'g'))) AS target "
+          "FROM programs")
+def q_lower_source(spark, sf_dir):
+    p = programs(spark, sf_dir)
+    return p.select("example_id", F.lower("question").alias("source"), TX.snake_lower("query").alias("target"))
+
+
+@register("space_separators", Q.with_programs() +
+          " SELECT example_id, regexp_replace(replace(regexp_replace(query, '([:.@\\(\\)\\[\\]\",])', ' \\1 ', 'g'), "
+          "'^^', ' ^^ '), '\\s\\s+', ' ', 'g') AS spaced FROM programs")
+def q_space_separators(spark, sf_dir):
+    p = spread(programs(spark, sf_dir), "example_id")
+    return p.select("example_id", TX.space_separators("query").alias("spaced"))
+
+
+@register("snake_lower", Q.with_programs() +
+          " SELECT example_id, lower(trim(regexp_replace(regexp_replace(query, '([a-z])([A-Z])', '\\1_\\2', 'g'), "
+          "'\\s+', ' ', 'g'))) AS lowered FROM programs")
+def q_snake_lower(spark, sf_dir):
+    p = programs(spark, sf_dir)
+    return p.select("example_id", TX.snake_lower("query").alias("lowered"))
+
+
+def _quoted_sql():
+    spaced = ("regexp_replace(replace(regexp_replace(query, '([:.@\\(\\)\\[\\]\",])', ' \\1 ', 'g'), "
+              "'^^', ' ^^ '), '\\s\\s+', ' ', 'g')")
+    pat = Q.sql_str(TX.QUOTED_SPAN)
+    seg = ("(CASE WHEN i > 0 THEN '\" ' ELSE '' END || segs[i + 1] || CASE WHEN i < n THEN ' \"' ELSE '' END)")
+    toks = (f"list_transform({_sql_tokens(seg)}, lambda t: {{'kind': 'tok', 'text': t}})")
+    span = ("CASE WHEN i < n THEN [{'kind': 'span', 'text': regexp_replace(spans[i + 1][2:length(spans[i + 1]) - 1], "
+            "'^\\s+|\\s+$', '', 'g')}] ELSE [] END")
+    return (Q.with_programs(
+        f"sp AS (SELECT example_id, s, regexp_extract_all(s, {pat}, 0) AS spans, "
+        f"regexp_split_to_array(s, {pat}) AS segs FROM (SELECT example_id, {spaced} AS s FROM programs))",
+        f"pieces AS (SELECT example_id, flatten(list_transform(range(0, len(spans) + 1), "
+        f"lambda i: list_concat({toks.replace('n THEN', 'len(spans) THEN')}, "
+        f"{span.replace('i < n', 'i < len(spans)')}))) AS items FROM sp)")
+        + " SELECT example_id, CAST(pos AS INTEGER) AS pos, item.kind AS kind, item.text AS text FROM "
+          "(SELECT example_id, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS pos FROM pieces)")
+
+
+@register("quoted_spans", _quoted_sql().replace("CASE WHEN i < n THEN ' \"'", "CASE WHEN i < len(spans) THEN ' \"'"))
+def q_quoted_spans(spark, sf_dir):
+    p = spread(programs(spark, sf_dir), "example_id")
+    x = p.select("example_id", F.posexplode(TX.quoted_spans("query")).alias("pos", "item"))
+    return x.select("example_id", "pos", "item.kind", "item.text")
+
+
+def _rename_sql(renames):
+    pairs = []
+    for dom, mp in renames.items():
+        for a, b in mp.items():
+            pairs.append(f"({Q.sql_str(dom)}, {Q.sql_str(a)}, {Q.sql_str(b)})")
+    return Q.with_programs(
+        "rn(domain, src, dst) AS (VALUES " + ", ".join(pairs) + ")",
+        f"tk AS (SELECT p.example_id, p.domain, u.t, u.i FROM programs p, "
+        f"unnest({_sql_tokens('p.query')}) WITH ORDINALITY AS u(t, i))") + \
+        (" SELECT example_id, string_agg(coalesce(rn.dst, tk.t), ' ' ORDER BY tk.i) AS renamed FROM tk "
+         "LEFT JOIN rn ON rn.domain = tk.domain AND rn.src = tk.t GROUP BY example_id")
+
+
+@register("rename_properties_crowd", _rename_sql(TX.CROWD_RENAMES))
+def q_rename_crowd(spark, sf_dir):
+    p = programs(spark, sf_dir)
+    return p.select("example_id", TX.rename_properties_crowd("query", "domain").alias("renamed"))
+
+
+@register("rename_properties_para", _rename_sql(TX.PARAPHRASE_RENAMES))
+def q_rename_para(spark, sf_dir):
+    p = programs(spark, sf_dir)
+    return p.select("example_id", TX.rename_properties_para("query", "domain").alias("renamed"))
+
+
+# ---------------------------------------------------------------------------
+# 2.11 evaluation
+# ---------------------------------------------------------------------------
+from ..operators import evaluate as EV  # noqa: E402
+from .fixtures import CANDIDATES_SQL, PREDICTIONS_SQL, candidates, predictions  # noqa: E402
+
+EXACT_SQL = ("(gold_tokens[2:greatest(len(gold_tokens) - 1, 1)] = "
+             "predicted_tokens[1:greatest(len(predicted_tokens) - 1, 0)])")
+
+
+@register("exact_match", Q.with_programs(PREDICTIONS_SQL) + f" SELECT example_id, {EXACT_SQL} AS correct FROM preds")
+def q_exact_match(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    return p.select("example_id", EV.exact_match("gold_tokens", "predicted_tokens").alias("correct"))
+
+
+@register("paraphrase_filter", Q.with_programs(PREDICTIONS_SQL) +
+          f" SELECT example_id, question FROM programs WHERE example_id IN (SELECT example_id FROM preds WHERE {EXACT_SQL})")
+def q_paraphrase_filter(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    return EV.paraphrase_filter(p, programs(spark, sf_dir), "example_id").select("example_id", "question")
+
+
+@register("attach_gold", Q.with_programs(PREDICTIONS_SQL) +
+          " SELECT p.example_id, len(p.predicted_tokens) AS n_pred, len(g.gold_tokens) AS n_gold FROM preds p "
+          "LEFT JOIN (SELECT example_id, gold_tokens FROM preds WHERE has_gold) g USING (example_id)")
+def q_attach_gold(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    gold = p.where("has_gold").select("example_id", "gold_tokens")
+    out = EV.attach_gold(p.select("example_id", "predicted_tokens"), gold)
+    return out.select("example_id", F.size("predicted_tokens").alias("n_pred"),
+                      F.when(F.col("gold_tokens").isNotNull(), F.size("gold_tokens")).alias("n_gold"))
+
+
+@register("prediction_records", Q.with_programs(PREDICTIONS_SQL) +
+          " SELECT p.example_id, p.source, array_to_string(g.gold_tokens, ' ') AS target, "
+          "array_to_string(p.predicted_tokens, ' ') AS predicted FROM preds p "
+          "LEFT JOIN (SELECT example_id, gold_tokens FROM preds WHERE has_gold) g USING (example_id)")
+def q_prediction_records(spark, sf_dir):
+    """One record per example: source, gold when present, prediction; heavy
+    fields (ids, logits) dropped before writing."""
+    p = predictions(spark, sf_dir)
+    gold = p.where("has_gold").select("example_id", "gold_tokens")
+    out = EV.attach_gold(p.select("example_id", "source", "predicted_tokens"), gold)
+    return out.select("example_id", "source", F.array_join("gold_tokens", " ").alias("target"),
+                      F.array_join("predicted_tokens", " ").alias("predicted"))
+
+
+@register("sequence_accuracy", Q.with_programs(PREDICTIONS_SQL) +
+          " SELECT coalesce(avg(CASE WHEN list_bool_and(list_transform(gold_ids[2:], lambda g, i: "
+          "coalesce(pred_ids[i], 0) = g)) OR len(gold_ids) < 2 THEN 1.0 ELSE 0.0 END), 0.0) AS id_seq_acc FROM preds")
+def q_sequence_accuracy(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    return EV.sequence_accuracy(p, "gold_ids", "pred_ids", pad=0)
+
+
+@register("best_candidate", Q.with_programs(PREDICTIONS_SQL, CANDIDATES_SQL) +
+          " SELECT example_id, rank, log_prob FROM (SELECT *, row_number() OVER (PARTITION BY example_id "
+          "ORDER BY log_prob DESC, rank) AS rn FROM cands) WHERE rn = 1")
+def q_best_candidate(spark, sf_dir):
+    return EV.best_candidate(candidates(spark, sf_dir)).select("example_id", "rank", "log_prob")
+
+
+@register("truncate_at_eos", Q.with_programs(PREDICTIONS_SQL, CANDIDATES_SQL) +
+          " SELECT example_id, rank, array_to_string(CASE WHEN list_position(token_ids, 2) IS NOT NULL "
+          "THEN token_ids[1:list_position(token_ids, 2)] ELSE token_ids END, ' ') AS ids FROM cands")
+def q_truncate_at_eos(spark, sf_dir):
+    c = candidates(spark, sf_dir)
+    return c.select("example_id", "rank", F.array_join(EV.truncate_at_eos("token_ids").cast("array<string>"), " ")
+                    .alias("ids"))
+
+
+EXCLUDE_IDS = (0, 1, 2)
+
+
+def _ngr(c, n):
+    return (f"CASE WHEN len({c}) >= {n} THEN list_transform(range(1, len({c}) - {n} + 2), "
+            f"lambda i: array_to_string({c}[i:i + {n} - 1], ' ')) ELSE []::VARCHAR[] END")
+
+
+def _bleu_sql():
+    strip = "list_filter({}, lambda x: x NOT IN (0, 1, 2))"
+    ctes = [PREDICTIONS_SQL,
+            f"b AS (SELECT example_id, {strip.format('gold_ids')} AS g, {strip.format('pred_ids')} AS p FROM preds)"]
+    parts = []
+    for n in range(1, 5):
+        ctes.append(f"pg{n} AS (SELECT example_id, gram, count(*) AS pc FROM (SELECT example_id, unnest({_ngr('p', n)}) AS gram FROM b) GROUP BY ALL)")
+        ctes.append(f"gg{n} AS (SELECT example_id, gram, count(*) AS gc FROM (SELECT example_id, unnest({_ngr('g', n)}) AS gram FROM b) GROUP BY ALL)")
+        ctes.append(f"s{n} AS (SELECT sum(least(pc, coalesce(gc, 0))) AS m, sum(pc) AS t FROM pg{n} LEFT JOIN gg{n} USING (example_id, gram))")
+        parts.append(f"0.25 * (ln(coalesce(s{n}.m, 0) + 1e-13) - ln(coalesce(s{n}.t, 0) + 1e-13))")
+    ctes.append("l AS (SELECT sum(len(p)) AS plen, sum(len(g)) AS rlen FROM b)")
+    bp = ("CASE WHEN plen > rlen THEN 1.0 WHEN rlen = 0 OR plen = 0 THEN 0.0 ELSE exp(1.0 - rlen / plen) END")
+    return Q.with_programs(*ctes) + f" SELECT round({bp} * exp({' + '.join(parts)}), 9) AS bleu FROM l, s1, s2, s3, s4"
+
+
+@register("bleu", _bleu_sql())
+def q_bleu(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    return EV.bleu(p, "gold_ids", "pred_ids", "example_id", exclude=EXCLUDE_IDS)
+
+
+def _rouge_sql():
+    strip = "list_filter({}, lambda x: x NOT IN (0, 1, 2))"
+
+    def f1(m, tp, tr):
+        prec = f"(CASE WHEN {tp} > 0 THEN {m} / {tp} ELSE 0.0 END)"
+        rec = f"(CASE WHEN {tr} > 0 THEN {m} / {tr} ELSE 0.0 END)"
+        return f"(CASE WHEN {prec} + {rec} > 0 THEN 2 * {prec} * {rec} / ({prec} + {rec}) ELSE 0.0 END)"
+
+    def nf1(n):
+        pg, gg = _ngr("p", n), _ngr("g", n)
+        m = (f"CAST(coalesce(list_sum(list_transform(list_distinct({pg}), lambda x: least("
+             f"len(list_filter({pg}, lambda y: y = x)), len(list_filter({gg}, lambda y: y = x))))), 0) AS DOUBLE)")
+        return f1(m, f"CAST(len({pg}) AS DOUBLE)", f"CAST(len({gg}) AS DOUBLE)")
+
+    lcs = ("list_reduce(p, lambda rw, x: list_reduce(range(1, len(g) + 1), lambda acc, j: list_append(acc, "
+           "CASE WHEN g[j] = x THEN rw[j] + 1 ELSE greatest(acc[j], rw[j + 1]) END), [0]), "
+           "list_resize([0], len(g) + 1, 0))[len(g) + 1]")
+    return Q.with_programs(
+        PREDICTIONS_SQL,
+        f"b AS (SELECT {strip.format('gold_ids')} AS g, {strip.format('pred_ids')} AS p FROM preds)",
+        f"c AS (SELECT *, CAST({lcs} AS DOUBLE) AS lcs FROM b)") + (
+        f" SELECT round(coalesce(avg({nf1(1)}), 0.0), 9) AS rouge_1, round(coalesce(avg({nf1(2)}), 0.0), 9) AS rouge_2, "
+        f"round(coalesce(avg(CASE WHEN lcs > 0 THEN {f1('lcs', 'CAST(len(p) AS DOUBLE)', 'CAST(len(g) AS DOUBLE)')} "
+        "ELSE 0.0 END), 0.0), 9) AS rouge_l FROM c")
+
+
+@register("rouge", _rouge_sql())
+def q_rouge(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    return EV.rouge(p, "gold_ids", "pred_ids", "example_id", exclude=EXCLUDE_IDS)

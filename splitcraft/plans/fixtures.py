@@ -103,3 +103,74 @@ def eval_program_filter(shape="shape", extra="extra"):
 
 
 EVAL_FILTER_SQL = "((shape IN (2, 4) AND extra = 3) OR (shape = 3 AND extra = 2))"
+
+
+def token_id(t):
+    """Fixture token ids: '<s>' 1, '</s>' 2, others from md5 (>= 3)."""
+    return (F.when(t == "<s>", F.lit(1).cast("long")).when(t == "</s>", F.lit(2).cast("long"))
+             .otherwise(F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long") + 3))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in model output, one row per order: gold = <s> program tokens
+    </s>; predicted = gold without <s>, minus its first token when
+    o_orderkey % 7 = 0, plus one token when % 11 = 0, without </s> when
+    % 13 = 0.  Every 17th example has no gold (has_gold false)."""
+    p = programs(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    ok = F.col("o_orderkey")
+    p = p.withColumn("o_orderkey", F.split(F.col("example_id"), "-", 2).getItem(1).cast("long"))
+    gold = F.concat(F.array(F.lit("<s>")), F.split(F.col("query"), " "), F.array(F.lit("</s>")))
+    pred = F.slice(gold, 2, F.size(gold) - 1)
+    pred = F.when(ok % 7 == 0, F.slice(pred, 2, F.size(pred) - 1)).otherwise(pred)
+    pred = F.when(ok % 11 == 0, F.concat(pred, F.array(F.lit("notify")))).otherwise(pred)
+    pred = F.when(ok % 13 == 0, F.filter(pred, lambda x: x != "</s>")).otherwise(pred)
+    out = p.select("example_id", "o_orderkey", F.col("question").alias("source"),
+                   gold.alias("gold_tokens"), pred.alias("predicted_tokens"),
+                   (ok % 17 != 0).alias("has_gold"))
+    return (out.withColumn("gold_ids", F.transform("gold_tokens", token_id))
+               .withColumn("pred_ids", F.transform("predicted_tokens", token_id)))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four beam candidates per example: rank r keeps all but the last r
+    predicted ids and pads with r zeros; log_prob = -((o_orderkey*7 + r*3) % 17)."""
+    p = predictions(spark, sf_dir)
+    p = p.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    ids = F.concat(F.slice("pred_ids", 1, F.greatest(F.size("pred_ids") - F.col("rank"), F.lit(0))),
+                   F.array_repeat(F.lit(0).cast("long"), F.col("rank")))
+    return p.select("example_id", F.col("rank").cast("int").alias("rank"), ids.alias("token_ids"),
+                    (-((F.col("o_orderkey") * 7 + F.col("rank") * 3) % 17)).cast("double").alias("log_prob"))
+
+
+def _tid_sql(t):
+    return (f"CASE WHEN {t} = '<s>' THEN 1 WHEN {t} = '</s>' THEN 2 "
+            f"ELSE ('0x' || substr(md5({t}), 1, 6))::BIGINT + 3 END")
+
+
+PREDICTIONS_SQL = f"""
+preds AS (
+  SELECT example_id, o_orderkey, source, gold_tokens, predicted_tokens, has_gold,
+         list_transform(gold_tokens, lambda t: {_tid_sql('t')}) AS gold_ids,
+         list_transform(predicted_tokens, lambda t: {_tid_sql('t')}) AS pred_ids
+  FROM (
+    SELECT example_id, o_orderkey, source, gold_tokens, o_orderkey % 17 <> 0 AS has_gold,
+           CASE WHEN o_orderkey % 13 = 0 THEN list_filter(p2, lambda x: x <> '</s>') ELSE p2 END AS predicted_tokens
+    FROM (
+      SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN list_append(p1, 'notify') ELSE p1 END AS p2
+      FROM (
+        SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN p0[2:] ELSE p0 END AS p1
+        FROM (
+          SELECT example_id, CAST(split_part(example_id, '-', 2) AS BIGINT) AS o_orderkey, question AS source,
+                 list_concat(['<s>'], string_split(query, ' '), ['</s>']) AS gold_tokens,
+                 list_concat(string_split(query, ' '), ['</s>']) AS p0
+          FROM programs) a) b) c) d)
+"""
+
+CANDIDATES_SQL = """
+cands AS (
+  SELECT example_id, CAST(r AS INTEGER) AS rank,
+         list_concat(pred_ids[1:greatest(len(pred_ids) - r, 0)], list_resize([]::BIGINT[], r, 0)) AS token_ids,
+         CAST(-((o_orderkey * 7 + r * 3) % 17) AS DOUBLE) AS log_prob
+  FROM preds, range(4) t(r))
+"""
