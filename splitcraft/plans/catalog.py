@@ -832,3 +832,48 @@ def _rouge_sql():
 def q_rouge(spark, sf_dir):
     p = predictions(spark, sf_dir)
     return EV.rouge(p, "gold_ids", "pred_ids", "example_id", exclude=EXCLUDE_IDS)
+
+
+# ---------------------------------------------------------------------------
+# 2.1 sources: shards, raw-pair dedup, stage counts
+# ---------------------------------------------------------------------------
+from ..sources import shards as SHD  # noqa: E402
+
+SHARDS = 4
+SHARD_SQL = ("s AS (SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) % 4 AS INTEGER) AS shard, "
+             "(row_number() OVER (ORDER BY doc_id) - 1) // 4 AS shard_pos FROM documents)")
+
+
+@register("shard_round_robin", "WITH " + SHARD_SQL + " SELECT doc_id, shard, shard_pos FROM s")
+def q_shard_round_robin(spark, sf_dir):
+    """Documents in doc_id order dealt round-robin to 4 shards."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return SHD.shard_round_robin(d, ["doc_id"], SHARDS).select("doc_id", "shard", "shard_pos")
+
+
+@register("merge_shards", "WITH " + SHARD_SQL +
+          " SELECT doc_id, row_number() OVER (ORDER BY shard_pos // 2, shard, shard_pos) - 1 AS merged_pos FROM s")
+def q_merge_shards(spark, sf_dir):
+    """The 4 shards interleaved back two lines at a time."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    sh = SHD.shard_round_robin(d, ["doc_id"], SHARDS)
+    return SHD.merge_shards(sh, 2).select("doc_id", "merged_pos")
+
+
+@register("read_raw_pairs",
+          "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) "
+          "AS rn FROM conversations WHERE role = 'user') WHERE rn = 1")
+def q_read_raw_pairs(spark, sf_dir):
+    """First-wins dedup of user turns on their whole text (first by conv_id, turn)."""
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+    return SHD.first_wins(c, ["text"], ["conv_id", "turn"]).select("conv_id", "turn")
+
+
+@register("stage_counts", Q.with_programs(*CLI_CTES) +
+          " SELECT 'input' AS stage, count(*) AS rows FROM programs UNION ALL SELECT 'pool', count(*) FROM pool "
+          "UNION ALL SELECT 'train', count(*) FROM final WHERE label = 1 "
+          "UNION ALL SELECT 'dev', count(*) FROM final WHERE label = 2")
+def q_stage_counts(spark, sf_dir):
+    pool, a = _cli_assignments(spark, sf_dir)
+    return SHD.stage_counts({"input": programs(spark, sf_dir), "pool": pool,
+                             "train": a.where("label = 1"), "dev": a.where("label = 2")})
