@@ -877,3 +877,55 @@ def q_stage_counts(spark, sf_dir):
     pool, a = _cli_assignments(spark, sf_dir)
     return SHD.stage_counts({"input": programs(spark, sf_dir), "pool": pool,
                              "train": a.where("label = 1"), "dev": a.where("label = 2")})
+
+
+# ---------------------------------------------------------------------------
+# template distances
+# ---------------------------------------------------------------------------
+from ..operators import neighbours as NB  # noqa: E402
+
+
+def _enc_sql(src_cols: list[str]):
+    toks = " UNION ".join(f"SELECT DISTINCT unnest({_sql_tokens(c)}) AS tok FROM leveled" for c in src_cols)
+    vals = " UNION ".join(f"SELECT DISTINCT {c} AS t FROM leveled" for c in src_cols)
+    return [f"codes AS (SELECT tok, chr(CAST(33 + row_number() OVER (ORDER BY tok) - 1 AS INTEGER)) AS code FROM ({toks}))",
+            f"enc AS (SELECT d.t, string_agg(c.code, '' ORDER BY u.i) AS enc, count(*) AS n FROM ({vals}) d, "
+            f"unnest({_sql_tokens('d.t')}) WITH ORDINALITY AS u(tok, i) JOIN codes c USING (tok) GROUP BY d.t)"]
+
+
+PAIR_GAP = 2
+NEAREST_K = 4
+DIST_SQL = "CASE WHEN levenshtein(a.enc, b.enc) = 0 THEN 100000 ELSE levenshtein(a.enc, b.enc) END"
+
+
+@register("template_pairs", Q.with_programs(*POOL_CTES, Q.LEVELED, *_enc_sql(["template"])) +
+          f" SELECT a.t AS t1, b.t AS t2, {DIST_SQL} AS dist FROM enc a JOIN enc b "
+          f"ON abs(a.n - b.n) <= {PAIR_GAP} AND a.t <> b.t")
+def q_template_pairs(spark, sf_dir):
+    """Token edit distance between distinct typed templates whose token
+    lengths differ by at most 2."""
+    return NB.template_pairs(leveled_pool(spark, sf_dir), "template", PAIR_GAP)
+
+
+@register("nearest_templates", Q.with_programs(*POOL_CTES, Q.LEVELED, *_enc_sql(["template"])) +
+          f" SELECT t1, t2, dist, rank FROM (SELECT a.t AS t1, b.t AS t2, {DIST_SQL} AS dist, "
+          f"CAST(row_number() OVER (PARTITION BY a.t ORDER BY {DIST_SQL}, b.t) AS INTEGER) AS rank "
+          f"FROM enc a JOIN enc b ON a.t <> b.t) WHERE rank <= {NEAREST_K}")
+def q_nearest_templates(spark, sf_dir):
+    """Exact 4 nearest other typed templates of every typed template."""
+    return NB.nearest_templates(leveled_pool(spark, sf_dir), "template", NEAREST_K).select(
+        "t1", "t2", "dist", F.col("rank").cast("int").alias("rank"))
+
+
+@register("token_edit_distance", Q.with_programs(*POOL_CTES, Q.LEVELED, *_enc_sql(["template", "abstract_template"])) +
+          " SELECT DISTINCT l.template, l.abstract_template, levenshtein(a.enc, b.enc) AS dist FROM leveled l "
+          "JOIN enc a ON a.t = l.template JOIN enc b ON b.t = l.abstract_template")
+def q_token_edit_distance(spark, sf_dir):
+    """Token-level edit distance between each typed template and its abstract template."""
+    lv = leveled_pool(spark, sf_dir)
+    codes = NB.token_codes(lv, ["template", "abstract_template"])
+    ea = NB.encode(lv, "template", codes).select("template", F.col("enc").alias("ea"))
+    eb = NB.encode(lv, "abstract_template", codes).select("abstract_template", F.col("enc").alias("eb"))
+    pairs = lv.select("template", "abstract_template").distinct().join(ea, "template").join(eb, "abstract_template")
+    return pairs.select("template", "abstract_template",
+                        NB.token_edit_distance(F.col("ea"), F.col("eb"), allow_zero=True).alias("dist"))
