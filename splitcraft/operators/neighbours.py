@@ -107,3 +107,159 @@ def nearest_templates(df: DataFrame, col: str, k: int, anchors: DataFrame | None
             break
         gap *= 2
     return done
+
+
+# ---------------------------------------------------------------------------
+# neighbourhood sets
+# ---------------------------------------------------------------------------
+def eligible_templates(nearest: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    """A template is eligible for an anchor when it is among the k nearest,
+    or the nearer templates hold fewer than k rows (the reference grows its
+    neighbourhood until it holds k rows).  ``counts``: (t2, c)."""
+    w = Window.partitionBy("t1").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    x = nearest.join(counts, "t2", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    x = x.withColumn("_before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    return x.where((F.col("rank") <= k) | (F.col("_before") < k)).drop("_before")
+
+
+def expand_neighbourhood(pool: DataFrame, anchors: DataFrame, lev_col: str, k: int, id_col: str) -> DataFrame:
+    """(set_id, template, dist, rank, c): the templates each anchor may draw
+    from, with their row counts (anchors excluded).  The anchor's own
+    template comes last (distance 100000) and is used only when all others
+    together hold fewer than k rows."""
+    rest = pool.join(anchors.select(id_col), id_col, "left_anti")
+    counts = rest.groupBy(F.col(lev_col).alias("t2")).agg(F.count(F.lit(1)).alias("c"))
+    n_temps = pool.select(lev_col).distinct().count()
+    atemps = anchors.select(F.col(lev_col)).distinct()
+    kk = k
+    while True:
+        near = nearest_templates(pool, lev_col, min(kk, max(n_temps - 1, 1)), anchors=atemps)
+        selfrow = atemps.select(F.col(lev_col).alias("t1"), F.col(lev_col).alias("t2"),
+                                F.lit(SELF_DISTANCE).alias("dist"), F.lit(10 ** 9).alias("rank"))
+        near = near.select("t1", "t2", "dist", F.col("rank").cast("int").alias("rank")).unionByName(
+            selfrow.withColumn("rank", F.col("rank").cast("int")))
+        elig = eligible_templates(near, counts, k).persist()
+        # satisfied: eligible rows >= k, or every template already listed
+        tot = elig.groupBy("t1").agg(F.sum("c").alias("_rows"), F.count(F.lit(1)).alias("_n"))
+        short = tot.where((F.col("_rows") < k) & (F.col("_n") < n_temps)).limit(1).count()
+        if short == 0 or kk >= n_temps:
+            break
+        kk *= 2
+    return (anchors.select("set_id", F.col(lev_col).alias("t1"))
+                   .join(elig, "t1").select("set_id", F.col("t2").alias("template"), "dist", "rank", "c"))
+
+
+def _arc_candidates(rest: DataFrame, elig: DataFrame, lev_col: str, id_col: str, prefix: DataFrame,
+                    seed: int) -> DataFrame:
+    """Per (set, template): the first P rows of a random arc of the
+    template's rows, with exponential-race keys generated in order
+    (key_j = sum_{i<=j} E_i / (c - i), the order statistics of c Exp(1)
+    draws), so each set reads at most P rows of any template."""
+    from .. functions.hashing import uniform as U
+    ordered = row_index(rest.withColumn("_g", U(F.col(id_col), seed, "nbr", "order")), [lev_col, "_g", id_col], "_idx")
+    first = ordered.groupBy(lev_col).agg(F.min("_idx").alias("_first"))
+    rows = ordered.join(first, lev_col).select(F.col(lev_col).alias("template"), id_col,
+                                               (F.col("_idx") - F.col("_first")).alias("_pos"))
+    pairs = elig.join(prefix, "set_id").where(F.col("c") > 0)
+    pairs = pairs.withColumn("_o", F.floor(U(F.col("set_id"), seed, F.col("template"), "offset") * F.col("c")))
+    pairs = pairs.withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(F.col("P"), F.col("c")) - 1)))
+    gap = -F.log(U(F.col("set_id"), seed, F.col("template"), F.col("_j"))) / (F.col("c") - F.col("_j"))
+    wj = Window.partitionBy("set_id", "template").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+    pairs = (pairs.withColumn("_gap", gap).withColumn("key", F.sum("_gap").over(wj))
+                  .withColumn("_pos", F.pmod(F.col("_o") + F.col("_j"), F.col("c"))))
+    return pairs.join(rows, ["template", "_pos"]).select("set_id", "template", id_col, "key", "P", "c")
+
+
+def resolve_claims(cand: DataFrame, id_col: str, k: int, max_rounds: int = 200) -> DataFrame:
+    """Sets claim rows in set_id order as if served one after another: every
+    round, each set proposes its k best candidates not held by a smaller
+    set; a row goes to the smallest proposing set.  Holdings stay
+    displaceable and the rounds stop when they no longer change (set 0 is
+    final after one round, set 1 after two, ...).  Lineage is cut by a
+    checkpoint each round."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(cand.sparkSession)
+    held = None
+    w = Window.partitionBy("set_id").orderBy("key", id_col)
+    for _ in range(max_rounds):
+        if held is None:
+            avail = cand
+        else:
+            blocked = cand.join(held, id_col).where(F.col("holder") < F.col("set_id")).select("set_id", id_col)
+            avail = cand.join(blocked, ["set_id", id_col], "left_anti")
+        prop = avail.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+        new = prop.groupBy(id_col).agg(F.min("set_id").alias("holder")).checkpoint()
+        if held is not None:
+            diff = new.join(held, [id_col, "holder"], "full_outer").join(
+                new.join(held, [id_col, "holder"], "inner").select(id_col), id_col, "left_anti")
+            if diff.limit(1).count() == 0:
+                break
+        held = new
+    return held
+
+
+def neighbour_sets(pool: DataFrame, id_col: str, weights_col: str, lev_col: str, training_size: int,
+                   set_size: int, seed: int = 0, start_prefix: int | None = None) -> DataFrame:
+    """floor(floor(0.95 * size) / (k + 1)) sets: an anchor drawn with weight
+    1 / p(template), plus k rows of its nearest templates; rows used by a
+    set leave the pool.  Then floor(0.05 * size) uniform rows of the
+    remainder form dev (set_id -1), validated on ``weights_col`` against
+    the sets.  Output: (split_name, set_id, id, label).
+
+    Divergences from the sequential reference (stated): anchors are reserved
+    first; template eligibility uses the starting row counts; a set whose
+    candidates are exhausted by earlier sets stays short unless its
+    templates still have unread rows (then it reads a longer prefix).
+    """
+    from ..functions.hashing import race_key, uniform as U
+    from ..session import materialize
+    from .coverage import validate_and_fix
+    from .sampling import smallest_n, template_counts, uniform_sample
+
+    k = set_size
+    m = int(training_size * 0.95 // 1 // (k + 1))
+    n_dev = int(training_size * 0.05 // 1)
+    split = f"{k}_{training_size}_0_false"
+    counts = template_counts(pool, weights_col)
+    pooled = pool.join(counts.select(weights_col, (1.0 / F.col("freq")).alias("_w")), weights_col)
+    keyed = (pooled.withColumn("_key", race_key(U(F.col(id_col), seed, "anchors", "draw"), F.col("_w")))
+                   .withColumn("split_name", F.lit("anchors")).withColumn("n", F.lit(m)))
+    anchors = smallest_n(keyed, ["split_name"], "_key", id_col, "n")
+    wa = Window.partitionBy("split_name").orderBy("_key", id_col)
+    anchors = materialize(anchors.withColumn("set_id", (F.row_number().over(wa) - 1).cast("long"))
+                                 .select("set_id", id_col, lev_col, weights_col))
+    rest = materialize(pool.join(anchors.select(id_col), id_col, "left_anti"))
+    elig = materialize(expand_neighbourhood(pool, anchors, lev_col, k, id_col))
+
+    p0 = start_prefix or max(4 * k, 8)
+    prefix = anchors.select("set_id", F.lit(p0).alias("P"))
+    while True:
+        cand = materialize(_arc_candidates(rest, elig, lev_col, id_col, prefix, seed))
+        held = resolve_claims(cand, id_col, k)
+        got = held.groupBy(F.col("holder").alias("set_id")).agg(F.count(F.lit(1)).alias("_got"))
+        # a short set whose prefix did not cover all rows of some template reads more
+        trunc = cand.where(F.col("P") < F.col("c")).select("set_id").distinct()
+        grow = (prefix.join(got, "set_id", "left").where(F.coalesce("_got", F.lit(0)) < k)
+                      .join(trunc, "set_id", "left_semi"))
+        if grow.limit(1).count() == 0:
+            break
+        prefix = materialize(prefix.join(grow.select("set_id", F.lit(True).alias("_g")), "set_id", "left")
+                                   .select("set_id", F.when(F.col("_g"), F.col("P") * 2).otherwise(F.col("P")).alias("P")))
+
+    members = held.select(F.col("holder").alias("set_id"), id_col)
+    train = anchors.select("set_id", id_col).unionByName(members).withColumn("label", F.lit(1))
+    remainder = rest.join(members.select(id_col), id_col, "left_anti")
+    dev = uniform_sample(remainder.select(id_col, weights_col), id_col,
+                         [{"split_name": "dev", "n": n_dev}], seed=seed).select(id_col)
+    dev = dev.withColumn("set_id", F.lit(-1).cast("long")).withColumn("label", F.lit(2))
+    both = (train.unionByName(dev).join(pool.select(id_col, weights_col), id_col)
+                 .withColumn("_g", F.lit(split)))
+    kept = validate_and_fix(both, ["_g"], id_col, weights_col)
+    return kept.select(F.col("_g").alias("split_name"), "set_id", id_col, "label")
+
+
+def set_quality(sets: DataFrame, id_col: str, set_size: int) -> DataFrame:
+    """Per set: rows, distinct ids, and ok = (rows <= k + 1 and ids unique)."""
+    q = sets.where(F.col("set_id") >= 0).groupBy("set_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(id_col).alias("distinct_ids"))
+    return q.withColumn("ok", (F.col("rows") <= set_size + 1) & (F.col("rows") == F.col("distinct_ids")))

@@ -929,3 +929,44 @@ def q_token_edit_distance(spark, sf_dir):
     pairs = lv.select("template", "abstract_template").distinct().join(ea, "template").join(eb, "abstract_template")
     return pairs.select("template", "abstract_template",
                         NB.token_edit_distance(F.col("ea"), F.col("eb"), allow_zero=True).alias("dist"))
+
+
+# ---------------------------------------------------------------------------
+# neighbourhood sets (rows-only: sequential definition, no SQL oracle)
+# ---------------------------------------------------------------------------
+NBR_SIZE, NBR_K = 1000, 4
+
+
+def _neighbour_sets(spark, sf_dir):
+    lv = leveled_pool(spark, sf_dir).select("example_id", "abstract_template", "template")
+    return NB.neighbour_sets(lv, "example_id", "abstract_template", "template", NBR_SIZE, NBR_K)
+
+
+@register("neighbour_sets", None)
+def q_neighbour_sets(spark, sf_dir):
+    """190 sets of an anchor (weight 1/p(abstract template)) plus 4 rows of
+    its nearest typed templates, and 50 dev rows (set_id -1)."""
+    return _neighbour_sets(spark, sf_dir)
+
+
+@register("expand_neighbourhood", None)
+def q_expand_neighbourhood(spark, sf_dir):
+    """Templates each anchor may draw from (nearest first, grown until they
+    hold 4 rows)."""
+    from ..functions.hashing import race_key, uniform
+    lv = leveled_pool(spark, sf_dir).select("example_id", "abstract_template", "template")
+    counts = template_counts(lv, "abstract_template")
+    pooled = lv.join(counts.select("abstract_template", (1.0 / F.col("freq")).alias("_w")), "abstract_template")
+    keyed = (pooled.withColumn("_key", race_key(uniform(F.col("example_id"), 0, "anchors", "draw"), F.col("_w")))
+                   .withColumn("split_name", F.lit("anchors")).withColumn("n", F.lit(int(NBR_SIZE * 0.95 // 1 // (NBR_K + 1)))))
+    from ..operators.sampling import smallest_n
+    from pyspark.sql import Window
+    a = smallest_n(keyed, ["split_name"], "_key", "example_id", "n")
+    a = materialize(a.withColumn("set_id", (F.row_number().over(Window.partitionBy("split_name").orderBy("_key", "example_id")) - 1).cast("long")))
+    return NB.expand_neighbourhood(lv, a, "template", NBR_K, "example_id")
+
+
+@register("set_quality", None)
+def q_set_quality(spark, sf_dir):
+    """Per neighbourhood set: rows, distinct ids, ok (<= k + 1 rows, unique ids)."""
+    return NB.set_quality(_neighbour_sets(spark, sf_dir), "example_id", NBR_K)

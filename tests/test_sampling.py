@@ -106,3 +106,19 @@ def test_two_phase_e1_is_uniform_over_rows(spark):
     got = SM.two_phase_sample(pool, "example_id", "tmpl", 500, exponent=1.0)
     assert got.count() == 500
     assert got.select("example_id").distinct().count() == 500
+
+
+def test_neighbour_sets_invariants(spark):
+    from splitcraft.operators import neighbours as NB
+    rows = []
+    i = 0
+    for t in range(12):
+        for _ in range(5 + 3 * t):
+            rows.append((f"id-{i:05d}", f"a{t % 3}", " ".join(["x"] * (t % 5 + 1) + ["y"] * (t // 5 + 1))))
+            i += 1
+    pool = spark.createDataFrame(rows, "example_id string, abstract_template string, template string")
+    out = NB.neighbour_sets(pool, "example_id", "abstract_template", "template", 60, 3).collect()
+    sets = Counter(r.set_id for r in out if r.set_id >= 0)
+    assert len(sets) == int(60 * 0.95 // 1 // 4)
+    assert all(v <= 4 for v in sets.values())
+    assert len({r.example_id for r in out}) == len(out)
