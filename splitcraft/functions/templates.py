@@ -138,10 +138,27 @@ def fold_value_arithmetic(c: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(FOLD_ROUNDS)), c, one_round)
 
 
+_META = set(".^$*+?()[]{}|\\")
+
+
+def _literal(pattern: str):
+    """The plain text a pattern matches when it has no regex operators
+    (escaped ``^`` allowed), else None."""
+    if pattern.startswith("^"):
+        return None
+    text = pattern.replace("\\^", "^")
+    if any(ch in _META for ch in text.replace("^", "")):
+        return None
+    return text
+
+
 def apply_steps(c: Column, steps) -> Column:
     for step in steps:
         kind = step[0]
-        if kind == "re":
+        if kind == "re" and _literal(step[1]) is not None and "$" not in step[2]:
+            # same left-to-right, non-overlapping replacement, without a regex engine
+            c = F.replace(c, F.lit(_literal(step[1])), F.lit(step[2]))
+        elif kind == "re":
             c = F.regexp_replace(c, step[1], step[2])
         elif kind == "lit":
             c = F.replace(c, F.lit(step[1]), F.lit(step[2]))

@@ -86,24 +86,36 @@ def _ngram_counts(c, n: int):
     return grams
 
 
+def _gram_counts(base: DataFrame, id_col: str, ns) -> DataFrame:
+    """(id, n, gram, pc, gc): n-gram counts of prediction and gold per row.
+
+    ``base`` is hash-partitioned on the id first, so the per-(id, n, gram)
+    aggregate needs no further shuffle (hash(id) already clusters it); one
+    explode covers every n and both sides."""
+    def tag(n, flag):
+        # one-argument lambda: transform() passes an index as a 2nd argument
+        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(flag).alias("is_p"))
+
+    def with_n(col, flag):
+        return F.flatten(F.array(*[F.transform(_ngram_counts(F.col(col), n), tag(n, flag)) for n in ns]))
+
+    items = F.concat(with_n("_p", 1), with_n("_g", 0))
+    x = base.repartition(id_col).select(id_col, F.explode(items).alias("x"))
+    return (x.groupBy(id_col, "x.n", "x.gram")
+             .agg(F.sum("x.is_p").alias("pc"), F.sum(1 - F.col("x.is_p")).alias("gc")))
+
+
 def bleu(df: DataFrame, gold_col: str, pred_col: str, id_col: str, exclude=(), max_n: int = 4) -> DataFrame:
     """Corpus BLEU (uniform weights over 1..max_n grams, clipped counts,
     brevity penalty on corpus lengths, 1e-13 smoothing inside the logs).
-    n-gram counts are exploded and aggregated per (row, n, gram) - a
-    distributed group-by, no per-row Python."""
+    n-gram counts come from one distributed aggregate per (row, n, gram);
+    no per-row Python."""
     base = df.select(id_col, _strip_ids(F.col(gold_col), exclude).alias("_g"),
                      _strip_ids(F.col(pred_col), exclude).alias("_p"))
-    grams = None
-    for n in range(1, max_n + 1):
-        pg = base.select(id_col, F.lit(n).alias("n"), F.explode(_ngram_counts(F.col("_p"), n)).alias("gram"))
-        gg = base.select(id_col, F.lit(n).alias("n"), F.explode(_ngram_counts(F.col("_g"), n)).alias("gram"))
-        pc = pg.groupBy(id_col, "n", "gram").agg(F.count(F.lit(1)).alias("pc"))
-        gc = gg.groupBy(id_col, "n", "gram").agg(F.count(F.lit(1)).alias("gc"))
-        j = pc.join(gc, [id_col, "n", "gram"], "left").select(
-            "n", F.least("pc", F.coalesce("gc", F.lit(0))).alias("m"), F.col("pc").alias("t"))
-        grams = j if grams is None else grams.unionByName(j)
-    sums = [F.sum(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in range(1, max_n + 1) for c in "mt"]
-    stats = grams.agg(*sums).withColumn("_one", F.lit(1))
+    counts = _gram_counts(base, id_col, range(1, max_n + 1))
+    sums = [F.sum(F.when(F.col("n") == n, F.least("pc", "gc"))).alias(f"m{n}") for n in range(1, max_n + 1)] + \
+           [F.sum(F.when(F.col("n") == n, F.col("pc"))).alias(f"t{n}") for n in range(1, max_n + 1)]
+    stats = counts.agg(*sums).withColumn("_one", F.lit(1))
     lens = base.agg(F.sum(F.size("_p")).alias("plen"), F.sum(F.size("_g")).alias("rlen")).withColumn("_one", F.lit(1))
     stats = stats.join(lens, "_one")   # two one-row aggregates
     w = 1.0 / max_n
@@ -152,16 +164,12 @@ def rouge(df: DataFrame, gold_col: str, pred_col: str, id_col: str, exclude=())
         rec = F.when(tr > 0, match / tr).otherwise(0.0)
         return F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
 
+    base = base.repartition(id_col)
     per_row = base.select(id_col, F.size("_p").alias("lp"), F.size("_g").alias("lg"),
                           lcs_length(F.col("_p"), F.col("_g")).alias("lcs"))
-    for n in (1, 2):
-        pg = base.select(id_col, F.explode(_ngram_counts(F.col("_p"), n)).alias("gram")) \
-                 .groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("pc"))
-        gg = base.select(id_col, F.explode(_ngram_counts(F.col("_g"), n)).alias("gram")) \
-                 .groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("gc"))
-        m = (pg.join(gg, [id_col, "gram"], "inner").groupBy(id_col)
-               .agg(F.sum(F.least("pc", "gc")).alias(f"m{n}")))
-        per_row = per_row.join(m, id_col, "left")
+    m = (_gram_counts(base, id_col, (1, 2)).groupBy(id_col)
+         .agg(*[F.sum(F.when(F.col("n") == n, F.least("pc", "gc"))).alias(f"m{n}") for n in (1, 2)]))
+    per_row = per_row.join(m, id_col, "left")
     tp = lambda n: F.greatest(F.col("lp") - n + 1, F.lit(0)).cast("double")
     tr = lambda n: F.greatest(F.col("lg") - n + 1, F.lit(0)).cast("double")
     r1 = f1(F.coalesce(F.col("m1"), F.lit(0)).cast("double"), tp(1), tr(1))

@@ -198,6 +198,21 @@ def resolve_claims(cand: DataFrame, id_col: str, k: int, max_rounds: int = 200)
     return held
 
 
+def draw_anchors(pool: DataFrame, id_col: str, weights_col: str, m: int, seed: int = 0) -> DataFrame:
+    """m anchors drawn without replacement with weight 1 / p(template); set
+    ids follow the draw order.  The draw uses the thresholded race (only
+    about 1.2 m rows are ranked); the final order is a window over the m
+    anchors only."""
+    from ..functions.hashing import race_key, uniform as U
+    from .sampling import template_counts, weighted_sample
+    counts = template_counts(pool, weights_col)
+    pooled = pool.join(counts.select(weights_col, (1.0 / F.col("freq")).alias("_w")), weights_col)
+    a = weighted_sample(pooled, id_col, "_w", [{"split_name": "anchors", "n": m}], class_col=weights_col, seed=seed)
+    a = a.withColumn("_key", race_key(U(F.col(id_col), seed, "anchors", "draw"), F.col("_w")))
+    wa = Window.partitionBy("split_name").orderBy("_key", id_col)
+    return a.withColumn("set_id", (F.row_number().over(wa) - 1).cast("long")).drop("_key", "_w")
+
+
 def neighbour_sets(pool: DataFrame, id_col: str, weights_col: str, lev_col: str, training_size: int,
                    set_size: int, seed: int = 0, start_prefix: int | None = None) -> DataFrame:
     """floor(floor(0.95 * size) / (k + 1)) sets: an anchor drawn with weight
@@ -211,23 +226,15 @@ def neighbour_sets(pool: DataFrame, id_col: str, weights_col: str, lev_col: str,
     candidates are exhausted by earlier sets stays short unless its
     templates still have unread rows (then it reads a longer prefix).
     """
-    from ..functions.hashing import race_key, uniform as U
     from ..session import materialize
     from .coverage import validate_and_fix
-    from .sampling import smallest_n, template_counts, uniform_sample
+    from .sampling import uniform_sample
 
     k = set_size
     m = int(training_size * 0.95 // 1 // (k + 1))
     n_dev = int(training_size * 0.05 // 1)
     split = f"{k}_{training_size}_0_false"
-    counts = template_counts(pool, weights_col)
-    pooled = pool.join(counts.select(weights_col, (1.0 / F.col("freq")).alias("_w")), weights_col)
-    keyed = (pooled.withColumn("_key", race_key(U(F.col(id_col), seed, "anchors", "draw"), F.col("_w")))
-                   .withColumn("split_name", F.lit("anchors")).withColumn("n", F.lit(m)))
-    anchors = smallest_n(keyed, ["split_name"], "_key", id_col, "n")
-    wa = Window.partitionBy("split_name").orderBy("_key", id_col)
-    anchors = materialize(anchors.withColumn("set_id", (F.row_number().over(wa) - 1).cast("long"))
-                                 .select("set_id", id_col, lev_col, weights_col))
+    anchors = materialize(draw_anchors(pool, id_col, weights_col, m, seed).select("set_id", id_col, lev_col, weights_col))
     rest = materialize(pool.join(anchors.select(id_col), id_col, "left_anti"))
     elig = materialize(expand_neighbourhood(pool, anchors, lev_col, k, id_col))
 

@@ -185,30 +185,42 @@ def uniform_sample(pool: DataFrame, id_col: str, specs: list[dict], seed: int =
                            class_col="_w1", seed=seed).drop("_w1")
 
 
+def top_n_per_group(df: DataFrame, group_cols: list[str], id_col: str, n: int, seed: int, salt: str,
+                     key_col: str = "_u", parts: tuple | None = None) -> DataFrame:
+    """Per group, the ``n`` rows with the smallest md5 uniform
+    u(id, seed, group, salt) (whole group when smaller), exact.
+
+    Uses the same cut as the samplers: -ln(1-u) is an exponential race
+    with weight 1, so per group a threshold from its row count keeps about
+    1.2 n rows before the shuffle, and the rank window holds O(n) rows even
+    for a group with a third of all rows.  ``key_col`` keeps u."""
+    gkey = F.concat_ws("|", *[F.col(c).cast("string") for c in group_cols])
+    u = uniform(F.col(id_col), *parts) if parts else uniform(F.col(id_col), seed, gkey, salt)
+    keyed = df.withColumn(key_col, u).withColumn("_need", F.lit(int(n)))
+    summary = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("cnt"))
+                 .withColumn("n", F.lit(int(n))).withColumn("w", F.lit(1.0)))
+    # a race cut t on -ln(1-u) is the cut 1 - exp(-t) on u itself (same
+    # expected survivors), so rows are ranked by u, ascending
+    th = race_thresholds(summary, group_cols).withColumn(
+        "threshold", 1.0 - F.exp(-F.col("threshold")))
+    return smallest_n(keyed, group_cols, key_col, id_col, "_need", th).drop("_need")
+
+
 def cap_per_group(df: DataFrame, group_cols: list[str], id_col: str, n: int, seed: int = 42,
-                  count_col: str | None = None, salts: int = 16) -> DataFrame:
+                  count_col: str | None = None) -> DataFrame:
     """At most ``n`` rows of each group (rows chosen by md5 key); groups with
     at most n rows (counting non-null ``count_col`` if given) stay whole.
-
-    Skew-safe: a local top-n per (group, salt) runs before the final top-n,
-    so a group holding a third of all rows never lands whole in one task.
-    Rows with a null group vanish, as in the reference.
-    """
-    gkey = F.concat_ws("|", *[F.col(c).cast("string") for c in group_cols])
-    base = df.where(F.greatest(*[F.col(c).isNull() for c in group_cols]) == F.lit(False)) \
-        if len(group_cols) > 1 else df.where(F.col(group_cols[0]).isNotNull())
-    keyed = base.withColumn("_u", uniform(F.col(id_col), seed, gkey, "cap"))
+    Rows with a null group vanish, as in the reference.  Big groups go
+    through ``top_n_per_group`` (thresholded, exact, skew-safe)."""
+    base = df
+    for c in group_cols:
+        base = base.where(F.col(c).isNotNull())
     counted = F.count(F.col(count_col)) if count_col else F.count(F.lit(1))
-    sizes = keyed.groupBy(*group_cols).agg(counted.alias("_gsize"))
-    keyed = keyed.join(sizes, group_cols)
-    small = keyed.where(F.col("_gsize") <= n)
-    big = keyed.where(F.col("_gsize") > n)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)))
-    w_local = Window.partitionBy(*group_cols, "_salt").orderBy("_u", id_col)
-    local = salted.withColumn("_r", F.row_number().over(w_local)).where(F.col("_r") <= n).drop("_r", "_salt")
-    w_final = Window.partitionBy(*group_cols).orderBy("_u", id_col)
-    final = local.withColumn("_r", F.row_number().over(w_final)).where(F.col("_r") <= n).drop("_r")
-    return small.unionByName(final).drop("_u", "_gsize")
+    sizes = base.groupBy(*group_cols).agg(counted.alias("_gsize"))
+    keyed = base.join(sizes, group_cols)
+    small = keyed.where(F.col("_gsize") <= n).drop("_gsize")
+    big = keyed.where(F.col("_gsize") > n).drop("_gsize")
+    return small.unionByName(top_n_per_group(big, group_cols, id_col, n, seed, "cap").drop("_u"))
 
 
 def two_phase_sample(pool: DataFrame, id_col: str, template_col: str, n: int, exponent: float = 0.0,
@@ -220,18 +232,15 @@ def two_phase_sample(pool: DataFrame, id_col: str, template_col: str, n: int, ex
     arrives after gaps Exp(1) / (c - j)^e (competing exponential clocks,
     memoryless), so arrival = running sum of gaps.  The n earliest arrivals
     are the sample.  Only the first min(c, n) rows of a template can be
-    drawn, so a salted top-n per template bounds every window by n rows.
-    Returns pool columns + ``arrival``.
+    drawn, so an exact thresholded top-n per template bounds every window
+    by O(n) rows.  Returns pool columns + ``arrival``.
     """
     base = pool.where(F.col(template_col).isNotNull())
     counts = base.groupBy(template_col).agg(F.count(F.lit(1)).alias("_c"))
-    keyed = base.withColumn("_u", uniform(F.col(id_col), seed, F.lit(split_name), "row"))
-    salted = keyed.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(16)))
-    w_local = Window.partitionBy(template_col, "_salt").orderBy("_u", id_col)
-    prefix = salted.withColumn("_r", F.row_number().over(w_local)).where(F.col("_r") <= n).drop("_r", "_salt")
+    prefix = top_n_per_group(base, [template_col], id_col, n, seed, split_name,
+                             parts=(seed, split_name, "row"))
     w_t = Window.partitionBy(template_col).orderBy("_u", id_col)
-    prefix = (prefix.withColumn("_j", F.row_number().over(w_t) - 1).where(F.col("_j") < n)
-                    .join(counts, template_col))
+    prefix = prefix.withColumn("_j", F.row_number().over(w_t) - 1).join(counts, template_col)
     gap_u = uniform(F.col(id_col), seed, F.lit(split_name), "gap")
     rate = F.pow((F.col("_c") - F.col("_j")).cast("double"), F.lit(float(exponent)))
     prefix = prefix.withColumn("_gap", -F.log(gap_u) / rate)

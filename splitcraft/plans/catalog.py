@@ -953,16 +953,9 @@ def q_neighbour_sets(spark, sf_dir):
 def q_expand_neighbourhood(spark, sf_dir):
     """Templates each anchor may draw from (nearest first, grown until they
     hold 4 rows)."""
-    from ..functions.hashing import race_key, uniform
     lv = leveled_pool(spark, sf_dir).select("example_id", "abstract_template", "template")
-    counts = template_counts(lv, "abstract_template")
-    pooled = lv.join(counts.select("abstract_template", (1.0 / F.col("freq")).alias("_w")), "abstract_template")
-    keyed = (pooled.withColumn("_key", race_key(uniform(F.col("example_id"), 0, "anchors", "draw"), F.col("_w")))
-                   .withColumn("split_name", F.lit("anchors")).withColumn("n", F.lit(int(NBR_SIZE * 0.95 // 1 // (NBR_K + 1)))))
-    from ..operators.sampling import smallest_n
-    from pyspark.sql import Window
-    a = smallest_n(keyed, ["split_name"], "_key", "example_id", "n")
-    a = materialize(a.withColumn("set_id", (F.row_number().over(Window.partitionBy("split_name").orderBy("_key", "example_id")) - 1).cast("long")))
+    m = int(NBR_SIZE * 0.95 // 1 // (NBR_K + 1))
+    a = materialize(NB.draw_anchors(lv, "example_id", "abstract_template", m))
     return NB.expand_neighbourhood(lv, a, "template", NBR_K, "example_id")
 
 
