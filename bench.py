@@ -23,7 +23,7 @@ from splitcraft.session import get_session  # noqa: E402
 
 HEADLINE = ["template_abstract", "uat_cli", "uat_splits", "validate_and_fix", "hierarchical_splits",
             "two_phase_sample_60k", "cap_per_template", "template_pairs", "nearest_templates",
-            "exact_match", "sequence_accuracy", "bleu", "rouge", "compositional_split"]
+            "exact_match", "sequence_accuracy", "bleu", "rouge", "compositional_split", "neighbour_sets"]
 
 
 def _queries():
