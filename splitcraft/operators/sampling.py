@@ -42,8 +42,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     the cluster has cores (a single-row-group file, say).  CPU-heavy per-row
     work (regex chains) then uses every core.  On large inputs, which already
     have many splits, this is a no-op and adds no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: leave the layout to Spark
+        return df
+    if parts < cores:
         return df.repartition(cores, key)
     return df
 

@@ -43,13 +43,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is taken as given.  Only when it is unset (local tests) a fresh scratch
     folder is created and registered.
     """
-    current = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    current = spark.conf.get(_CHECKPOINT_KEY, None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no driver-side context (remote session): the server owns the folder
+        return current
+    current = current or sc.getCheckpointDir()
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
         return current
     path = tempfile.mkdtemp(prefix="splitcraft-ckpt-")
     spark.conf.set(_CHECKPOINT_KEY, path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 

@@ -19,7 +19,7 @@ def row_index(df: DataFrame, order_cols: list[str], out_col: str = "row_idx",
               partitions: int | None = None) -> DataFrame:
     """0-based position of each row in ``order_cols`` order (must be a total
     order, e.g. ending in a unique id)."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     srt = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     mid = srt.withColumn("_mid", F.monotonically_increasing_id())
     mid = mid.withColumn("_pid", F.shiftright(F.col("_mid"), 33)).withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_LOW33)))
