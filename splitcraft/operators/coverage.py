@@ -53,13 +53,15 @@ def _run_of(e, m: int):
     return lambda j: F.array_join(F.slice(e, j, m), " ")
 
 
-def interior_runs(program) -> F.Column:
-    """All runs of 1..3 consecutive interior words of ``split(program, ' ')``,
-    joined by single spaces."""
+def interior_runs(program, max_words: int = MAX_TOKEN_WORDS) -> F.Column:
+    """All runs of 1..max_words consecutive interior words of
+    ``split(program, ' ')``, joined by single spaces."""
     e = F.split(program, " ", -1)
     n = F.size(e)
+    if max_words == 1:
+        return F.array_distinct(F.when(n >= 3, F.slice(e, 2, n - 2)).otherwise(F.array().cast("array<string>")))
     runs = []
-    for m in range(1, MAX_TOKEN_WORDS + 1):
+    for m in range(1, max_words + 1):
         # 1-based start j in [2, n - m]
         seq = F.when(n - m >= 2, F.sequence(F.lit(2), n - m)).otherwise(F.array().cast("array<int>"))
         runs.append(F.transform(seq, _run_of(e, m)))
@@ -70,8 +72,12 @@ def rows_with_tokens(df: DataFrame, tokens: DataFrame, group_cols: list[str], id
                      program_col: str) -> DataFrame:
     """(group..., id) of rows whose program contains `` strip(tok) `` for a
     token of the same group."""
-    toks = tokens.select(*group_cols, _strip(F.col("tok")).alias("_run")).distinct()
-    runs = df.select(*group_cols, id_col, F.explode(interior_runs(F.col(program_col))).alias("_run"))
+    toks = tokens.select(*group_cols, _strip(F.col("tok")).alias("_run")).distinct().persist()
+    # runs of several words are needed only for tokens with inner spaces
+    # (a tiny check on the missing-token table)
+    spaced = toks.where(F.instr(F.col("_run"), " ") > 0).limit(1).count() > 0
+    runs = df.select(*group_cols, id_col,
+                     F.explode(interior_runs(F.col(program_col), MAX_TOKEN_WORDS if spaced else 1)).alias("_run"))
     return runs.join(toks, group_cols + ["_run"], "left_semi").select(*group_cols, id_col).distinct()
 
 

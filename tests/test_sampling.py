@@ -122,3 +122,20 @@ def test_neighbour_sets_invariants(spark):
     assert len(sets) == int(60 * 0.95 // 1 // 4)
     assert all(v <= 4 for v in sets.values())
     assert len({r.example_id for r in out}) == len(out)
+
+
+def test_validate_and_fix_spaced_and_plain_tokens(spark):
+    from splitcraft.operators.coverage import validate_and_fix
+    rows = [
+        ("g", "t1", "now => ( @org.schema.Hotel.Hotel ) filter param:name:String == x => notify", 1),
+        # the dots of org.schema. match spaces: member '@org schema Hotel.Hotel' (three words)
+        ("g", "d1", "now => ( @org schema Hotel.Hotel ) filter param:name:String == x => notify", 2),
+        # uses an operator unseen in train
+        ("g", "d2", "now => ( @org.schema.Hotel.Hotel ) filter not param:name:String == x => notify", 2),
+        # the unseen operator only at the very start: ' not ' never occurs, row stays
+        ("g", "d3", "not => ( @org.schema.Hotel.Hotel ) filter param:name:String == x => notify", 2),
+        ("g", "d4", "now => ( @org.schema.Hotel.Hotel ) filter param:name:String == x => notify", 2),
+    ]
+    df = spark.createDataFrame(rows, "g string, example_id string, query string, label int")
+    kept = {r.example_id for r in validate_and_fix(df, ["g"], "example_id", "query").collect()}
+    assert kept == {"t1", "d3", "d4"}
