@@ -127,29 +127,36 @@ def bleu(df: DataFrame, gold_col: str, pred_col: str, id_col: str, exclude=(), m
     return stats.select(F.round(bp * F.exp(score), 9).alias("bleu"))
 
 
-def _lcs_bits(a, b) -> int:
-    """LCS length by the bit-parallel recurrence over the positions of b
-    (one big-int step per element of a)."""
-    if len(a) == 0 or len(b) == 0:
-        return 0
-    masks = {}
-    for j, x in enumerate(b):
-        masks[x] = masks.get(x, 0) | (1 << j)
-    full = (1 << len(b)) - 1
-    v = full
-    for x in a:
-        u = v & masks.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(b) - bin(v).count("1")
-
-
-@F.pandas_udf(T.LongType())
-def lcs_length(a, b):
-    """Longest-common-subsequence length of two arrays, per row (Arrow
-    batches; a small helper inside a distributed aggregate)."""
-    import pandas as pd
-    return pd.Series([_lcs_bits(list(x) if x is not None else [], list(y) if y is not None else [])
-                      for x, y in zip(a, b)], dtype="int64")
+def _make_lcs_udf():
+    """Build the LCS pandas UDF from a nested function that carries all its
+    logic, so it is pickled by value: Python workers need no import of this
+    package (they may run where it is not installed)."""
+
+    def lcs_bits(a, b) -> int:
+        # bit-parallel LCS: one big-int step per element of a
+        if len(a) == 0 or len(b) == 0:
+            return 0
+        masks = {}
+        for j, x in enumerate(b):
+            masks[x] = masks.get(x, 0) | (1 << j)
+        full = (1 << len(b)) - 1
+        v = full
+        for x in a:
+            u = v & masks.get(x, 0)
+            v = ((v + u) | (v - u)) & full
+        return len(b) - bin(v).count("1")
+
+    def lcs_batch(a, b):
+        import pandas as pd
+        return pd.Series([lcs_bits(list(x) if x is not None else [], list(y) if y is not None else [])
+                          for x, y in zip(a, b)], dtype="int64")
+
+    return lcs_bits, F.pandas_udf(lcs_batch, T.LongType())
+
+
+_lcs_bits, lcs_length = _make_lcs_udf()
+lcs_length.__doc__ = """Longest-common-subsequence length of two arrays, per row (Arrow
+batches; a small helper inside a distributed aggregate)."""
 
 
 def rouge(df: DataFrame, gold_col: str, pred_col: str, id_col: str, exclude=()) -> DataFrame:
