@@ -58,14 +58,17 @@ def specs_array(specs: list[dict]) -> Column:
 
 
 def race_thresholds(summary: DataFrame, group_cols: list[str], n_col: str = "n",
-                    w_col: str = "w", cnt_col: str = "cnt") -> DataFrame:
+                    w_col: str = "w", cnt_col: str = "cnt", small_groups: bool = True) -> DataFrame:
     """Per group: a key threshold t with E[#keys <= t] >= n + 4 sqrt(n) + 8.
 
     ``summary`` has one row per (group, weight class): ``cnt`` rows share
     weight ``w``; E(t) = sum cnt * (1 - exp(-w t)).  Since E(t) <= t * W,
     the search starts at t0 = m / W and walks a geometric grid.  A null
     threshold means "no cut" (the group needs all its rows, or the grid did
-    not reach the target).
+    not reach the target).  ``small_groups``: one row per group is
+    bounded by a parameter (e.g. one per sampling spec) and is broadcast;
+    otherwise (e.g. one per template) AQE picks the join from measured
+    sizes.
     """
     s = summary.where(F.col(w_col) > 0)
     tot = (s.groupBy(*group_cols)
@@ -74,7 +77,7 @@ def race_thresholds(summary: DataFrame, group_cols: list[str], n_col: str = "n",
                  F.max(n_col).alias("_n")))
     tot = (tot.withColumn("_m", F.col("_n") + MARGIN_SIGMAS * F.sqrt(F.col("_n")) + 8.0)
               .withColumn("_t0", F.col("_m") / F.col("_W")))
-    joined = s.join(F.broadcast(tot), group_cols)
+    joined = s.join(F.broadcast(tot) if small_groups else tot, group_cols)
     ratios = [GRID_RATIO ** k for k in range(GRID_STEPS)]
     exp_counts = [F.sum(F.col(cnt_col) * (1.0 - F.exp(-F.col(w_col) * F.col("_t0") * r))).alias(f"_e{k}")
                   for k, r in enumerate(ratios)]
@@ -87,31 +90,31 @@ def race_thresholds(summary: DataFrame, group_cols: list[str], n_col: str = "n",
 
 
 def smallest_n(keyed: DataFrame, group_cols: list[str], key_col: str, id_col: str,
-               n_col: str, thresholds: DataFrame | None = None) -> DataFrame:
+               n_col: str, thresholds: DataFrame | None = None, small_groups: bool = True) -> DataFrame:
     """Rows with the ``n`` smallest ``key`` per group (ties by id); exact.
 
     ``keyed`` holds one row per (row, group) with a per-group ``n_col``.
     With ``thresholds`` (from ``race_thresholds``) only rows under the
     group's cut are ranked; groups whose cut kept too few rows are redone
-    without a cut.
+    without a cut.  ``small_groups`` as in ``race_thresholds``.
     """
     keyed = keyed.where(F.col(key_col).isNotNull())
     if thresholds is not None:
-        th = F.broadcast(thresholds.select(*group_cols, "threshold", "need", "available"))
+        th = thresholds.select(*group_cols, "threshold", "need", "available")
+        if small_groups:
+            th = F.broadcast(th)
         cand = (keyed.join(th, group_cols)
                      .where(F.col("threshold").isNull() | (F.col(key_col) <= F.col("threshold"))))
         cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
         short = (cand.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_kept"))
                      .join(th, group_cols, "right")
                      .where(F.coalesce(F.col("_kept"), F.lit(0)) < F.least(F.col("need"), F.col("available")))
-                     .select(*group_cols))
-        short_rows = short.collect()   # at most one row per group (spec)
+                     .select(*group_cols)).persist(StorageLevel.MEMORY_AND_DISK)
         keep_cols = keyed.columns
         cand = cand.select(*keep_cols)
-        if short_rows:
-            redo = F.broadcast(keyed.sparkSession.createDataFrame(short_rows, short.schema))
-            cand = (cand.join(redo, group_cols, "left_anti")
-                        .unionByName(keyed.join(redo, group_cols, "left_semi")))
+        if short.limit(1).count():      # rare: a cut that kept too few rows
+            cand = (cand.join(short, group_cols, "left_anti")
+                        .unionByName(keyed.join(short, group_cols, "left_semi")))
     else:
         cand = keyed
     w = Window.partitionBy(*group_cols).orderBy(F.col(key_col), F.col(id_col))
@@ -205,9 +208,9 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], id_col: str, n: int, s
                  .withColumn("n", F.lit(int(n))).withColumn("w", F.lit(1.0)))
     # a race cut t on -ln(1-u) is the cut 1 - exp(-t) on u itself (same
     # expected survivors), so rows are ranked by u, ascending
-    th = race_thresholds(summary, group_cols).withColumn(
+    th = race_thresholds(summary, group_cols, small_groups=False).withColumn(
         "threshold", 1.0 - F.exp(-F.col("threshold")))
-    return smallest_n(keyed, group_cols, key_col, id_col, "_need", th).drop("_need")
+    return smallest_n(keyed, group_cols, key_col, id_col, "_need", th, small_groups=False).drop("_need")
 
 
 def cap_per_group(df: DataFrame, group_cols: list[str], id_col: str, n: int, seed: int = 42,

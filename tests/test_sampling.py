@@ -139,3 +139,16 @@ def test_validate_and_fix_spaced_and_plain_tokens(spark):
     df = spark.createDataFrame(rows, "g string, example_id string, query string, label int")
     kept = {r.example_id for r in validate_and_fix(df, ["g"], "example_id", "query").collect()}
     assert kept == {"t1", "d3", "d4"}
+
+
+def test_short_cut_is_redone_exactly(spark, monkeypatch):
+    # a negative margin makes the cut keep too few rows: the redo path must
+    # still return exactly the n smallest keys per group
+    monkeypatch.setattr(SM, "MARGIN_SIGMAS", -6.0)
+    pool = _pool(spark)
+    got = SM.top_n_per_group(pool, ["tmpl"], "example_id", 30, 5, "t")
+    want = (pool.withColumn("_u", uniform(F.col("example_id"), 5, F.col("tmpl"), "t"))
+                .withColumn("_r", F.row_number().over(
+                    __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("tmpl").orderBy("_u", "example_id")))
+                .where("_r <= 30"))
+    assert sorted(r.example_id for r in got.collect()) == sorted(r.example_id for r in want.collect())
