@@ -27,8 +27,6 @@ HEADLINE = ["template_abstract", "uat_cli", "uat_splits", "validate_and_fix", "h
 
 
 def _queries():
-    from pyspark.sql import functions as F
-
     from splitcraft.operators import sampling as SM
     from splitcraft.plans.catalog import QUERIES, training_pool
     qs = {k: fn for k, (fn, _sql) in QUERIES.items()}
@@ -37,7 +35,6 @@ def _queries():
         pool = training_pool(spark, sf_dir).select("example_id", "abstract_template")
         return SM.two_phase_sample(pool, "example_id", "abstract_template", 60000, 0.0).select("example_id")
     qs["two_phase_sample_60k"] = two_phase_60k
-    _ = F
     return qs
 
 

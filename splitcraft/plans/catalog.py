@@ -520,7 +520,6 @@ COMP_TEST, COMP_DEV, COMP_IID = 0.2, 0.2, 0.05
 
 
 def _comp_sql():
-    import math
     u_t = uniform_sql("abstract_template", "0", "'compositional'", "'template'")
     u_it = uniform_sql("example_id", "0", "'compositional'", "'iid_test'")
     u_id = uniform_sql("example_id", "0", "'compositional'", "'iid_dev'")

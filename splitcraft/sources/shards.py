@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -21,7 +23,9 @@ def row_index(df: DataFrame, order_cols: list[str], out_col: str = "row_idx",
     order, e.g. ending in a unique id)."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     srt = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    mid = srt.withColumn("_mid", F.monotonically_increasing_id())
+    # written once: the counts and the rows below must see the same range
+    # bounds and ids, also when a lost executor forces a recomputation
+    mid = materialize(srt.withColumn("_mid", F.monotonically_increasing_id()))
     mid = mid.withColumn("_pid", F.shiftright(F.col("_mid"), 33)).withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_LOW33)))
     counts = mid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn("_off", F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
