@@ -65,9 +65,9 @@ def run_instances(spark, args) -> str:
     rows = (SH.select_split_wide(table, args.example_id_col, args.condition_name, args.condition_value,
                                  (args.utterance_col, args.program_col))
             if args.condition_name else table.select(args.example_id_col, args.utterance_col, args.program_col))
-    rows = SH.drop_empty_source(rows, args.utterance_col)
-    if args.debug:
+    if args.debug:   # the first 1,001 rows, counted before empty sources are skipped
         rows = SH.debug_limit(rows, args.example_id_col)
+    rows = SH.drop_empty_source(rows, args.utterance_col)
     inst = SH.instances(rows, args.example_id_col, args.utterance_col, args.program_col,
                         args.source_max_tokens, args.target_max_tokens, args.lower_case_output,
                         args.add_domain_token).persist()
