@@ -259,41 +259,52 @@ def kth_cut(df: DataFrame, key_col: str, id_col: str, k: int, bins: int = 4096,
     """Exact cut ``(key, id)`` such that exactly ``k`` rows have
     ``(key, id) <= cut`` (None when the frame has at most k rows).
 
-    Fully distributed: each round is one aggregate (a histogram of the key
-    over ``bins`` equal-width bins of the current range) that narrows the
-    range to the bin holding the k-th row, about ``bins``-fold per round.
-    Once the bin holds at most ``collect_below`` rows, those rows' keys (two
-    numbers each) are read and the k-th is picked.  No task ever ranks the
-    whole frame.
+    Fully distributed: each round is one aggregate (count, min, max) and one
+    histogram of the key over ``bins`` equal-width bins, and keeps only the
+    bin holding the k-th row, narrowing about ``bins``-fold per round.  The
+    next round filters with the very bin expression that was counted, so
+    rows on bin edges are never counted twice or lost.  Once at most
+    ``collect_below`` rows remain, their (key, id) pairs are read and the
+    k-th is picked; if many rows share one key, they are ranked and a
+    single row is read back.  No task ever ranks the whole frame.
     """
     key = F.col(key_col)
-    stats = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("c")).first()
-    if stats["c"] <= k or k <= 0:
+    if k <= 0:
         return None
-    lo, hi, need = float(stats["lo"]), float(stats["hi"]), k
-    lo_incl = True
+    part, need = df, k
+
+    def pick(frame, need, small):
+        if small:   # at most ``collect_below`` rows: read their two key columns
+            last = frame.select(key_col, id_col).orderBy(key_col, id_col).limit(need).collect()[need - 1]
+        else:       # many rows share one key: rank them, read back one row
+            w = Window.orderBy(key_col, id_col)
+            last = (frame.select(key_col, id_col).withColumn("_r", F.row_number().over(w))
+                         .where(F.col("_r") == need).first())
+        return last[0], last[1]
+
+    first = True
     while True:
-        in_range = ((key >= F.lit(lo)) if lo_incl else (key > F.lit(lo))) & (key <= F.lit(hi))
-        part = df.where(in_range)
-        c = part.count() if hi > lo else None
-        if c is not None and c <= collect_below or hi <= lo:
-            rows = part.select(key_col, id_col).orderBy(key_col, id_col).limit(need).collect()
-            last = rows[need - 1]
-            return last[0], last[1]
+        st = part.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("c")).first()
+        if first:
+            if st["c"] <= k:
+                return None
+            first = False
+        if st["c"] <= collect_below:
+            return pick(part, need, True)
+        lo, hi = float(st["lo"]), float(st["hi"])
+        if hi <= lo:
+            return pick(part, need, False)
         width = (hi - lo) / bins
         b = F.least(F.floor((key - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
         hist = sorted((r[0], r[1]) for r in part.groupBy(b.alias("_b")).count().collect())
         acc = 0
         for bi, cnt in hist:
             if acc + cnt >= need:
-                new_lo, new_hi = lo + bi * width, (lo + (bi + 1) * width if bi < bins - 1 else hi)
                 need -= acc
-                lo_incl = (bi == 0 and lo_incl)
-                if new_lo == lo and new_hi == hi:  # no progress (float granularity)
-                    rows = part.select(key_col, id_col).orderBy(key_col, id_col).limit(need).collect()
-                    last = rows[need - 1]
-                    return last[0], last[1]
-                lo, hi = new_lo, new_hi
+                narrowed = part.where(b == F.lit(bi))
+                if cnt == st["c"]:     # one bin holds everything (float granularity)
+                    return pick(narrowed, need, cnt <= collect_below)
+                part = narrowed
                 break
             acc += cnt
 

@@ -152,3 +152,14 @@ def test_short_cut_is_redone_exactly(spark, monkeypatch):
                     __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("tmpl").orderBy("_u", "example_id")))
                 .where("_r <= 30"))
     assert sorted(r.example_id for r in got.collect()) == sorted(r.example_id for r in want.collect())
+
+
+def test_kth_cut_with_ties_and_bin_edges(spark):
+    # keys on a coarse grid (many exact ties, many keys exactly on bin edges)
+    df = spark.range(0, 6000).select(F.format_string("%06d", "id").alias("id"),
+                                     (F.floor(uniform(F.col("id"), 9, "x", "y") * 40) / 8.0).alias("u"))
+    rows = sorted((r.u, r.id) for r in df.collect())
+    for k in (1, 150, 2999, 5999):
+        cut = SM.kth_cut(df, "u", "id", k, bins=8, collect_below=50)
+        assert cut == rows[k - 1]
+        assert SM.below_cut(df, "u", "id", cut).count() == k
