@@ -39,6 +39,25 @@ def frame_digest(cols, rows):
     return sorted(cols), len(rows), h.hexdigest()
 
 
+_SPARK_TYPES = {"string": "str", "bigint": "int64", "int": "int32", "double": "float64", "boolean": "bool",
+                "float": "float32", "smallint": "int16", "tinyint": "int8"}
+_DUCK_TYPES = {"VARCHAR": "str", "BIGINT": "int64", "INTEGER": "int32", "DOUBLE": "float64", "BOOLEAN": "bool",
+               "FLOAT": "float32", "SMALLINT": "int16", "TINYINT": "int8"}
+
+
+def spark_types(df) -> dict:
+    return {f.name: _SPARK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+
+
+def duckdb_types(sf_dir: str, sql: str) -> dict:
+    import duckdb
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    rel = con.sql(sql)
+    return {c: _DUCK_TYPES.get(str(t).split("(")[0], str(t)) for c, t in zip(rel.columns, rel.types)}
+
+
 def duckdb_result(sf_dir: str, sql: str):
     import duckdb
     con = duckdb.connect()
@@ -55,11 +74,14 @@ def spark_result(df):
 
 
 def compare(spark, sf_dir: str, name: str, query_fn, sql: str | None):
-    s_cols, s_rows = spark_result(query_fn(spark, sf_dir))
+    df = query_fn(spark, sf_dir)
+    s_cols, s_rows = spark_result(df)
     s = frame_digest(s_cols, s_rows)
     if sql is None:
         return {"name": name, "rows": s[1], "oracle": None}
     d_cols, d_rows = duckdb_result(sf_dir, sql)
     d = frame_digest(d_cols, d_rows)
+    types_match = spark_types(df) == duckdb_types(sf_dir, sql)
     return {"name": name, "rows": s[1], "oracle_rows": d[1], "cols_match": s[0] == d[0],
-            "match": s == d, "spark_cols": s[0], "oracle_cols": d[0]}
+            "types_match": types_match, "match": s == d and types_match,
+            "spark_cols": s[0], "oracle_cols": d[0]}

@@ -155,7 +155,7 @@ SKEW_ALPHAS = [-1.0, -0.5, 0.0]
 
 @register("skew_weight", Q.with_programs(*POOL_CTES,
           "f AS (SELECT abstract_template, count(*) / sum(count(*)) OVER () AS freq FROM pool GROUP BY 1)",
-          "a(alpha) AS (VALUES " + ", ".join(f"({a!r})" for a in SKEW_ALPHAS) + ")") +
+          "a(alpha) AS (VALUES " + ", ".join(f"(CAST({a!r} AS DOUBLE))" for a in SKEW_ALPHAS) + ")") +
           " SELECT f.abstract_template, a.alpha, pow(f.freq, a.alpha) AS weight FROM f, a")
 def q_skew_weight(spark, sf_dir):
     f = template_counts(training_pool(spark, sf_dir), "abstract_template")
@@ -606,7 +606,7 @@ TRUNC_MAX = 64
 
 
 @register("truncate_tokens",
-          f"SELECT conv_id, turn, len(t) AS n_tokens, array_to_string(list_concat(['@start@'], t[1:{TRUNC_MAX}], "
+          f"SELECT conv_id, turn, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(list_concat(['@start@'], t[1:{TRUNC_MAX}], "
           f"['@end@']), ' ') AS source FROM (SELECT conv_id, turn, {_sql_tokens('text')} AS t FROM conversations)")
 def q_truncate_tokens(spark, sf_dir):
     """Whole conversation turns tokenised, cut to 64 tokens, markers added."""
@@ -617,7 +617,8 @@ def q_truncate_tokens(spark, sf_dir):
 
 
 @register("truncation_counts",
-          f"SELECT sum(CASE WHEN len({_sql_tokens('text')}) > {TRUNC_MAX} THEN 1 ELSE 0 END) AS source_exceeded "
+          f"SELECT CAST(sum(CASE WHEN len({_sql_tokens('text')}) > {TRUNC_MAX} THEN 1 ELSE 0 END) AS BIGINT) "
+          "AS source_exceeded "
           "FROM conversations WHERE length(text) > 0")
 def q_truncation_counts(spark, sf_dir):
     c = SH.drop_empty_source(table(spark, sf_dir, "conversations"), "text")
@@ -724,7 +725,8 @@ def q_paraphrase_filter(spark, sf_dir):
 
 
 @register("attach_gold", Q.with_programs(PREDICTIONS_SQL) +
-          " SELECT p.example_id, len(p.predicted_tokens) AS n_pred, len(g.gold_tokens) AS n_gold FROM preds p "
+          " SELECT p.example_id, CAST(len(p.predicted_tokens) AS INTEGER) AS n_pred, "
+          "CAST(len(g.gold_tokens) AS INTEGER) AS n_gold FROM preds p "
           "LEFT JOIN (SELECT example_id, gold_tokens FROM preds WHERE has_gold) g USING (example_id)")
 def q_attach_gold(spark, sf_dir):
     p = predictions(spark, sf_dir)
@@ -894,7 +896,7 @@ def _enc_sql(src_cols: list[str]):
 
 PAIR_GAP = 2
 NEAREST_K = 4
-DIST_SQL = "CASE WHEN levenshtein(a.enc, b.enc) = 0 THEN 100000 ELSE levenshtein(a.enc, b.enc) END"
+DIST_SQL = "CAST(CASE WHEN levenshtein(a.enc, b.enc) = 0 THEN 100000 ELSE levenshtein(a.enc, b.enc) END AS INTEGER)"
 
 
 @register("template_pairs", Q.with_programs(*POOL_CTES, Q.LEVELED, *_enc_sql(["template"])) +
@@ -917,7 +919,8 @@ def q_nearest_templates(spark, sf_dir):
 
 
 @register("token_edit_distance", Q.with_programs(*POOL_CTES, Q.LEVELED, *_enc_sql(["template", "abstract_template"])) +
-          " SELECT DISTINCT l.template, l.abstract_template, levenshtein(a.enc, b.enc) AS dist FROM leveled l "
+          " SELECT DISTINCT l.template, l.abstract_template, CAST(levenshtein(a.enc, b.enc) AS INTEGER) AS dist "
+          "FROM leveled l "
           "JOIN enc a ON a.t = l.template JOIN enc b ON b.t = l.abstract_template")
 def q_token_edit_distance(spark, sf_dir):
     """Token-level edit distance between each typed template and its abstract template."""
