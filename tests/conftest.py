@@ -18,6 +18,7 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.driver.memory", "4g")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     if not s.conf.get("spark.checkpoint.dir", None):
@@ -27,6 +28,12 @@ def spark():
     yield s
 
 
+@pytest.fixture(autouse=True, scope="module")
+def _clear_cache(spark):
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture()
 def tmp_dir():
     return tempfile.mkdtemp(prefix="splitcraft-test-")
