@@ -5,12 +5,15 @@ rows.  Each distinct token gets one code point (CJK block, 20,992 codes),
 so Spark's ``levenshtein`` on the encoded strings is the token-level edit
 distance, JVM-side.
 
-Nearest-k search is exact without comparing all template pairs: a pair at
-distance d has a token-length gap of at most d, so candidate pairs come
-from an equi-join on length over a band of offsets [-D, D], and
-``levenshtein(a, b, D)`` drops pairs beyond D early.  An anchor whose k-th
-nearest template is within D is final (every template at distance <= D lies
-in the band); the others widen D (2, 4, 8, ...) in the next round.
+Pairs within distance D are found without comparing all template pairs:
+templates become sets of numbered token q-grams, and two templates within
+D edits share one of their q*D + 1 globally rarest grams (count filter +
+prefix filtering), so candidates come from an equi-join on those grams and
+are verified with ``levenshtein(a, b, D)``.  Templates too short for the
+count bound use an equi-join on token length over [-D, D].  Nearest-k: an
+anchor whose k-th nearest template is within D is final; the others widen
+D (2, 4, 8, ...) in the next round (the last round, D >= every length,
+compares the few remaining anchors with all templates).
 """
 from __future__ import annotations
 
@@ -70,12 +73,57 @@ def _band_pairs(anchors: DataFrame, targets: DataFrame, col: str, gap: int, thre
     return p.select("t1", "t2", "dist")
 
 
-def template_pairs(df: DataFrame, col: str, max_gap: int) -> DataFrame:
-    """(t1, t2, dist) for distinct templates t1 != t2 whose token lengths
-    differ by at most ``max_gap`` (both orders)."""
+Q_GRAM = 2
+PAD_L, PAD_R = "\u3000", "\u3001"   # outside the token code range
+
+
+def _prefix_grams(e: DataFrame, col: str, d: int) -> DataFrame:
+    """(template, g): the q*d + 1 globally rarest numbered q-grams of each
+    encoded template (whole set when shorter).  Two templates within token
+    edit distance d share at least max(|G|) - q*d q-grams (each edit breaks
+    at most q), so, when that bound is positive, their prefixes in one
+    global order share a gram (prefix filtering)."""
+    q = Q_GRAM
+    padded = F.concat(F.lit(PAD_L * (q - 1)), F.col("enc"), F.lit(PAD_R * (q - 1)))
+    ng = F.length(padded) - q + 1
+    grams = e.select(col, F.posexplode(F.transform(F.sequence(F.lit(1), ng),
+                                                   lambda i: F.substring(padded, i, q))).alias("pos", "gram"))
+    # number repeated grams so multiset overlap becomes set overlap
+    w = Window.partitionBy(col, "gram").orderBy("pos")
+    grams = grams.withColumn("g", F.concat_ws("#", "gram", F.row_number().over(w).cast("string")))
+    freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("_df"))
+    wp = Window.partitionBy(col).orderBy("_df", "g")
+    return (grams.join(freq, "g").withColumn("_r", F.row_number().over(wp))
+                 .where(F.col("_r") <= q * d + 1).select(col, "g"))
+
+
+def _threshold_pairs(anchors: DataFrame, targets: DataFrame, col: str, d: int) -> DataFrame:
+    """(t1, t2, dist) for anchor t1 and target t2 != t1 with token edit
+    distance <= d, exact.  Candidates share a prefix gram (equi-join on the
+    gram); anchors too short for the count bound (|G| <= q*d) use the
+    length band instead.  Distances verified with ``levenshtein(a, b, d)``."""
+    q = Q_GRAM
+    long_a = anchors.where(F.col("ntok") + q - 1 > q * d)
+    short_a = anchors.where(F.col("ntok") + q - 1 <= q * d)
+    pa = _prefix_grams(long_a, col, d).select(F.col(col).alias("t1"), "g")
+    pb = _prefix_grams(targets, col, d).select(F.col(col).alias("t2"), "g")
+    cand = pa.join(pb, "g").where(F.col("t1") != F.col("t2")).select("t1", "t2").distinct()
+    ea = long_a.select(F.col(col).alias("t1"), F.col("enc").alias("e1"), F.col("ntok").alias("n1"))
+    eb = targets.select(F.col(col).alias("t2"), F.col("enc").alias("e2"), F.col("ntok").alias("n2"))
+    p = (cand.join(ea, "t1").join(eb, "t2")
+             .where(F.abs(F.col("n1") - F.col("n2")) <= d)
+             .withColumn("dist", F.levenshtein("e1", "e2", d)).where(F.col("dist") >= 0)
+             .withColumn("dist", F.when(F.col("dist") == 0, F.lit(SELF_DISTANCE)).otherwise(F.col("dist")))
+             .select("t1", "t2", "dist"))
+    return p.unionByName(_band_pairs(short_a, targets, col, d, d))
+
+
+def template_pairs(df: DataFrame, col: str, max_dist: int) -> DataFrame:
+    """(t1, t2, dist) for distinct templates t1 != t2 within token edit
+    distance ``max_dist`` (both orders), without comparing all pairs."""
     codes = token_codes(df, [col])
-    e = encode(df, col, codes)
-    return _band_pairs(e, e, col, max_gap, None)
+    e = encode(df, col, codes).persist()
+    return _threshold_pairs(e, e, col, max_dist)
 
 
 def nearest_templates(df: DataFrame, col: str, k: int, anchors: DataFrame | None = None,
@@ -83,8 +131,9 @@ def nearest_templates(df: DataFrame, col: str, k: int, anchors: DataFrame | None
     """Exact k nearest other templates of each anchor template (default:
     every distinct template), ties broken by template text:
     (t1, t2, dist, rank)."""
+    from ..session import materialize
     codes = token_codes(df, [col])
-    e = encode(df, col, codes).persist()
+    e = materialize(encode(df, col, codes))
     todo = e if anchors is None else e.join(anchors.select(col).distinct(), col, "left_semi")
     max_n = e.agg(F.max("ntok")).first()[0] or 0
     w = Window.partitionBy("t1").orderBy("dist", "t2")
@@ -92,8 +141,10 @@ def nearest_templates(df: DataFrame, col: str, k: int, anchors: DataFrame | None
     gap = start_gap
     while True:
         final_round = gap >= max_n
-        pairs = _band_pairs(todo, e, col, gap, None if final_round else gap)
-        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).persist()
+        pairs = _band_pairs(todo, e, col, gap, None) if final_round else _threshold_pairs(todo, e, col, gap)
+        # checkpoint each round: the next round's inputs derive from this one,
+        # and uncut lineage would double the plan every round
+        ranked = materialize(pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
         if final_round:
             ok = ranked
         else:
@@ -102,7 +153,7 @@ def nearest_templates(df: DataFrame, col: str, k: int, anchors: DataFrame | None
         done = ok if done is None else done.unionByName(ok)
         if final_round:
             break
-        todo = todo.join(ok.select(F.col("t1").alias(col)).distinct(), col, "left_anti").persist()
+        todo = materialize(todo.join(ok.select(F.col("t1").alias(col)).distinct(), col, "left_anti"))
         if todo.limit(1).count() == 0:
             break
         gap *= 2

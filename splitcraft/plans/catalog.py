@@ -901,10 +901,10 @@ DIST_SQL = "CAST(CASE WHEN levenshtein(a.enc, b.enc) = 0 THEN 100000 ELSE levens
 
 @register("template_pairs", Q.with_programs(*POOL_CTES, Q.LEVELED, *_enc_sql(["template"])) +
           f" SELECT a.t AS t1, b.t AS t2, {DIST_SQL} AS dist FROM enc a JOIN enc b "
-          f"ON abs(a.n - b.n) <= {PAIR_GAP} AND a.t <> b.t")
+          f"ON a.t <> b.t WHERE levenshtein(a.enc, b.enc) <= {PAIR_GAP}")
 def q_template_pairs(spark, sf_dir):
-    """Token edit distance between distinct typed templates whose token
-    lengths differ by at most 2."""
+    """Distinct typed templates within token edit distance 2 of each other,
+    with their distance (threshold join, no all-pairs comparison)."""
     return NB.template_pairs(leveled_pool(spark, sf_dir), "template", PAIR_GAP)
 
 

@@ -59,3 +59,20 @@ def test_nearest_templates_brute_force(spark):
         cand = sorted(((_lev(a.split(), b.split()) or 100000), b) for b in temps if b != a)[:3]
         for rank, (d, b) in enumerate(cand, 1):
             assert got[(a, rank)] == (b, d)
+
+
+def test_template_pairs_threshold_join_brute_force(spark):
+    rng = random.Random(11)
+    words = ["a", "b", "c", "d"]
+    temps = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 14))) for _ in range(120)})
+    df = spark.createDataFrame([(t,) for t in temps], "t string")
+    for d in (1, 2, 3):
+        got = {(r.t1, r.t2): r.dist for r in NB.template_pairs(df, "t", d).collect()}
+        want = {}
+        for a in temps:
+            for b in temps:
+                if a != b:
+                    x = _lev(a.split(), b.split())
+                    if x <= d:
+                        want[(a, b)] = x or 100000
+        assert got == want, d
