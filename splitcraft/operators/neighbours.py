@@ -206,7 +206,7 @@ def _arc_candidates(rest: DataFrame, elig: DataFrame, lev_col: str, id_col: str,
     template's rows, with exponential-race keys generated in order
     (key_j = sum_{i<=j} E_i / (c - i), the order statistics of c Exp(1)
     draws), so each set reads at most P rows of any template."""
-    from .. functions.hashing import uniform as U
+    from ..functions.hashing import uniform as U
     ordered = row_index(rest.withColumn("_g", U(F.col(id_col), seed, "nbr", "order")), [lev_col, "_g", id_col], "_idx")
     first = ordered.groupBy(lev_col).agg(F.min("_idx").alias("_first"))
     rows = ordered.join(first, lev_col).select(F.col(lev_col).alias("template"), id_col,
