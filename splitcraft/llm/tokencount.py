@@ -67,7 +67,8 @@ def count_batch(texts: list[str], model: bytes) -> list[int]:
         return [len(x) for x in sp.encode(texts, num_threads=1)]
     # the processor puts a blank before what it encodes, so the part " ab" is
     # encoded as "ab"; the blank before the whole text makes its first part one
-    parts = [_PART.findall(" " + t) if t else [] for t in texts]
+    # (the model's own blank sign in a text counts as a blank for it)
+    parts = [_PART.findall(" " + t.replace(_BLANK, " ")) if t else [] for t in texts]
     new = list(set().union(*parts).difference(known))
     if len(known) + len(new) > CACHE_PARTS:
         known.clear()
