@@ -5,9 +5,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitcraft.llm import tokencount
+from splitcraft.llm import bpe, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
     "op7_token_counts": tokencount.op7_token_counts,
 }
 
