@@ -5,11 +5,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitcraft.llm import bpe, tokencount
+from splitcraft.llm import bpe, quality, sharding, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op6_jump_sharding": sharding.op6_jump_sharding,
     "op7_token_counts": tokencount.op7_token_counts,
+    "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
 }
 
 ORACLES: dict[str, str] = {}
