@@ -5,10 +5,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitcraft.llm import bpe, minhash, quality, sharding, tokencount
+from splitcraft.llm import bpe, minhash, pii, quality, sharding, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minmax_dedup": minhash.op1_minmax_dedup,
+    "op2_private_data": pii.op2_private_data,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_jump_sharding": sharding.op6_jump_sharding,
     "op7_token_counts": tokencount.op7_token_counts,
