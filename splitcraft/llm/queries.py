@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitcraft.llm import bpe, minhash, pii, quality, sharding, tokencount
+from splitcraft.llm import bpe, minhash, pii, quality, sharding, tokencount, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minmax_dedup": minhash.op1_minmax_dedup,
@@ -13,7 +13,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_jump_sharding": sharding.op6_jump_sharding,
     "op7_token_counts": tokencount.op7_token_counts,
+    "op8_ball_tree_top_k": topk.op8_ball_tree_top_k,
     "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_ball_tree_top_k": topk.ORACLE,
+}
