@@ -151,25 +151,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b): the smallest node it
-    reaches.  Each round replaces every node by its smallest neighbour in all
-    edges and keeps the edge to it, until only stars are left."""
+    reaches.  Large and small stars in turn: an edge's smaller end moves to the
+    smallest neighbour of that end, then all smaller neighbours of a node move
+    to its smallest one, until only stars are left (a logarithmic number of
+    rounds, also for a chain)."""
     edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while True:
-        near = (edges.select(F.col("b").alias("node"), F.col("a").alias("to"))
-                .unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("to")))
-                .groupBy("node").agg(F.min("to").alias("root")))
-        near = stored(near, "roots")
-        # a star: every root is its own root
-        root = near.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        if near.join(root, "root").where("next <> root").isEmpty():
-            if edges.join(near.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), "a").join(
-                    near.withColumnRenamed("node", "b").withColumnRenamed("root", "rb"), "b").where("ra <> rb").isEmpty():
-                return near
-        moved = (edges.join(near.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), "a")
-                 .join(near.withColumnRenamed("node", "b").withColumnRenamed("root", "rb"), "b"))
-        edges = stored(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-                       .unionByName(near.select(F.col("root").alias("a"), F.col("node").alias("b")))
-                       .where("a <> b").distinct(), "edges")
+        low = stored(edges.groupBy("b").agg(F.min("a").alias("low")), "low")
+        inner = edges.join(low.select(F.col("b").alias("a")), "a", "left_semi")
+        if low.count() == edges.count() and inner.isEmpty():
+            roots = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
+        large = (edges.join(low.select(F.col("b").alias("a"), "low"), "a", "left")
+                 .select(F.coalesce("low", "a").alias("a"), "b").distinct())
+        large = stored(large, "large")
+        least = large.groupBy("b").agg(F.min("a").alias("low"))
+        small = (large.join(least, "b").where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b"))
+                 .unionByName(least.select(F.col("low").alias("a"), "b")).distinct())
+        edges = stored(small, "edges")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, col: str, name: str) -> DataFrame:
