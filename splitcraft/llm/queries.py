@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitcraft.llm import bpe, minhash, pii, quality, sharding, tokencount, topk
+from splitcraft.llm import bpe, minhash, mixing, pii, quality, sharding, tokencount, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minmax_dedup": minhash.op1_minmax_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jump_sharding": sharding.op6_jump_sharding,
     "op7_token_counts": tokencount.op7_token_counts,
     "op8_ball_tree_top_k": topk.op8_ball_tree_top_k,
+    "op9_temperature_mixing": mixing.op9_temperature_mixing,
     "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
 }
 
