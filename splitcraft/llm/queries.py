@@ -5,13 +5,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitcraft.llm import bpe, minhash, mixing, pii, quality, sharding, tokencount, topk, toxicity
+from splitcraft.llm import bpe, minhash, mixing, pii, quality, sharding, substrings, tokencount, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minmax_dedup": minhash.op1_minmax_dedup,
     "op2_private_data": pii.op2_private_data,
     "op3_compression_toxicity": toxicity.op3_compression_toxicity,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_repeated_passages": substrings.op5_repeated_passages,
     "op6_jump_sharding": sharding.op6_jump_sharding,
     "op7_token_counts": tokencount.op7_token_counts,
     "op8_ball_tree_top_k": topk.op8_ball_tree_top_k,
