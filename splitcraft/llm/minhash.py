@@ -11,15 +11,16 @@ similarity of at least 0.8; a group is what links connect.
    The smallest one of a bucket is its hub, found by a sum that each task makes
    first.  Each document is compared with the hub it meets most, then with its
    other hubs outside its own component.
-3. **Rest.**  In a bucket that still holds several components, every document
-   outside the largest one is compared with all of the others.  So no pair that
-   meets in a bucket is left open, unless it is connected already, and a large
-   group of copies costs a star and not all of its pairs.  Large open buckets
-   (``OPEN_PAIRS``) are split by a second band that their pairs have to share.
+3. **Rest.**  A bucket may still hold several components.  Each document outside
+   its largest one is then compared with all of the others: in a small bucket
+   as pairs; else with that whole component and the other documents left over
+   beside it, in blocks whose sets are compared as matrices, so that no pair
+   becomes a row.  So no pair that meets in a bucket is left open unless it is
+   connected already, and a large group of copies costs a star.
 4. Every link is confirmed on the full sets (64-bit hashes of the shingles).
 
-A pair at exactly 0.8 misses all 50 bands of 6 with probability 2.5e-7, and has
-fewer than two of them with 4.7e-6; more similar pairs are missed more rarely.
+A pair at exactly 0.8 misses all 50 bands of 6 with probability 2.5e-7; more
+similar pairs are missed more rarely.
 
 Words are what stands between ASCII white space, A-Z lower-cased.  A text with
 fewer words than a shingle has is one shingle; one without words (or null) has
@@ -39,8 +40,9 @@ from pyspark.sql import functions as F
 from splitcraft.llm.common import doc_texts, ship, stored, table
 
 BANDS, ROWS = 50, 6
-#: Pairs of an open bucket above which a second shared band is asked for.
-OPEN_PAIRS = 4096
+#: Pairs of an open bucket above which they are compared in blocks, and the
+#: shingles in a block's side.
+OPEN_PAIRS, BLOCK_SHINGLES = 256, 1_000_000
 CACHE_WORDS = 400_000
 
 _hashes: dict[bytes, int] = {}
@@ -176,6 +178,63 @@ def _labelled(rows: DataFrame, labels: DataFrame, col: str, name: str) -> DataFr
             .withColumn(name, F.coalesce(name, col)))
 
 
+def similar_rows(x: list[np.ndarray], y: list[np.ndarray], similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of sorted sets that are similar enough: a matrix
+    product over the elements that both sides have."""
+    xs, ys = np.concatenate(x), np.concatenate(y)
+    nx, ny = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+    shared = np.intersect1d(xs, ys)
+    if not len(shared):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def matrix(flat, sizes):
+        at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+        there = shared[at] == flat
+        out = np.zeros((len(sizes), len(shared)), np.float32)
+        out[np.repeat(np.arange(len(sizes)), sizes)[there], at[there]] = 1
+        return out
+
+    both = (matrix(xs, nx) @ matrix(ys, ny).T).astype(np.int64)  # whole numbers below 2^24 are exact
+    return np.nonzero(100 * both >= similarity * (nx[:, None] + ny[None, :] - both))
+
+
+def _in_blocks(left: DataFrame, placed: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links ``a, b`` between each document of ``left`` (main, doc_id) and the
+    component ``main`` (of ``placed``: doc_id, main) with all others left beside
+    it.  Both sides are cut into slices of about ``BLOCK_SHINGLES``; a task
+    compares one slice with one."""
+    whole = placed.join(left.select("main").distinct(), "main", "left_semi").select("main", "doc_id").unionByName(left)
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        rows = rows.join(sets, "doc_id")
+        total = rows.groupBy("main").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).cast("int").alias("slices"))
+        return stored(rows.join(total, "main").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int")), "slices")
+
+    x, y = sliced(left), sliced(whole)
+    nx = x.select("main", F.col("slices").alias("other")).distinct()
+    ny = y.select("main", F.col("slices").alias("other")).distinct()
+    every = F.explode(F.sequence(F.lit(0), F.col("other") - 1))
+    x = x.join(ny, "main").select("main", F.col("slice").alias("sx"), every.alias("sy"), "doc_id", "shingles")
+    y = y.join(nx, "main").select(F.col("main").alias("of"), every.alias("tx"), F.col("slice").alias("ty"), F.col("doc_id").alias("other"), F.col("shingles").alias("elements"))
+
+    def compared(left_rows, right_rows):
+        import pandas as pd
+
+        out = []
+        ids, other = left_rows["doc_id"].to_numpy(), right_rows["other"].to_numpy()
+        a, b = left_rows["shingles"].tolist(), right_rows["elements"].tolist()
+        a, b = [np.sort(v) for v in a], [np.sort(v) for v in b]
+        for i in range(0, len(a), 256):
+            for j in range(0, len(b), 512):
+                p, q = similar_rows(a[i:i + 256], b[j:j + 512], similarity)
+                out.append(np.stack([ids[i + p], other[j + q]]))
+        found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        found = found[:, found[0] != found[1]]
+        return pd.DataFrame({"a": found.min(axis=0), "b": found.max(axis=0)}).drop_duplicates()
+
+    return x.groupBy("main", "sx", "sy").cogroup(y.groupBy("of", "tx", "ty")).applyInPandas(compared, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row; ``words`` per
     shingle, ``similarity`` in hundredths."""
@@ -208,18 +267,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
     by_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     spread = (by_root.groupBy("bucket").agg(F.sum("n").alias("total"), F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("parts"))
               .where("parts > 1 and total > 2"))
-    open_ = placed.join(spread.select("bucket", F.col("top.root").alias("main"), ((F.col("total") - F.col("top.n")) * F.col("total")).alias("pairs")), "bucket")
-    open_ = stored(open_, "open")
+    open_ = stored(placed.join(spread.select("bucket", F.col("top.root").alias("main"), ((F.col("total") - F.col("top.n")) * F.col("total")).alias("pairs")), "bucket"), "open")
     if not open_.isEmpty():
-        large = F.col("pairs") > OPEN_PAIRS
-        second = (open_.where(large).join(reps, "doc_id")
-                  .select("bucket", "doc_id", "hub", "root", "main", F.explode("bands").alias("other")).where("other <> bucket"))
-        cells = open_.where(~large).select("bucket", "doc_id", "hub", "root", "main", F.lit(0).cast("long").alias("other")).unionByName(second)
-        out = cells.where("root <> main").select("bucket", "other", "hub", F.col("doc_id").alias("x"), F.col("root").alias("rx"))
-        all_ = cells.select("bucket", "other", F.col("doc_id").alias("y"), F.col("root").alias("ry"))
-        pairs = (out.join(all_, ["bucket", "other"]).where("rx <> ry and x <> hub and y <> hub")
+        few = F.col("pairs") <= OPEN_PAIRS
+        out = open_.where(few & (F.col("root") != F.col("main"))).select("bucket", "hub", F.col("doc_id").alias("x"), F.col("root").alias("rx"))
+        all_ = open_.where(few).select("bucket", F.col("doc_id").alias("y"), F.col("root").alias("ry"))
+        pairs = (out.join(all_, "bucket").where("rx <> ry and x <> hub and y <> hub")
                  .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        rest = stored(confirmed(pairs, sets, similarity), "links")
+        rest = confirmed(pairs, sets, similarity)
+        left = open_.where(~few & (F.col("root") != F.col("main"))).select("main", "doc_id").distinct()
+        left = stored(left, "left")
+        if not left.isEmpty():
+            rest = rest.unionByName(_in_blocks(left, _labelled(seen, labels, "doc_id", "main"), sets, similarity))
+        rest = stored(rest, "links")
         if not rest.isEmpty():
             labels = components(links.unionByName(rest))
 
