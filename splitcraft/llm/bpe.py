@@ -415,20 +415,27 @@ def _rounds(texts: pa.Array) -> Iterator[tuple[int, int]]:
     yield from rounds(pc.binary_length(texts).to_pylist(), ROUND_BYTES)
 
 
-def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids`` (array of int) of every row."""
+def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
+    """``doc_id, ids`` (array of int) of every row; with ``check`` also
+    ``n_tokens`` and ``intact``, whether the ids decode to the text again."""
     tables, key = _compiled(docs.sparkSession, vocabulary_path)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in _rounds(batch.column(1)):
-                ids = coder(tables.value, key).encode(batch.column(1).slice(start, stop - start).to_pylist())
+                one = coder(tables.value, key)
+                texts = batch.column(1).slice(start, stop - start).to_pylist()
+                ids = one.encode(texts)
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
                 values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), lists], names=["doc_id", "ids"])
-
-    return doc_texts(docs, id_col, text_col).mapInArrow(encoded, "doc_id long, ids array<int>")
+                columns = {"doc_id": batch.column(0).slice(start, stop - start), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
+                if check:
+                    columns["n_tokens"] = pa.array([len(x) // 4 for x in ids], pa.int64())
+                    columns["intact"] = pa.array([one.decode(x) == t for x, t in zip(ids, texts)], pa.bool_())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    more = ", n_tokens long, intact boolean" if check else ""
+    return doc_texts(docs, id_col, text_col).mapInArrow(encoded, "doc_id long, ids array<int>" + more)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:

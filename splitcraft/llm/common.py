@@ -6,7 +6,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitcraft.session import ensure_checkpoint_dir
@@ -47,6 +47,11 @@ def doc_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A hash of id and text that tells rows apart, also those with one id."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder that the session names
     (``spark.checkpoint.dir``) and read it back: the lineage ends there, a

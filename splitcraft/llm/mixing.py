@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from splitcraft.llm.common import SPACE_CLASS, stored, table
+from splitcraft.llm.common import row_key, stored, table
 
 GRID, STEPS = 16, 12
 #: Rows in a slice of a source's pass on average at most, and slices at least.
@@ -104,7 +104,7 @@ def mixture(docs: DataFrame, entropy: float | None = None, repeats: float | None
     ``doc_id`` lead back to the document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.greatest(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long")
-    rows = stored(docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("key"), F.col(id_col).cast("long").alias("doc_id"),
+    rows = stored(docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"),
                               F.coalesce(F.col(source_col), F.lit("")).alias("source"), words.alias("tokens")), "mixing")
     per_source = stored(sources(rows), "sources")
     weighted, _ = weights(per_source, entropy, repeats, budget)
@@ -134,8 +134,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **targe
     """``docs`` as mixed: each row as often as it is taken."""
     picked = (mixture(docs, id_col=id_col, text_col=text_col, **target).groupBy("key", "pass").agg(F.count(F.lit(1)).alias("n"))
               .groupBy("key").agg(F.count(F.lit(1)).alias("_times")).withColumnRenamed("key", "_key"))
-    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    return (docs.withColumn("_key", key).join(picked, "_key").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return (docs.withColumn("_key", row_key(id_col, text_col)).join(picked, "_key").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times"))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from splitcraft.llm.common import ship, stored, table
+from splitcraft.llm.common import row_key, ship, stored, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of an entity that may give it away, and the signs in
@@ -151,7 +151,7 @@ def _found_type() -> pa.Schema:
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc_id = F.col(id_col).cast("long")
-    return docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
+    return docs.select(row_key(id_col, text_col).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
 
 
 def find_base(texts: DataFrame) -> DataFrame:
@@ -230,9 +230,10 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "terms", F.coalesce("terms", F.array().cast("array<struct<start:int,stop:int,share:double>>")))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """``docs`` with base spans and disclosing terms replaced or taken out of
-    the text.  Texts without any stay as they are, a null one null."""
+    the text.  Texts without any stay as they are, a null one null.  A column
+    ``chars_col`` gets the new text's length where the text has changed."""
     hits = (find_private(docs, id_col, text_col).where("size(spans) > 0 or size(terms) > 0")
             .select(F.col("key").alias("_key"), F.col("spans").alias("_spans"), F.col("terms").alias("_terms")).dropDuplicates(["_key"]))
 
@@ -240,10 +241,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def cleaned(text: pd.Series, spans: pd.Series, terms: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else replaced(t, s, m) for t, s, m in zip(text, spans, terms)], dtype=object)
 
-    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumn("_key", key).join(hits, "_key", "left")
+    joined = docs.withColumn("_key", row_key(id_col, text_col)).join(hits, "_key", "left")
     text = F.when(F.col("_spans").isNotNull(), cleaned(F.coalesce(F.col(text_col), F.lit("")), "_spans", "_terms")).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = joined.withColumn(text_col, text)
+    if chars_col in docs.columns:
+        joined = joined.withColumn(chars_col, F.when(F.col("_spans").isNotNull(), F.length(text_col)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def replaced(text: str, spans, terms) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from splitcraft.llm.common import SPACE_CLASS, stored, table
+from splitcraft.llm.common import SPACE_CLASS, row_key, stored, table
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Words in the window that is looked for again in the same text.
@@ -136,15 +136,15 @@ def cutoffs(rows: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, the signals, ``base_failed`` and ``kept`` of every row.  The
-    signals are written once to the shared folder; sketches and join read
-    those few columns."""
+    """``key``, ``doc_id``, the signals, ``base_failed`` and ``kept`` of every
+    row; ``key`` is that of the row (``row_key``).  The signals are written once
+    to the shared folder; sketches and join read those few columns."""
     rows = with_signals(docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
+        row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
         F.coalesce(F.col("source"), F.lit("")).alias("source"), F.col(text_col).alias("text")))
-    rows = stored(rows.select("doc_id", "lang", "source", "_signals.*"), "quality")
+    rows = stored(rows.select("key", "doc_id", "lang", "source", "_signals.*"), "quality")
     cuts = cutoffs(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
     fails = [base_failed()]
     for share, col in shares().items():
         fails.append(col > F.col(f"{share}_high"))
@@ -154,10 +154,16 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     for f in fails[1:]:
         failed = failed | f
     return salted.join(cuts, ["lang", "source", "salt"]).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "key", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), (~failed).alias("kept"))
 
 
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that the rules reject."""
+    rejected = judged(docs, id_col, text_col).where("not kept").select(F.col("key").alias("_rejected"))
+    return docs.join(rejected, row_key(id_col, text_col) == F.col("_rejected"), "left_anti")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals and verdict of every document."""
-    return judged(table(spark, sf_dir, "documents"))
+    return judged(table(spark, sf_dir, "documents")).drop("key")

@@ -5,9 +5,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from splitcraft.llm import bpe, minhash, mixing, pii, quality, sharding, substrings, tokencount, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_minmax_dedup": minhash.op1_minmax_dedup,
     "op2_private_data": pii.op2_private_data,
     "op3_compression_toxicity": toxicity.op3_compression_toxicity,
