@@ -285,15 +285,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
 
     many = classes.where("n > 1").select("high", "low", "rep")
     out = _labelled(signed.select("doc_id", "n_shingles", "high", "low").join(many, ["high", "low"], "left")
-                    .withColumn("rep", F.coalesce("rep", "doc_id")), labels, "rep", "component_id")
+                    .withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))), labels, "rep", "component_id")
     return out.select("doc_id", "n_shingles", "component_id",
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
     """``docs`` with one document of each group."""
-    kept = near_duplicates(docs, words, similarity).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = near_duplicates(docs, words, similarity).where("kept").select(F.col("doc_id").alias("_llm_kept"))
+    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_llm_kept")), "left_semi")
 
 
 def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

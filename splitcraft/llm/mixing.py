@@ -133,8 +133,8 @@ def mixture(docs: DataFrame, entropy: float | None = None, repeats: float | None
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **target) -> DataFrame:
     """``docs`` as mixed: each row as often as it is taken."""
     picked = (mixture(docs, id_col=id_col, text_col=text_col, **target).groupBy("key", "pass").agg(F.count(F.lit(1)).alias("n"))
-              .groupBy("key").agg(F.count(F.lit(1)).alias("_times")).withColumnRenamed("key", "_key"))
-    return (docs.withColumn("_key", row_key(id_col, text_col)).join(picked, "_key").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+              .groupBy("key").agg(F.count(F.lit(1)).alias("_llm_times")).withColumnRenamed("key", "_llm_key"))
+    return (docs.withColumn("_llm_key", row_key(id_col, text_col)).join(picked, "_llm_key").withColumn("_llm_pass", F.explode(F.sequence(F.lit(1), F.col("_llm_times"))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 

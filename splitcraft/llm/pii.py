@@ -235,17 +235,17 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
     the text.  Texts without any stay as they are, a null one null.  A column
     ``chars_col`` gets the new text's length where the text has changed."""
     hits = (find_private(docs, id_col, text_col).where("size(spans) > 0 or size(terms) > 0")
-            .select(F.col("key").alias("_key"), F.col("spans").alias("_spans"), F.col("terms").alias("_terms")).dropDuplicates(["_key"]))
+            .select(F.col("key").alias("_llm_key"), F.col("spans").alias("_llm_spans"), F.col("terms").alias("_llm_terms")).dropDuplicates(["_llm_key"]))
 
     @F.pandas_udf(T.StringType())
     def cleaned(text: pd.Series, spans: pd.Series, terms: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else replaced(t, s, m) for t, s, m in zip(text, spans, terms)], dtype=object)
 
-    joined = docs.withColumn("_key", row_key(id_col, text_col)).join(hits, "_key", "left")
-    text = F.when(F.col("_spans").isNotNull(), cleaned(F.coalesce(F.col(text_col), F.lit("")), "_spans", "_terms")).otherwise(F.col(text_col))
+    joined = docs.withColumn("_llm_key", row_key(id_col, text_col)).join(hits, "_llm_key", "left")
+    text = F.when(F.col("_llm_spans").isNotNull(), cleaned(F.coalesce(F.col(text_col), F.lit("")), "_llm_spans", "_llm_terms")).otherwise(F.col(text_col))
     joined = joined.withColumn(text_col, text)
     if chars_col in docs.columns:
-        joined = joined.withColumn(chars_col, F.when(F.col("_spans").isNotNull(), F.length(text_col)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
+        joined = joined.withColumn(chars_col, F.when(F.col("_llm_spans").isNotNull(), F.length(text_col)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -160,8 +160,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the rules reject."""
-    rejected = judged(docs, id_col, text_col).where("not kept").select(F.col("key").alias("_rejected"))
-    return docs.join(rejected, row_key(id_col, text_col) == F.col("_rejected"), "left_anti")
+    rejected = judged(docs, id_col, text_col).where("not kept").select(F.col("key").alias("_llm_rejected"))
+    return docs.join(rejected, row_key(id_col, text_col) == F.col("_llm_rejected"), "left_anti")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

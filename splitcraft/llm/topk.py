@@ -156,7 +156,7 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: float = 1.0, id_col: str
     v = F.col(vector_col)
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = vectors.where(v.isNotNull() & (F.size(v) > 0) & ~odd & F.col(id_col).isNotNull())
-    good = stored(good.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"),
+    good = stored(good.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double") * scale).alias("v"),
                               F.size(v).alias("dim"), is_query.alias("is_query")).distinct(), "vectors")
     rows, asked = good.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
     shards, blocks = max(1, -(-rows // SHARD_ROWS)), max(1, -(-asked // BLOCK_ROWS))
@@ -171,7 +171,7 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: float = 1.0, id_col: str
     def in_shard(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        q, x = np.stack(left["v"].to_numpy()), np.stack(right["vector"].to_numpy())
+        q, x = np.floor(np.stack(left["v"].to_numpy())), np.floor(np.stack(right["vector"].to_numpy()))
         qi, xi = left["id"].to_numpy(), right["vec_id"].to_numpy()
         if np.abs(q).max() * np.abs(x).max() * q.shape[1] >= EXACT:
             return search_exactly(q, qi, x, xi, k)

@@ -181,6 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     base = " ".join(reversed(common)).encode()[-32768:] + b" "
     rows = sample.select("toxic", "text").mapInArrow(
         _histograms(spark.sparkContext.broadcast((material, base))), "toxic int, histogram array<long>").collect()
+    if not rows:  # no labelled document is there
+        return None
     h, y = np.array([r["histogram"] for r in rows], float), np.array([r["toxic"] for r in rows], float)
     sides = [(h[y == k].sum(axis=0) + 0.5) / (h[y == k].sum() + 0.5 * h.shape[1]) for k in (1, 0)]
     ratio = np.log(sides[0] / sides[1])
