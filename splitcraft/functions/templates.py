@@ -135,7 +135,11 @@ def fold_value_arithmetic(c: Column) -> Column:
     def one_round(t, _i):
         return F.aggregate(F.regexp_extract_all(t, F.lit(FOLD_PATTERN), 1), t, step)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(FOLD_ROUNDS)), c, one_round)
+    def rounds(t):
+        return F.aggregate(F.sequence(F.lit(1), F.lit(FOLD_ROUNDS)), t, one_round)
+
+    # most texts hold nothing to fold; the one-element array names the input once
+    return F.element_at(F.transform(F.array(c), lambda t: F.when(t.rlike(FOLD_PATTERN), rounds(t)).otherwise(t)), 1)
 
 
 _META = set(".^$*+?()[]{}|\\")

@@ -17,7 +17,7 @@ def exact_match(gold, predicted) -> F.Column:
     token (the last predicted token is dropped even when it is no end
     marker)."""
     g, p = F.col(gold) if isinstance(gold, str) else gold, F.col(predicted) if isinstance(predicted, str) else predicted
-    return F.slice(g, 2, F.greatest(F.size(g) - 2, F.lit(0))) == F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))
+    return F.slice(g, 2, F.greatest(F.size(g) - 2, F.lit(0))).eqNullSafe(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))))
 
 
 def attach_gold(predictions: DataFrame, gold: DataFrame, id_col: str = "example_id", how: str = "left") -> DataFrame:
@@ -76,64 +76,14 @@ def _strip_ids(c, exclude):
     return F.filter(c, lambda x: ~x.isin(*exclude)) if exclude else c
 
 
-def _ngrams(c, n: int):
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(0))),
-                       lambda i: F.concat_ws(" ", F.slice(c, i, n).cast("array<string>")))
-
-
-def _ngram_counts(c, n: int):
-    grams = F.when(F.size(c) >= n, _ngrams(c, n)).otherwise(F.array().cast("array<string>"))
-    return grams
-
-
-def _gram_counts(base: DataFrame, id_col: str, ns) -> DataFrame:
-    """(id, n, gram, pc, gc): n-gram counts of prediction and gold per row.
-
-    ``base`` is hash-partitioned on the id first, so the per-(id, n, gram)
-    aggregate needs no further shuffle (hash(id) already clusters it); one
-    explode covers every n and both sides."""
-    def tag(n, flag):
-        # one-argument lambda: transform() passes an index as a 2nd argument
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(flag).alias("is_p"))
-
-    def with_n(col, flag):
-        return F.flatten(F.array(*[F.transform(_ngram_counts(F.col(col), n), tag(n, flag)) for n in ns]))
-
-    items = F.concat(with_n("_p", 1), with_n("_g", 0))
-    x = base.repartition(id_col).select(id_col, F.explode(items).alias("x"))
-    return (x.groupBy(id_col, "x.n", "x.gram")
-             .agg(F.sum("x.is_p").alias("pc"), F.sum(1 - F.col("x.is_p")).alias("gc")))
-
-
-def bleu(df: DataFrame, gold_col: str, pred_col: str, id_col: str, exclude=(), max_n: int = 4) -> DataFrame:
-    """Corpus BLEU (uniform weights over 1..max_n grams, clipped counts,
-    brevity penalty on corpus lengths, 1e-13 smoothing inside the logs).
-    n-gram counts come from one distributed aggregate per (row, n, gram);
-    no per-row Python."""
-    base = df.select(id_col, _strip_ids(F.col(gold_col), exclude).alias("_g"),
-                     _strip_ids(F.col(pred_col), exclude).alias("_p"))
-    counts = _gram_counts(base, id_col, range(1, max_n + 1))
-    sums = [F.sum(F.when(F.col("n") == n, F.least("pc", "gc"))).alias(f"m{n}") for n in range(1, max_n + 1)] + \
-           [F.sum(F.when(F.col("n") == n, F.col("pc"))).alias(f"t{n}") for n in range(1, max_n + 1)]
-    stats = counts.agg(*sums).withColumn("_one", F.lit(1))
-    lens = base.agg(F.sum(F.size("_p")).alias("plen"), F.sum(F.size("_g")).alias("rlen")).withColumn("_one", F.lit(1))
-    stats = stats.join(lens, "_one")   # two one-row aggregates
-    w = 1.0 / max_n
-    score = sum(w * (F.log(F.coalesce(F.col(f"m{n}"), F.lit(0)) + 1e-13) -
-                     F.log(F.coalesce(F.col(f"t{n}"), F.lit(0)) + 1e-13)) for n in range(1, max_n + 1))
-    bp = (F.when(F.col("plen") > F.col("rlen"), 1.0)
-           .when((F.col("rlen") == 0) | (F.col("plen") == 0), 0.0)
-           .otherwise(F.exp(1.0 - F.col("rlen") / F.col("plen"))))
-    return stats.select(F.round(bp * F.exp(score), 9).alias("bleu"))
-
-
-def _make_lcs_udf():
-    """Build the LCS pandas UDF from a nested function that carries all its
-    logic, so it is pickled by value: Python workers need no import of this
-    package (they may run where it is not installed)."""
+def _make_overlap_udf(max_n: int, lcs: bool):
+    """Arrow function of gold and predicted ids that gives, per row, the lengths
+    and the clipped n-gram matches for n up to ``max_n``, and with ``lcs`` the
+    longest common subsequence.  Built from nested functions, so it is pickled
+    by value and Python workers need no import of this package."""
 
     def lcs_bits(a, b) -> int:
-        # bit-parallel LCS: one big-int step per element of a
+        # bit-parallel: one big-int step per element of a
         if len(a) == 0 or len(b) == 0:
             return 0
         masks = {}
@@ -146,43 +96,73 @@ def _make_lcs_udf():
             v = ((v + u) | (v - u)) & full
         return len(b) - bin(v).count("1")
 
-    def lcs_batch(a, b):
+    def matches(g, p, n) -> int:
+        counts = {}
+        for k in range(len(g) - n + 1):
+            gram = tuple(g[k:k + n])
+            counts[gram] = counts.get(gram, 0) + 1
+        hit = 0
+        for k in range(len(p) - n + 1):
+            gram = tuple(p[k:k + n])
+            if counts.get(gram, 0) > 0:
+                counts[gram] -= 1
+                hit += 1
+        return hit
+
+    def overlaps(gold, pred):
         import pandas as pd
-        return pd.Series([lcs_bits(list(x) if x is not None else [], list(y) if y is not None else [])
-                          for x, y in zip(a, b)], dtype="int64")
 
-    return lcs_bits, F.pandas_udf(lcs_batch, T.LongType())
+        rows = []
+        for g, p in zip(gold, pred):
+            g, p = ([] if x is None else list(x) for x in (g, p))
+            rows.append([len(g), len(p), lcs_bits(p, g) if lcs else 0, *(matches(g, p, n) for n in range(1, max_n + 1))])
+        return pd.DataFrame(rows, columns=["lg", "lp", "lcs", *(f"m{n}" for n in range(1, max_n + 1))], dtype="int64")
+
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("lg", "lp", "lcs", *(f"m{n}" for n in range(1, max_n + 1)))])
+    return lcs_bits, F.pandas_udf(overlaps, schema)
+
+
+_lcs_bits, _ = _make_overlap_udf(1, True)
+
 
+def _overlaps(df: DataFrame, gold_col: str, pred_col: str, exclude, max_n: int, lcs: bool) -> DataFrame:
+    """One row of counts per row of ``df``, in one narrow pass."""
+    _, overlap = _make_overlap_udf(max_n, lcs)
+    return df.select(overlap(_strip_ids(F.col(gold_col), exclude), _strip_ids(F.col(pred_col), exclude)).alias("o")).select("o.*")
 
-_lcs_bits, lcs_length = _make_lcs_udf()
-lcs_length.__doc__ = """Longest-common-subsequence length of two arrays, per row (Arrow
-batches; a small helper inside a distributed aggregate)."""
+
+def bleu(df: DataFrame, gold_col: str, pred_col: str, id_col: str | None = None, exclude=(), max_n: int = 4) -> DataFrame:
+    """Corpus BLEU (uniform weights over 1..max_n grams, clipped counts,
+    brevity penalty on corpus lengths, 1e-13 smoothing inside the logs).  Each
+    row is counted on its own (ids may repeat); the only exchange is that of the
+    final sums."""
+    rows = _overlaps(df, gold_col, pred_col, exclude, max_n, False)
+    total = lambda n: F.greatest(F.col("lp") - (n - 1), F.lit(0))
+    stats = rows.agg(F.sum("lp").alias("plen"), F.sum("lg").alias("rlen"),
+                     *[F.coalesce(F.sum(f"m{n}"), F.lit(0)).alias(f"m{n}") for n in range(1, max_n + 1)],
+                     *[F.coalesce(F.sum(total(n)), F.lit(0)).alias(f"t{n}") for n in range(1, max_n + 1)])
+    w = 1.0 / max_n
+    score = sum(w * (F.log(F.col(f"m{n}") + 1e-13) - F.log(F.col(f"t{n}") + 1e-13)) for n in range(1, max_n + 1))
+    bp = (F.when(F.col("plen") > F.col("rlen"), 1.0)
+           .when((F.col("rlen") == 0) | (F.col("plen") == 0), 0.0)
+           .otherwise(F.exp(1.0 - F.col("rlen") / F.col("plen"))))
+    return stats.select(F.round(bp * F.exp(score), 9).alias("bleu"))
 
 
-def rouge(df: DataFrame, gold_col: str, pred_col: str, id_col: str, exclude=()) -> DataFrame:
+def rouge(df: DataFrame, gold_col: str, pred_col: str, id_col: str | None = None, exclude=()) -> DataFrame:
     """ROUGE-1, ROUGE-2 (per-row n-gram F1) and ROUGE-L (per-row LCS F1),
-    each averaged over rows.  n-gram matches come from a distributed
-    explode + group-by per (row, n, gram), as for BLEU."""
-    base = df.select(id_col, _strip_ids(F.col(gold_col), exclude).alias("_g"),
-                     _strip_ids(F.col(pred_col), exclude).alias("_p"))
+    each averaged over rows, in one pass."""
+    rows = _overlaps(df, gold_col, pred_col, exclude, 2, True)
 
     def f1(match, tp, tr):
+        match = match.cast("double")
         prec = F.when(tp > 0, match / tp).otherwise(0.0)
         rec = F.when(tr > 0, match / tr).otherwise(0.0)
         return F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
 
-    base = base.repartition(id_col)
-    per_row = base.select(id_col, F.size("_p").alias("lp"), F.size("_g").alias("lg"),
-                          lcs_length(F.col("_p"), F.col("_g")).alias("lcs"))
-    m = (_gram_counts(base, id_col, (1, 2)).groupBy(id_col)
-         .agg(*[F.sum(F.when(F.col("n") == n, F.least("pc", "gc"))).alias(f"m{n}") for n in (1, 2)]))
-    per_row = per_row.join(m, id_col, "left")
-    tp = lambda n: F.greatest(F.col("lp") - n + 1, F.lit(0)).cast("double")
-    tr = lambda n: F.greatest(F.col("lg") - n + 1, F.lit(0)).cast("double")
-    r1 = f1(F.coalesce(F.col("m1"), F.lit(0)).cast("double"), tp(1), tr(1))
-    r2 = f1(F.coalesce(F.col("m2"), F.lit(0)).cast("double"), tp(2), tr(2))
-    lcs = F.col("lcs").cast("double")
-    rl = F.when(lcs > 0, f1(lcs, F.col("lp").cast("double"), F.col("lg").cast("double"))).otherwise(0.0)
-    return per_row.agg(F.round(F.coalesce(F.avg(r1), F.lit(0.0)), 9).alias("rouge_1"),
-                       F.round(F.coalesce(F.avg(r2), F.lit(0.0)), 9).alias("rouge_2"),
-                       F.round(F.coalesce(F.avg(rl), F.lit(0.0)), 9).alias("rouge_l"))
+    grams = lambda c, n: F.greatest(F.col(c) - n + 1, F.lit(0)).cast("double")
+    r1, r2 = (f1(F.col(f"m{n}"), grams("lp", n), grams("lg", n)) for n in (1, 2))
+    rl = f1(F.col("lcs"), grams("lp", 1), grams("lg", 1))
+    return rows.agg(F.round(F.coalesce(F.avg(r1), F.lit(0.0)), 9).alias("rouge_1"),
+                    F.round(F.coalesce(F.avg(r2), F.lit(0.0)), 9).alias("rouge_2"),
+                    F.round(F.coalesce(F.avg(rl), F.lit(0.0)), 9).alias("rouge_l"))

@@ -1,8 +1,9 @@
 """Token edit distance between templates and nearest-template search.
 
 Distances are computed only between *distinct* templates, never between
-rows.  Each distinct token gets one code point (CJK block, 20,992 codes),
-so Spark's ``levenshtein`` on the encoded strings is the token-level edit
+rows.  Each distinct token gets one code point (from U+4E00 to the end of
+Unicode without the surrogates: 1.09 million; more raise an error), so
+Spark's ``levenshtein`` on the encoded strings is the token-level edit
 distance, JVM-side.
 
 Pairs within distance D are found without comparing all template pairs:
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from ..functions.text import whitespace_tokens
 from ..sources.shards import row_index
 
-CJK_BASE = 0x4E00
-CJK_SIZE = 20992
+CODE_BASE, SURROGATES, SURROGATES_END, CODE_END = 0x4E00, 0xD800, 0xE000, 0x110000
+CODE_SIZE = CODE_END - CODE_BASE - (SURROGATES_END - SURROGATES)
 SELF_DISTANCE = 100000
 
 
@@ -35,8 +36,11 @@ def token_codes(texts: DataFrame, cols: list[str]) -> DataFrame:
         t = texts.select(F.explode(whitespace_tokens(F.col(c))).alias("tok"))
         toks = t if toks is None else toks.unionByName(t)
     idx = row_index(toks.distinct(), ["tok"], "k")
-    code = F.decode(F.unhex(F.lpad(F.hex(F.lit(CJK_BASE) + F.col("k")), 4, "0")), "UTF-16BE")
-    return idx.select("tok", F.when(F.col("k") < CJK_SIZE, code).alias("code"))
+    if (idx.agg(F.max("k")).first()[0] or 0) >= CODE_SIZE:
+        raise ValueError("more distinct tokens than code points")
+    point = F.lit(CODE_BASE) + F.col("k")
+    point = point + F.when(point >= SURROGATES, SURROGATES_END - SURROGATES).otherwise(0)
+    return idx.select("tok", F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32").alias("code"))
 
 
 def encode(texts: DataFrame, col: str, codes: DataFrame, out_col: str = "enc") -> DataFrame:
@@ -47,8 +51,6 @@ def encode(texts: DataFrame, col: str, codes: DataFrame, out_col: str = "enc") -
               .groupBy(col).agg(F.sort_array(F.collect_list(F.struct("pos", "code"))).alias("_s"))
               .select(col, F.array_join(F.transform("_s", lambda x: x["code"]), "").alias(out_col)))
     out = d.join(enc, col, "left").select(col, F.coalesce(out_col, F.lit("")).alias(out_col))
-    if out.where(F.col(out_col).isNull()).limit(1).count():  # pragma: no cover
-        raise ValueError("more distinct tokens than code points")
     return out.withColumn("ntok", F.length(out_col))
 
 
@@ -191,7 +193,9 @@ def expand_neighbourhood(pool: DataFrame, anchors: DataFrame, lev_col: str, k: i
             selfrow.withColumn("rank", F.col("rank").cast("int")))
         elig = eligible_templates(near, counts, k).persist()
         # satisfied: eligible rows >= k, or every template already listed
-        tot = elig.groupBy("t1").agg(F.sum("c").alias("_rows"), F.count(F.lit(1)).alias("_n"))
+        # (the own template comes after all others, so it does not count)
+        tot = elig.groupBy("t1").agg(F.sum(F.when(F.col("dist") < SELF_DISTANCE, F.col("c")).otherwise(0)).alias("_rows"),
+                                     F.count(F.lit(1)).alias("_n"))
         short = tot.where((F.col("_rows") < k) & (F.col("_n") < n_temps)).limit(1).count()
         if short == 0 or kk >= n_temps:
             break
@@ -221,18 +225,18 @@ def _arc_candidates(rest: DataFrame, elig: DataFrame, lev_col: str, id_col: str,
     return pairs.join(rows, ["template", "_pos"]).select("set_id", "template", id_col, "key", "P", "c")
 
 
-def resolve_claims(cand: DataFrame, id_col: str, k: int, max_rounds: int = 200) -> DataFrame:
+def resolve_claims(cand: DataFrame, id_col: str, k: int) -> DataFrame:
     """Sets claim rows in set_id order as if served one after another: every
     round, each set proposes its k best candidates not held by a smaller
     set; a row goes to the smallest proposing set.  Holdings stay
     displaceable and the rounds stop when they no longer change (set 0 is
-    final after one round, set 1 after two, ...).  Lineage is cut by a
+    final after one round, set 1 after two, ..., so they always stop).  Lineage is cut by a
     checkpoint each round."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(cand.sparkSession)
     held = None
     w = Window.partitionBy("set_id").orderBy("key", id_col)
-    for _ in range(max_rounds):
+    while True:
         if held is None:
             avail = cand
         else:
@@ -295,10 +299,14 @@ def neighbour_sets(pool: DataFrame, id_col: str, weights_col: str, lev_col: str,
         cand = materialize(_arc_candidates(rest, elig, lev_col, id_col, prefix, seed))
         held = resolve_claims(cand, id_col, k)
         got = held.groupBy(F.col("holder").alias("set_id")).agg(F.count(F.lit(1)).alias("_got"))
-        # a short set whose prefix did not cover all rows of some template reads more
-        trunc = cand.where(F.col("P") < F.col("c")).select("set_id").distinct()
-        grow = (prefix.join(got, "set_id", "left").where(F.coalesce("_got", F.lit(0)) < k)
-                      .join(trunc, "set_id", "left_semi"))
+        # unread rows of a template have keys above the last one read: a set reads
+        # more while it is short, or took a key above the least of those
+        trunc = (cand.where(F.col("P") < F.col("c")).groupBy("set_id", "template").agg(F.max("key").alias("_read"))
+                     .groupBy("set_id").agg(F.min("_read").alias("_read")))
+        took = (cand.join(held.select(id_col, F.col("holder").alias("set_id")), [id_col, "set_id"])
+                    .groupBy("set_id").agg(F.max("key").alias("_took")))
+        grow = (prefix.join(trunc, "set_id").join(got, "set_id", "left").join(took, "set_id", "left")
+                      .where((F.coalesce("_got", F.lit(0)) < k) | (F.col("_took") > F.col("_read"))))
         if grow.limit(1).count() == 0:
             break
         prefix = materialize(prefix.join(grow.select("set_id", F.lit(True).alias("_g")), "set_id", "left")

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import race_key, uniform
 from ..functions.templates import MUST_TRAIN_TEMPLATES
 from .coverage import drop_uncovered, validate_and_fix, vocab_table, with_vocab
+from ..session import materialize
+from .joins import template_join
 from .sampling import (below_cut, kth_cut, race_thresholds, smallest_n, specs_array,
                        template_counts, train_dev_split)
 
@@ -67,7 +69,7 @@ def uat_splits(pool: DataFrame, id_col: str, template_col: str, program_col: str
     template the same total mass, 0 is uniform over rows."""
     specs = uat_specs(alphas, sizes, replicates, with_paraphrase)
     counts = template_counts(pool, template_col)             # template, cnt, freq
-    pooled = pool.join(counts.select(template_col, "freq"), template_col)
+    pooled = template_join(pool, counts.select(template_col, "freq"), template_col)
     weight = F.pow(F.col("freq"), F.col("alpha"))
     return _sample_and_label(pooled, id_col, program_col, weight, template_col,
                              counts.select(template_col, "cnt", "freq"), specs, dev_share, seed)
@@ -91,19 +93,18 @@ def hierarchy_weights(pool: DataFrame, levels=HIERARCHY_LEVELS) -> DataFrame:
     """Per finest template: weight = 1/#top * prod over levels of
     1/#distinct children of the parent * 1/#rows of the finest template
     (uniform at each level of the template tree).  Returns
-    (finest, cnt, hweight)."""
-    finest = levels[-1]
-    cls = pool.groupBy(*levels).agg(F.count(F.lit(1)).alias("cnt"))
-    # one row per finest template; coarser levels are functions of it
+    (levels..., cnt, hweight), one row per path of the tree."""
+    cls = materialize(pool.groupBy(*levels).agg(F.count(F.lit(1)).alias("cnt")))
+    # all further counts are of these few rows
     w = F.lit(1.0) / F.col("cnt")
     for parent, child in zip(levels[:-1], levels[1:]):
-        kids = pool.groupBy(parent).agg(F.count_distinct(child).alias(f"_k_{parent}"))
+        kids = cls.groupBy(parent).agg(F.count_distinct(child).alias(f"_k_{parent}"))
         cls = cls.join(kids, parent)
         w = w / F.col(f"_k_{parent}")
-    top = pool.agg(F.count_distinct(levels[0]).alias("_top")).withColumn("_one", F.lit(1))
+    top = cls.agg(F.count_distinct(levels[0]).alias("_top")).withColumn("_one", F.lit(1))
     cls = cls.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one")
     w = w / F.col("_top")
-    return cls.select(finest, "cnt", w.alias("hweight"))
+    return cls.select(*levels, "cnt", w.alias("hweight"))
 
 
 def hierarchical_splits(pool: DataFrame, id_col: str, program_col: str, sizes=(20,), replicates: int = 5,
@@ -113,8 +114,8 @@ def hierarchical_splits(pool: DataFrame, id_col: str, program_col: str, sizes=(2
     ``-2_{size}_{i}_{flag}``)."""
     specs = [{"split_name": split_name(-2, s, i, with_paraphrase), "n": int(s), "alpha": 0.0}
              for s in sizes for i in range(replicates)]
-    hw = hierarchy_weights(pool, levels)
-    pooled = pool.join(hw.select(levels[-1], "hweight"), levels[-1])
+    hw = materialize(hierarchy_weights(pool, levels))
+    pooled = template_join(pool, hw.select(*levels, "hweight"), levels)
     return _sample_and_label(pooled, id_col, program_col, F.col("hweight"), levels[-1], hw,
                              specs, dev_share, seed)
 

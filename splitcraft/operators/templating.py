@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import templates as T
+from .joins import template_join
 from .sampling import spread, template_counts
 
 
@@ -30,13 +31,13 @@ def with_template_levels(df: DataFrame, program_col: str = "query", id_col: str
 def exclude_eval_templates(pool: DataFrame, eval_templates: DataFrame,
                            template_col: str = "abstract_template") -> DataFrame:
     """Pool rows whose template is not among the held-out evaluation
-    templates (anti join; AQE broadcasts the template side when small)."""
-    return pool.join(eval_templates.select(template_col).distinct(), template_col, "left_anti")
+    templates (anti join; the pool is not shuffled on the template)."""
+    return template_join(pool, eval_templates.select(template_col).distinct(), template_col, "left_anti")
 
 
 def rows_with_templates(df: DataFrame, templates: DataFrame, template_col: str) -> DataFrame:
     """Rows whose template is in ``templates`` (semi join)."""
-    return df.join(templates.select(template_col).distinct(), template_col, "left_semi")
+    return template_join(df, templates.select(template_col).distinct(), template_col, "left_semi")
 
 
 def distinct_templates(df: DataFrame, template_col: str) -> DataFrame:
@@ -52,7 +53,7 @@ def attach_template_freq(df: DataFrame, template_col: str, out_col: str = "freq"
     """Each row gets p(template) = rows of its template / rows with a template
     (rows with a null template get null)."""
     counts = template_counts(df, template_col).select(template_col, F.col("freq").alias(out_col))
-    return df.join(counts, template_col, "left")
+    return template_join(df, counts, template_col, "left")
 
 
 def skew_weight(freq, alpha: float):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import templates as T
 from ..functions.text import ascii_fold, ascii_fold_sql
 from ..operators import splits as S
+from ..operators.joins import template_join
 from ..operators.sampling import spread
 from ..operators.templating import exclude_eval_templates, with_abstract_template
 from . import sqlgen as Q
@@ -242,7 +243,7 @@ HW_SQL = ("hw AS (SELECT c.template, c.cnt, 1.0 / c.cnt / k1.k / k2.k / k3.k / t
 def q_hierarchy_weights(spark, sf_dir):
     lv = leveled_pool(spark, sf_dir)
     hw = S.hierarchy_weights(lv)
-    return lv.join(hw.select("template", "hweight"), "template").select("example_id", "hweight")
+    return template_join(lv, hw.select(*S.HIERARCHY_LEVELS, "hweight"), S.HIERARCHY_LEVELS).select("example_id", "hweight")
 
 
 # ---------------------------------------------------------------------------
@@ -256,7 +257,7 @@ from ..operators import coverage as C  # noqa: E402
           f" SELECT DISTINCT example_id, unnest({V.extract_properties_sql('query')}) AS prop FROM programs")
 def q_extract_properties(spark, sf_dir):
     p = spread(programs(spark, sf_dir), "example_id")
-    return p.select("example_id", F.explode(V.extract_properties(F.col("query"))).alias("prop")).distinct()
+    return p.select("example_id", F.explode(V.extract_properties(F.col("query"))).alias("prop"))  # distinct per row, ids are unique
 
 
 @register("property_vocab", Q.with_programs(*POOL_CTES) +
@@ -626,6 +627,19 @@ def q_truncation_counts(spark, sf_dir):
     return SH.truncation_counts(inst)
 
 
+PAIR_SOURCE_MAX, PAIR_TARGET_MAX = 8, 24
+
+
+@register("truncation_counts_pairs", Q.with_programs() +
+          f" SELECT CAST(coalesce(sum(CASE WHEN len({_sql_tokens('question')}) > {PAIR_SOURCE_MAX} THEN 1 ELSE 0 END), 0) AS BIGINT) AS source_exceeded, "
+          f"CAST(coalesce(sum(CASE WHEN len({_sql_tokens('query')}) > {PAIR_TARGET_MAX} THEN 1 ELSE 0 END), 0) AS BIGINT) AS target_exceeded "
+          "FROM programs WHERE length(question) > 0")
+def q_truncation_counts_pairs(spark, sf_dir):
+    """Questions and programs over the source and the target length."""
+    p = SH.drop_empty_source(programs(spark, sf_dir), "question")
+    return SH.truncation_counts(SH.instances(p, "example_id", "question", "query", source_max=PAIR_SOURCE_MAX, target_max=PAIR_TARGET_MAX))
+
+
 @register("lower_source", Q.with_programs() +
           " SELECT example_id, lower(question) AS source, "
           "lower(trim(regexp_replace(regexp_replace(query, '([a-z])([A-Z])', '\\1_\\2', 'g'), '\\s+', ' ', 'g'))) AS target "

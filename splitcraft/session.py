@@ -7,6 +7,7 @@ and command-line use.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -14,13 +15,17 @@ from pyspark.sql import SparkSession
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "splitcraft") -> SparkSession:
-    master = master or os.environ.get("SPLITCRAFT_MASTER", "local[*]")
+    """A session with this package's defaults.  Master and number of shuffle
+    partitions are set only when passed in, so that those of spark-submit hold."""
+    builder = SparkSession.builder
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        builder.appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -40,8 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     On a cluster ``spark.checkpoint.dir`` must point at shared storage and
-    is taken as given.  Only when it is unset (local tests) a fresh scratch
-    folder is created and registered.
+    is taken as given.  Only when it is unset and the master is local (tests) a
+    fresh scratch folder is created and registered; on a cluster executors
+    would write to different disks, so that is an error.
     """
     current = spark.conf.get(_CHECKPOINT_KEY, None)
     try:
@@ -53,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError(f"{_CHECKPOINT_KEY} has to name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="splitcraft-ckpt-")
     spark.conf.set(_CHECKPOINT_KEY, path)
     sc.setCheckpointDir(path)
