@@ -31,6 +31,19 @@ MULTI_CHAR_FOLDS = [
     ("Þ", "Th"), ("þ", "th"), ("Ð", "D"), ("ð", "d"), ("ı", "i"),
 ]
 
+# General punctuation and Latin signs with their ASCII form.
+PUNCTUATION_FOLDS = [
+    ("\u00a0", " "), ("\u2002", " "), ("\u2003", " "), ("\u2009", " "),
+    ("\u2018", "'"), ("\u2019", "'"), ("\u201b", "'"), ("\u2032", "'"),
+    ("\u201c", '"'), ("\u201d", '"'), ("\u2033", '"'),
+    ("\u2010", "-"), ("\u2011", "-"), ("\u2012", "-"), ("\u2013", "-"), ("\u2212", "-"),
+    ("\u201a", ","), ("\u00d7", "x"), ("\u00a1", "!"), ("\u00bf", "?"),
+    ("\u2039", "<"), ("\u203a", ">"),
+]
+MULTI_CHAR_PUNCTUATION = [
+    ("\u2014", "--"), ("\u2026", "..."), ("\u201e", ",,"), ("\u00ab", "<<"), ("\u00bb", ">>"),
+]
+
 # Rule-built 1:1 table: every Latin letter in U+00C0-U+024F and
 # U+1E00-U+1EFF whose canonical decomposition is one ASCII letter plus
 # combining marks maps to that letter.
@@ -52,26 +65,31 @@ def _one_to_one_table():
 
 
 FOLD_FROM, FOLD_TO = _one_to_one_table()
+_PUNCT_FROM, _PUNCT_TO = ("".join(x) for x in zip(*PUNCTUATION_FOLDS))
 
 
 def ascii_fold(c) -> Column:
-    """Transliterate Latin letters to ASCII (Latin coverage only)."""
-    out = F.translate(_col(c), FOLD_FROM, FOLD_TO)
-    for a, b in MULTI_CHAR_FOLDS:
+    """Transliterate Latin letters and general punctuation to ASCII (other
+    scripts stay)."""
+    out = F.translate(_col(c), FOLD_FROM + _PUNCT_FROM, FOLD_TO + _PUNCT_TO)
+    for a, b in MULTI_CHAR_FOLDS + MULTI_CHAR_PUNCTUATION:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
 def ascii_fold_sql(expr: str) -> str:
-    """DuckDB text of the same folding: multi-letter folds then strip_accents."""
-    for a, b in MULTI_CHAR_FOLDS:
-        expr = f"replace({expr}, '{a}', '{b}')"
+    """DuckDB text of the same folding: each fold as a replacement, then
+    strip_accents."""
+    for a, b in MULTI_CHAR_FOLDS + MULTI_CHAR_PUNCTUATION + PUNCTUATION_FOLDS:
+        quoted = b.replace("'", "''")
+        expr = f"replace({expr}, '{a}', '{quoted}')"
     return f"strip_accents({expr})"
 
 
 # ---------------------------------------------------------------------------
 # Program spacing / casing
 # ---------------------------------------------------------------------------
+# Fixed value: signs that get spaces around them.
 SEPARATOR_CLASS = r'([:.@\(\)\[\]",])'
 
 
@@ -101,6 +119,7 @@ def whitespace_tokens(c) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
 
 
+# Fixed value: a quoted span of a spaced program.
 QUOTED_SPAN = r'''" [0-9A-Za-z'_\-.:;,?\s]+ "'''
 
 

@@ -965,7 +965,32 @@ def q_neighbour_sets(spark, sf_dir):
     return _neighbour_sets(spark, sf_dir)
 
 
-@register("expand_neighbourhood", None)
+def _expand_sql():
+    """All-pair distances, the draw and running sums in plain SQL."""
+    from ..functions.hashing import uniform_sql
+    m = int(NBR_SIZE * 0.95 // 1 // (NBR_K + 1))
+    u = uniform_sql("l.example_id", "0", "'anchors'", "'draw'")
+    far = NB.SELF_DISTANCE
+    ctes = [
+        *POOL_CTES, Q.LEVELED, *_enc_sql(["template"]),
+        "fr AS (SELECT abstract_template, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS freq FROM leveled "
+        "WHERE abstract_template IS NOT NULL GROUP BY 1)",
+        f"drawn AS (SELECT l.example_id, l.template, row_number() OVER (ORDER BY -ln({u}) / (1.0 / f.freq), l.example_id) - 1 AS set_id "
+        "FROM leveled l JOIN fr f USING (abstract_template))",
+        f"anchors AS (SELECT * FROM drawn WHERE set_id < {m})",
+        "cnt AS (SELECT template AS t2, count(*) AS c FROM leveled WHERE example_id NOT IN (SELECT example_id FROM anchors) GROUP BY 1)",
+        f"near AS (SELECT a.t AS t1, b.t AS t2, {DIST_SQL} AS dist, CAST(row_number() OVER (PARTITION BY a.t ORDER BY {DIST_SQL}, b.t) AS INTEGER) AS rank "
+        "FROM enc a JOIN enc b ON a.t <> b.t WHERE a.t IN (SELECT template FROM anchors) "
+        f"UNION ALL SELECT t, t, {far}, 1000000000 FROM enc WHERE t IN (SELECT template FROM anchors))",
+        "counted AS (SELECT n.*, coalesce(cnt.c, 0) AS c FROM near n LEFT JOIN cnt USING (t2))",
+        "summed AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY t1 ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counted)",
+    ]
+    return Q.with_programs(*ctes) + (
+        " SELECT a.set_id, s.t2 AS template, s.dist, s.rank, s.c FROM anchors a JOIN summed s ON s.t1 = a.template "
+        f"WHERE s.rank <= {NBR_K} OR s.before < {NBR_K}")
+
+
+@register("expand_neighbourhood", _expand_sql())
 def q_expand_neighbourhood(spark, sf_dir):
     """Templates each anchor may draw from (nearest first, grown until they
     hold 4 rows)."""
