@@ -204,17 +204,26 @@ def expand_neighbourhood(pool: DataFrame, anchors: DataFrame, lev_col: str, k: i
                    .join(elig, "t1").select("set_id", F.col("t2").alias("template"), "dist", "rank", "c"))
 
 
-def _arc_candidates(rest: DataFrame, elig: DataFrame, lev_col: str, id_col: str, prefix: DataFrame,
-                    seed: int) -> DataFrame:
+def _ordered_rows(rest: DataFrame, elig: DataFrame, lev_col: str, id_col: str, seed: int) -> DataFrame:
+    """(template, id, _pos): the rows of eligible templates, each template's in
+    its random order.  Ordered once for all growth rounds."""
+    from ..functions.hashing import uniform as U
+    from ..session import materialize
+    from .joins import template_join
+    wanted = elig.select(F.col("template").alias(lev_col)).distinct()
+    rest = template_join(rest.select(lev_col, id_col), wanted, lev_col, "left_semi")
+    ordered = row_index(rest.withColumn("_g", U(F.col(id_col), seed, "nbr", "order")), [lev_col, "_g", id_col], "_idx")
+    first = ordered.groupBy(lev_col).agg(F.min("_idx").alias("_first"))
+    return materialize(template_join(ordered, first, lev_col).select(
+        F.col(lev_col).alias("template"), id_col, (F.col("_idx") - F.col("_first")).alias("_pos")))
+
+
+def _arc_candidates(rows: DataFrame, elig: DataFrame, id_col: str, prefix: DataFrame, seed: int) -> DataFrame:
     """Per (set, template): the first P rows of a random arc of the
     template's rows, with exponential-race keys generated in order
     (key_j = sum_{i<=j} E_i / (c - i), the order statistics of c Exp(1)
     draws), so each set reads at most P rows of any template."""
     from ..functions.hashing import uniform as U
-    ordered = row_index(rest.withColumn("_g", U(F.col(id_col), seed, "nbr", "order")), [lev_col, "_g", id_col], "_idx")
-    first = ordered.groupBy(lev_col).agg(F.min("_idx").alias("_first"))
-    rows = ordered.join(first, lev_col).select(F.col(lev_col).alias("template"), id_col,
-                                               (F.col("_idx") - F.col("_first")).alias("_pos"))
     pairs = elig.join(prefix, "set_id").where(F.col("c") > 0)
     pairs = pairs.withColumn("_o", F.floor(U(F.col("set_id"), seed, F.col("template"), "offset") * F.col("c")))
     pairs = pairs.withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(F.col("P"), F.col("c")) - 1)))
@@ -293,10 +302,11 @@ def neighbour_sets(pool: DataFrame, id_col: str, weights_col: str, lev_col: str,
     rest = materialize(pool.join(anchors.select(id_col), id_col, "left_anti"))
     elig = materialize(expand_neighbourhood(pool, anchors, lev_col, k, id_col))
 
+    rows = _ordered_rows(rest, elig, lev_col, id_col, seed)
     p0 = start_prefix or max(4 * k, 8)
     prefix = anchors.select("set_id", F.lit(p0).alias("P"))
     while True:
-        cand = materialize(_arc_candidates(rest, elig, lev_col, id_col, prefix, seed))
+        cand = materialize(_arc_candidates(rows, elig, id_col, prefix, seed))
         held = resolve_claims(cand, id_col, k)
         got = held.groupBy(F.col("holder").alias("set_id")).agg(F.count(F.lit(1)).alias("_got"))
         # unread rows of a template have keys above the last one read: a set reads

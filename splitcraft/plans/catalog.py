@@ -16,7 +16,8 @@ from ..operators.sampling import spread
 from ..operators.templating import exclude_eval_templates, with_abstract_template
 from . import sqlgen as Q
 from ..session import materialize
-from .fixtures import eval_program_filter, programs, table
+from ..sources import tsv as TSV
+from .fixtures import EVAL_FILTER_SQL, eval_program_filter, programs, table
 
 QUERIES: dict = {}
 
@@ -884,6 +885,65 @@ def q_read_raw_pairs(spark, sf_dir):
     return SHD.first_wins(c, ["text"], ["conv_id", "turn"]).select("conv_id", "turn")
 
 
+def _round_trip(spark, write, read):
+    """A written file set in the shared folder, read back."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    write(path)
+    return read(path)
+
+
+def _headerless(df):
+    """An input file as the reader gets it: tab-separated, no header."""
+    return lambda path: df.write.option("sep", "	").option("quote", '"').option("escape", '"').option("header", False).csv(path)
+
+
+@register("read_pairs", Q.with_programs() + " SELECT example_id, question, query FROM programs")
+def q_read_pairs(spark, sf_dir):
+    """A headerless pair file in the shared folder, read by position."""
+    p = programs(spark, sf_dir).select("example_id", "question", "query")
+    return _round_trip(spark, _headerless(p), lambda path: TSV.read_pairs(spark, path))
+
+
+@register("read_eval_templates", Q.with_programs(Q.TEMPLATED) +
+          f" SELECT DISTINCT abstract_template FROM templated WHERE {EVAL_FILTER_SQL}")
+def q_read_eval_templates(spark, sf_dir):
+    """The sixth column of a held-out evaluation file."""
+    t = templated_programs(spark, sf_dir).where(eval_program_filter())
+    t = t.select("example_id", "question", "query", F.lit("a"), F.lit("b"), "abstract_template")
+    return _round_trip(spark, _headerless(t), lambda path: TSV.read_eval_templates(spark, path))
+
+
+@register("write_pool", Q.with_programs() + " SELECT example_id, question, query FROM programs")
+def q_write_pool(spark, sf_dir):
+    """The pool as TSV with a header, read back."""
+    p = programs(spark, sf_dir).select("example_id", "question", "query")
+    return _round_trip(spark, lambda path: TSV.write_pool(p, path, "tsv"), lambda path: TSV.read_splits(spark, path))
+
+
+@register("write_splits", Q.with_programs() + " SELECT example_id, CASE WHEN shape < 4 THEN CASE WHEN shape < 2 THEN '1' ELSE '2' END END AS s FROM programs")
+def q_write_splits(spark, sf_dir):
+    """The wide split table as TSV (an empty cell for rows without a label),
+    read back by read_splits."""
+    p = programs(spark, sf_dir)
+    labels = p.where("shape < 4").select(F.lit("s").alias("split_name"), "example_id", F.when(F.col("shape") < 2, 1).otherwise(2).alias("label"))
+    back = _round_trip(spark, lambda path: TSV.write_splits(labels, path, p.select("example_id", "question", "query"), split_names=["s"], fmt="tsv"),
+                       lambda path: TSV.read_splits(spark, path))
+    return back.select("example_id", "s")
+
+
+@register("read_predictions", Q.with_programs() + " SELECT example_id, len(string_split(query, ' ')) AS n_tokens, shape < 3 AS correct FROM programs")
+def q_read_predictions(spark, sf_dir):
+    """Prediction records as JSON lines, heavy fields dropped, read back with
+    the fixed schema."""
+    p = programs(spark, sf_dir).select("example_id", F.split("query", " ").alias("predicted_tokens"), (F.col("shape") < 3).alias("correct"),
+                                       F.array(F.lit(0.5)).alias("decoder_logits"))
+    back = _round_trip(spark, lambda path: TSV.write_predictions(p, path), lambda path: TSV.read_predictions(spark, path))
+    return back.select("example_id", F.size("predicted_tokens").cast("long").alias("n_tokens"), "correct")
+
+
 @register("stage_counts", Q.with_programs(*CLI_CTES) +
           " SELECT 'input' AS stage, count(*) AS rows FROM programs UNION ALL SELECT 'pool', count(*) FROM pool "
           "UNION ALL SELECT 'train', count(*) FROM final WHERE label = 1 "
