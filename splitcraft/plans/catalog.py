@@ -366,6 +366,13 @@ def q_vocab_union(spark, sf_dir):
     return a.union(b).distinct()
 
 
+@register("missing_vocab_union", Q.with_programs(*_vf_sql_ctes()) + " SELECT DISTINCT tok FROM missing")
+def q_missing_vocab_union(spark, sf_dir):
+    """Properties and operators missing in some group's train rows, as one set."""
+    missing = C.split_coverage(_vf_labeled(spark, sf_dir), VF_GROUP, "query")
+    return missing.where("kind = 'property'").select("tok").union(missing.where("kind = 'operator'").select("tok")).distinct()
+
+
 # ---------------------------------------------------------------------------
 # 2.9 samplers
 # ---------------------------------------------------------------------------
@@ -773,6 +780,16 @@ def q_sequence_accuracy(spark, sf_dir):
     return EV.sequence_accuracy(p, "gold_ids", "pred_ids", pad=0)
 
 
+@register("sequence_accuracy_masked", Q.with_programs(PREDICTIONS_SQL) +
+          " SELECT coalesce(avg(CASE WHEN list_bool_and(list_transform(gold_ids[2:], lambda g, i: "
+          "i % 3 = 0 OR coalesce(pred_ids[i], 0) = g)) THEN 1.0 ELSE 0.0 END), 0.0) AS id_seq_acc FROM preds WHERE len(gold_ids) >= 2")
+def q_sequence_accuracy_masked(spark, sf_dir):
+    """Every third gold position is masked out."""
+    p = predictions(spark, sf_dir)
+    p = p.withColumn("mask", F.transform("gold_ids", lambda _x, i: F.when(i % 3 == 0, 0).otherwise(1)))
+    return EV.sequence_accuracy(p, "gold_ids", "pred_ids", "mask", pad=0)
+
+
 @register("best_candidate", Q.with_programs(PREDICTIONS_SQL, CANDIDATES_SQL) +
           " SELECT example_id, rank, log_prob FROM (SELECT *, row_number() OVER (PARTITION BY example_id "
           "ORDER BY log_prob DESC, rank) AS rn FROM cands) WHERE rn = 1")
@@ -944,6 +961,14 @@ def q_read_predictions(spark, sf_dir):
     return back.select("example_id", F.size("predicted_tokens").cast("long").alias("n_tokens"), "correct")
 
 
+@register("read_raw_pairs_file", Q.with_programs() + " SELECT DISTINCT question AS c0 FROM programs")
+def q_read_raw_pairs_file(spark, sf_dir):
+    """A raw file of three tab-separated fields, split by its reader; one line
+    per question stays."""
+    lines = programs(spark, sf_dir).select(F.concat_ws("\t", "example_id", "question", "query").alias("value"))
+    return _round_trip(spark, lambda path: lines.write.text(path), lambda path: SHD.read_raw_pairs(spark, path)).select("c0")
+
+
 @register("stage_counts", Q.with_programs(*CLI_CTES) +
           " SELECT 'input' AS stage, count(*) AS rows FROM programs UNION ALL SELECT 'pool', count(*) FROM pool "
           "UNION ALL SELECT 'train', count(*) FROM final WHERE label = 1 "
