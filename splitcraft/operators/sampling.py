@@ -169,8 +169,8 @@ def weighted_sample(pool: DataFrame, id_col: str, weight_col: str, specs: list[d
     """For each spec {split_name, n}: n rows without replacement, drawn with
     probability proportional to ``weight_col`` (null/0 never drawn).
 
-    ``class_col`` (optional) names a column on which the weight is constant
-    (e.g. the template); the cut is then computed per class, not per row.
+    The cut is computed from the distinct weights (``class_col`` is kept for
+    callers that name the column on which the weight depends).
     Returns pool columns + split_name.
     """
     keyed = (pool.withColumn("_spec", F.explode(specs_array(specs)))
@@ -179,10 +179,8 @@ def weighted_sample(pool: DataFrame, id_col: str, weight_col: str, specs: list[d
                  .drop("_spec")
                  .withColumn("_key", race_key(uniform(F.col(id_col), seed, F.col("split_name"), "draw"),
                                               F.col(weight_col))))
-    group = [class_col] if class_col else [id_col]
-    if weight_col not in group:
-        group = group + [weight_col]
-    summary = (pool.groupBy(*group).agg(F.count(F.lit(1)).alias("cnt"))
+    # the cut needs no more than how many rows have each weight
+    summary = (pool.groupBy(weight_col).agg(F.count(F.lit(1)).alias("cnt"))
                    .withColumn("_spec", F.explode(specs_array(specs)))
                    .select(F.col("_spec.split_name").alias("split_name"), F.col("_spec.n").alias("n"),
                            F.col(weight_col).alias("w"), "cnt"))

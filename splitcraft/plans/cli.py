@@ -25,6 +25,7 @@ from ..functions import templates as T
 from ..operators import evaluate as EV
 from ..operators import shaping as SH
 from ..operators import splits as S
+from ..operators import templating as TP
 from ..operators.templating import exclude_eval_templates, with_abstract_template
 from ..session import get_session, materialize
 from ..sources import tsv as TSV
@@ -51,10 +52,7 @@ def run_splits(spark, args) -> dict:
         a = S.uat_splits(pool, "example_id", "abstract_template", "query", [-1], [args.training_size],
                          replicates=5, dev_share=0.20, seed=args.seed).persist()
         S.check_split_sizes(a)
-        freq = pool.groupBy("abstract_template").count()
-        total = freq.agg(F.sum("count")).first()[0]
-        pool_f = pool.join(freq.select("abstract_template", (F.col("count") / F.lit(total)).alias("freq")),
-                           "abstract_template", "left")
+        pool_f = TP.attach_template_freq(pool, "abstract_template")
         out["splits"] = str(parent / "small_uat_splits.tsv")
         TSV.write_splits(a, out["splits"], pool=pool_f, split_names=[s["split_name"] for s in specs], fmt="tsv")
     return out
@@ -83,7 +81,15 @@ def run_score(spark, args) -> str:
     preds = TSV.read_predictions(spark, args.predictions)
     flags = preds.select("example_id", EV.exact_match("target_tokens", "predicted_tokens").alias("correct"))
     TSV.write_predictions(flags, args.out + "/correct", filter_mode=True)
-    acc = flags.agg(F.coalesce(F.avg(F.col("correct").cast("double")), F.lit(0.0)).alias("exact_match"))
+    markers = (SH.START_SYMBOL, SH.END_SYMBOL)
+    parts = [flags.agg(F.coalesce(F.avg(F.col("correct").cast("double")), F.lit(0.0)).alias("exact_match")),
+             EV.sequence_accuracy(preds, "target_tokens", "predicted_tokens"),
+             EV.bleu(preds, "target_tokens", "predicted_tokens", exclude=markers),
+             EV.rouge(preds, "target_tokens", "predicted_tokens", exclude=markers)]
+    acc = parts[0].withColumn("_one", F.lit(1))
+    for part in parts[1:]:   # one-row totals
+        acc = acc.join(part.withColumn("_one", F.lit(1)), "_one")
+    acc = acc.drop("_one")
     acc.write.mode("overwrite").json(args.out + "/summary")
     return args.out
 

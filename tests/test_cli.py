@@ -43,3 +43,17 @@ def test_cli_splits_and_instances(spark, tmp_dir):
     assert inst.count() == 32
     r = inst.first()
     assert r.source_tokens[0] == "@start@" and r.source_tokens[1].startswith("<") and len(r.source_tokens) == 5
+
+
+def test_score_command_reports_all_measures(spark, tmp_path):
+    rows = [("a", ["@start@", "x", "y", "z", "w", "@end@"], ["x", "y", "z", "w", "@end@"]),
+            ("b", ["@start@", "x", "y", "z", "w", "@end@"], ["x", "y", "q", "@end@"])]
+    df = spark.createDataFrame(rows, "example_id string, target_tokens array<string>, predicted_tokens array<string>")
+    TSV.write_predictions(df, str(tmp_path / "preds"))
+    assert sorted(r.example_id for r in TSV.read_predictions(spark, str(tmp_path / "preds")).collect()) == ["a", "b"]
+    cli.main(["score", "--predictions", str(tmp_path / "preds"), "--out", str(tmp_path / "out")])
+    s = spark.read.json(str(tmp_path / "out" / "summary")).first()
+    assert (s.exact_match, s.id_seq_acc) == (0.5, 0.5)
+    assert 0 < s.bleu < 1 and s.rouge_1 == round((1 + 2 * (2 / 3) * 0.5 / (2 / 3 + 0.5)) / 2, 9)
+    flags = {r.example_id: r.correct for r in spark.read.json(str(tmp_path / "out" / "correct")).collect()}
+    assert flags == {"a": True, "b": False}
