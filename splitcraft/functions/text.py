@@ -167,11 +167,15 @@ def domain_of(example_id) -> Column:
     return F.split(_col(example_id), "-", 2).getItem(0)
 
 
-def domain_prefix(example_id, question, markers: dict | None = None) -> Column:
-    """``marker + ' ' + question``; null when the domain has no marker."""
+def domain_prefix(example_id, question, markers: dict | None = None, strict: bool = False) -> Column:
+    """``marker + ' ' + question``; when the domain has no marker null, or with
+    ``strict`` an error as the rows are read."""
     markers = markers or DOMAIN_MARKERS
     m = F.create_map(*[F.lit(x) for kv in markers.items() for x in kv])
-    return F.concat(F.element_at(m, domain_of(example_id)), F.lit(" "), _col(question))
+    marker = F.element_at(m, domain_of(example_id))
+    if strict:
+        marker = F.coalesce(marker, F.raise_error(F.concat(F.lit("no marker for the domain of "), _col(example_id))))
+    return F.concat(marker, F.lit(" "), _col(question))
 
 
 def truncate_tokens(tokens, max_tokens: int | None, start: str | None = None,

@@ -36,6 +36,16 @@ def uat_specs(alphas, sizes, replicates: int = 5, with_paraphrase: bool = False)
             for s in sizes for a in alphas for i in range(replicates)]
 
 
+def _check_sizes(pool: DataFrame, sizes, on_short: str) -> None:
+    """A sample larger than the pool is clamped, or with ``on_short='error'``
+    refused."""
+    if on_short == "error":
+        total = pool.count()
+        big = [s for s in sizes if s > total]
+        if big:
+            raise ValueError(f"sample larger than population: {big[0]} > {total}")
+
+
 def _sample_and_label(pool: DataFrame, id_col: str, program_col: str, weight: F.Column,
                       class_col: str, class_weights: DataFrame, specs: list[dict],
                       dev_share: float, seed: int, validate: bool = True) -> DataFrame:
@@ -62,11 +72,12 @@ def _sample_and_label(pool: DataFrame, id_col: str, program_col: str, weight: F.
 
 def uat_splits(pool: DataFrame, id_col: str, template_col: str, program_col: str,
                alphas=(-1,), sizes=(20,), replicates: int = 5, dev_share: float = 0.05,
-               seed: int = 0, with_paraphrase: bool = False) -> DataFrame:
+               seed: int = 0, with_paraphrase: bool = False, on_short: str = "clamp") -> DataFrame:
     """UAT sampling: weight of a row = p(template)^alpha; for every
     (size, alpha, replicate) draw ``size`` rows without replacement, carve a
     dev share, drop dev rows with unseen vocabulary.  alpha -1 gives every
     template the same total mass, 0 is uniform over rows."""
+    _check_sizes(pool, sizes, on_short)
     specs = uat_specs(alphas, sizes, replicates, with_paraphrase)
     counts = template_counts(pool, template_col)             # template, cnt, freq
     pooled = template_join(pool, counts.select(template_col, "freq"), template_col)
@@ -109,9 +120,10 @@ def hierarchy_weights(pool: DataFrame, levels=HIERARCHY_LEVELS) -> DataFrame:
 
 def hierarchical_splits(pool: DataFrame, id_col: str, program_col: str, sizes=(20,), replicates: int = 5,
                         dev_share: float = 0.05, seed: int = 0, with_paraphrase: bool = False,
-                        levels=HIERARCHY_LEVELS) -> DataFrame:
+                        levels=HIERARCHY_LEVELS, on_short: str = "clamp") -> DataFrame:
     """Weighted samples with the hierarchical weights (split names
     ``-2_{size}_{i}_{flag}``)."""
+    _check_sizes(pool, sizes, on_short)
     specs = [{"split_name": split_name(-2, s, i, with_paraphrase), "n": int(s), "alpha": 0.0}
              for s in sizes for i in range(replicates)]
     hw = materialize(hierarchy_weights(pool, levels))

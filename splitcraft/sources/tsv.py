@@ -22,10 +22,17 @@ def _reader(spark: SparkSession, header: bool):
 
 
 def read_pairs(spark: SparkSession, path, question_col: int = 1, query_col: int = 2,
-               id_col: int = 0) -> DataFrame:
+               id_col: int | None = 0) -> DataFrame:
     """Headerless TSV -> (example_id, question, query, *other positional
-    columns as c<k>)."""
+    columns as c<k>).  Without an id column (None) the id is the row's place,
+    as text, in the order of the files."""
     df = _reader(spark, False).csv(path)
+    if id_col is None:
+        from .shards import row_index
+        names = {question_col: "question", query_col: "query"}
+        rows = row_index(df.withColumn("_line", F.monotonically_increasing_id()), ["_line"], "example_id")
+        return rows.select(F.col("example_id").cast("string").alias("example_id"),
+                           *[F.col(f"_c{i}").alias(names.get(i, f"c{i}")) for i in range(len(df.columns))])
     names = {id_col: "example_id", question_col: "question", query_col: "query"}
     return df.select(*[F.col(f"_c{i}").alias(names.get(i, f"c{i}")) for i in range(len(df.columns))])
 
@@ -42,8 +49,13 @@ def read_splits(spark: SparkSession, path, header: bool = True) -> DataFrame:
     return _reader(spark, header).csv(path)
 
 
-def write_pool(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Pool with header, no index; parquet by default, TSV on request."""
+def write_pool(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", positional: bool = False) -> None:
+    """Pool with header, no index; parquet by default, TSV on request.  With
+    ``positional`` id, question and query are named by their places in the
+    header ("0", "1", "2"), as trainer configurations expect them."""
+    if positional:
+        places = {"example_id": "0", "question": "1", "query": "2"}
+        df = df.select(*[F.col(f"`{c}`").alias(places.get(c, c)) for c in df.columns])
     w = df.write.mode(mode)
     if fmt == "tsv":
         for k, v in _CSV.items():

@@ -91,3 +91,27 @@ def test_no_local_checkpoint_folder_off_a_local_master(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_strict_domains_raise(spark):
+    df = spark.createDataFrame([("nosuch-1", "q")], "example_id string, question string")
+    assert df.select(TX.domain_prefix("example_id", "question")).first()[0] is None
+    with pytest.raises(Exception, match="no marker"):
+        df.select(TX.domain_prefix("example_id", "question", strict=True)).collect()
+
+
+def test_too_large_samples_can_be_refused(spark):
+    pool = spark.createDataFrame([(f"e{i}", "t", "now => @a.b => notify") for i in range(5)], "example_id string, t string, query string")
+    with pytest.raises(ValueError, match="larger"):
+        S.uat_splits(pool, "example_id", "t", "query", sizes=(6,), on_short="error")
+
+
+def test_ids_by_place_and_positional_headers(spark, tmp_path):
+    from splitcraft.sources import tsv as TSV
+
+    pairs = spark.createDataFrame([(f"q{i}", f"p{i}") for i in range(30)], "a string, b string").coalesce(1)
+    pairs.write.option("sep", "\t").csv(str(tmp_path / "pairs"))
+    got = TSV.read_pairs(spark, str(tmp_path / "pairs"), 0, 1, id_col=None)
+    assert sorted((int(r.example_id), r.question, r.query) for r in got.collect()) == [(i, f"q{i}", f"p{i}") for i in range(30)]
+    TSV.write_pool(got, str(tmp_path / "pool"), "tsv", positional=True)
+    assert TSV.read_splits(spark, str(tmp_path / "pool")).columns == ["0", "1", "2"]
