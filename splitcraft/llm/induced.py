@@ -64,18 +64,18 @@ class Queues:
             self.file.close()
 
 
-def keys_at(data: np.ndarray, positions: np.ndarray, depth: int = DEPTH) -> list[np.ndarray]:
-    """The ``depth`` bytes from each position on, as big-endian words; beyond
-    the end stand zeros."""
-    padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
-    words = []
-    for start in range(0, depth, 8):
-        width = min(8, depth - start)
-        word = np.zeros(len(positions), np.uint64)
-        for j in range(width):
-            word = (word << np.uint64(8)) | padded[positions + (start + j)].astype(np.uint64)
-        words.append(word)
-    return words
+def keys_at(data: np.ndarray, positions: np.ndarray, last_first: bool = False):
+    """The ``DEPTH`` bytes from each position on, as one array of big-endian
+    words after the other; beyond the end stand zeros."""
+    padded = np.concatenate([data, np.zeros(DEPTH + 8, np.uint8)])
+    # the word from every byte on, gathered where it is asked for
+    whole = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    starts = range(0, DEPTH, 8)
+    for start in reversed(starts) if last_first else starts:
+        word = np.ascontiguousarray(whole[positions + start]).view(">u8").reshape(-1).astype(np.uint64)
+        if DEPTH - start < 8:
+            word >>= np.uint64(8 * (8 - (DEPTH - start)))
+        yield word
 
 
 def _larger(text: np.ndarray) -> np.ndarray:
@@ -100,10 +100,12 @@ def sorted_suffixes(data: np.ndarray, held: int = HELD) -> np.ndarray:
     larger = _larger(text)
     star = np.flatnonzero(~larger[1:] & larger[:-1]) + 1
     inner = star[star < n - 1]
-    words = keys_at(data, inner)
     # a shorter suffix comes before those it starts: zeros beyond the end stand
-    # for the last symbol, so equal words are told apart by what is left
-    order = np.lexsort([-inner if len(inner) else inner, *words[::-1]])
+    # for the last symbol, so of equal words the later one comes first; then by
+    # one word after the other, the last one first, each pass a stable sort
+    order = np.arange(len(inner))[::-1]
+    for word in keys_at(data, inner, last_first=True):
+        order = order[np.argsort(word[order], kind="stable")]
     star = np.concatenate([[n - 1], inner[order]]).astype(np.int64)
     first = text[star]
     star_at = np.searchsorted(first, np.arange(259)) if (np.diff(first) >= 0).all() else None

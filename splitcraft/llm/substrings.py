@@ -28,19 +28,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitcraft.llm.common import ship, stored, table
 from splitcraft.llm.induced import DEPTH as WIDTH
-from splitcraft.llm.induced import equal_runs, sorted_suffixes
+from splitcraft.llm.induced import equal_runs, keys_at, sorted_suffixes
+from splitcraft.llm.tokencount import rounds
 
 GRAM = 24
 #: Bytes of text that are looked at together, bytes of a shard, anchors in a
 #: slice, and anchors up to which their keys are sent to all workers.
-PIECE_BYTES, SHARD_BYTES, SLICE_ANCHORS, SENT_KEYS = 1_000_000, 4_000_000, 400_000, 8_000_000
-#: Rows of an anchor from which it is hot.
-HOT_ROWS = SHARD_BYTES // (2 * WIDTH - GRAM)
+PIECE_BYTES, SHARD_BYTES, SLICE_ANCHORS, SENT_KEYS = 1_000_000, 2_000_000, 400_000, 8_000_000
+#: Rows of an anchor from which it is hot: four shards, which a task still sorts
+#: in about 200 MB.
+HOT_ROWS = 4 * SHARD_BYTES // (2 * WIDTH - GRAM)
 LAST_ID = (1 << 63) - 1
 
 _MULT = 0x9E3779B97F4A7C15
@@ -196,24 +199,30 @@ def contexts(texts: DataFrame, slices: int, wanted) -> DataFrame:
 def repeats_in(group: pd.DataFrame) -> pd.DataFrame:
     """One shard: for each row the windows that an earlier document holds, as
     the bits of ``windows`` (bit j: the one that starts j bytes into it)."""
-    found, which = np.unique(group["context"].to_numpy(object), return_inverse=True)
+    which, found = pd.factorize(group["context"])
     docs = group["doc_id"].to_numpy()
     first = np.full(len(found), LAST_ID, np.int64)
     np.minimum.at(first, which, docs)
-    data = np.frombuffer(b"".join(found), np.uint8)
     sizes = np.array([len(c) for c in found], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    of = np.repeat(np.arange(len(found)), sizes)
-    offset = np.arange(len(data)) - begin[of]
+    # anchors that always stand in the same bytes need no sorting
+    pairs = pd.DataFrame({"key": group["key"].to_numpy(), "which": which}).drop_duplicates()
+    several = pairs.groupby("key")["which"].transform("size").to_numpy() > 1
+    sorted_too = np.unique(pairs["which"].to_numpy()[several])
+    data = np.frombuffer(b"".join(found[sorted_too]), np.uint8)
+    own_sizes = sizes[sorted_too]
+    begin = np.cumsum(own_sizes) - own_sizes
+    of = np.repeat(np.arange(len(sorted_too)), own_sizes)
+    offset = np.arange(len(data)) - begin[of] if len(data) else np.zeros(0, np.int64)
     starts = sorted_suffixes(data)
-    starts = starts[offset[starts] + WIDTH <= sizes[of[starts]]]
+    starts = starts[offset[starts] + WIDTH <= own_sizes[of[starts]]]
     run = equal_runs(data, starts)
-    own = first[of[starts]]
+    of = sorted_too[of[starts]]
+    own = first[of]
     least = np.full(run[-1] + 1 if len(run) else 0, LAST_ID, np.int64)
     np.minimum.at(least, run, own)
     again = least[run] < own
     bits = np.zeros(len(found), np.int64)
-    np.bitwise_or.at(bits, of[starts[again]], np.int64(1) << offset[starts[again]])
+    np.bitwise_or.at(bits, of[again], np.int64(1) << offset[starts[again]])
     every = (np.int64(1) << (sizes - WIDTH + 1)) - 1
     windows = np.where(docs > first[which], every[which], bits[which])
     out = group.loc[windows != 0, ["doc_id", "row", "start"]]
@@ -223,27 +232,34 @@ def repeats_in(group: pd.DataFrame) -> pd.DataFrame:
 def _hot_windows(rows: DataFrame) -> DataFrame:
     """The same for hot anchors, by an aggregation over their windows."""
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            out = []
-            for context, doc, row, start in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                for j in range(len(context) - WIDTH + 1):
-                    d = xxhash.xxh3_128_digest(context[j:j + WIDTH])
-                    out.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc, row, start + j))
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
-                                             names=["w1", "w2", "doc_id", "row", "start"])
+            for a in range(0, batch.num_rows, 5000):
+                part = batch.slice(a, 5000)
+                found = part.column(1).to_pylist()
+                sizes = np.array([len(c) for c in found], np.int64)
+                data = np.frombuffer(b"".join(found), np.uint8)
+                each = sizes - WIDTH + 1
+                of = np.repeat(np.arange(len(found)), each)
+                offset = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                place = (np.cumsum(sizes) - sizes)[of] + offset
+                w = [np.zeros(len(place), np.uint64), np.ones(len(place), np.uint64)]
+                with np.errstate(over="ignore"):
+                    for word in keys_at(data, place):
+                        w = [_mix(x * np.uint64(_MULT) + word) for x in w]
+                take = lambda i: part.column(i).to_numpy(zero_copy_only=False)[of]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w[0].view(np.int64)), pa.array(w[1].view(np.int64)), pa.array(take(2)), pa.array(take(3)), pa.array(take(4) + offset)],
+                    names=["w1", "w2", "doc_id", "row", "start"])
 
     each = rows.mapInArrow(windows, "w1 long, w2 long, doc_id long, row int, start long")
     first = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
     return each.join(first, ["w1", "w2"]).where("doc_id > first").select("doc_id", "row", "start", F.lit(1).cast("long").alias("windows"))
 
 
-def repeated_windows(texts: DataFrame) -> DataFrame:
-    """``doc_id, row, start, windows`` for ``texts`` (doc_id, row, text)."""
+def repeated_windows(texts: DataFrame, size: int) -> DataFrame:
+    """``doc_id, row, start, windows`` for ``texts`` (doc_id, row, text) of
+    about ``size`` bytes."""
     spark = texts.sparkSession
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = 1 << max(0, int(np.ceil(np.log2(max(1, size / (WIDTH - GRAM + 2) * 2 / SLICE_ANCHORS)))))
     shared = shared_anchors(texts, slices)
     total, keys = shared.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("keys_n"), F.lit(0))).first()
@@ -287,20 +303,22 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     out = (rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
            .groupBy("shard").applyInPandas(repeats_in, "doc_id long, row int, start long, windows long"))
     if len(hot):
-        out = out.unionByName(_hot_windows(contexts(texts, slices, sent_hot)))
+        out = out.unionByName(_hot_windows(stored(contexts(texts, slices, sent_hot), "hot")))
     return out
 
 
-def covered(size: int, starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of the bytes that the windows cover."""
-    edge = np.zeros(size + 1, np.int64)
-    for start, windows in starts:
-        j = np.array([j for j in range(windows.bit_length()) if windows >> j & 1], np.int64) + start
-        np.add.at(edge, j, 1)
-        np.add.at(edge, j + WIDTH, -1)
-    gone = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
-    flips = np.flatnonzero(gone[1:] != gone[:-1])
-    return list(zip(flips[::2].tolist(), flips[1::2].tolist()))
+def covered(sizes: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Whether each byte of some documents, one after the other, is in one of
+    the windows; a negative start stands for all bytes."""
+    begin = np.cumsum(sizes) - sizes
+    part = start >= 0
+    at, bits = begin[doc[part]] + start[part], windows[part]
+    at = np.concatenate([at[(bits >> j) & 1 == 1] + j for j in range(WIDTH - GRAM + 1)])
+    n = sizes.sum() + WIDTH + 1
+    gone = np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + WIDTH, minlength=n))[:sizes.sum()] > 0
+    whole = np.zeros(len(sizes), bool)
+    whole[doc[start < 0]] = True
+    return gone | np.repeat(whole, sizes)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,27 +330,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long = F.octet_length("text") >= WIDTH
     # whole copies of an earlier text
     mark = [F.xxhash64("text").alias("m1"), F.xxhash64(F.lit(7), "text").alias("m2")]
-    marks = texts.where(long).select("doc_id", "row", *mark)
+    marks = stored(texts.where(long).select("doc_id", "row", F.octet_length("text").cast("long").alias("size"), *mark), "marks")
     firsts = marks.groupBy("m1", "m2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = stored(marks.join(firsts, ["m1", "m2"]).where("doc_id > first").select("doc_id", "row").distinct(), "copies")
-    windows = repeated_windows(texts.where(long).join(copies, ["doc_id", "row"], "left_anti"))
+    size = marks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    windows = repeated_windows(texts.where(long).join(copies, ["doc_id", "row"], "left_anti"), size)
     parts = windows.unionByName(copies.select("doc_id", "row", F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("windows")))
     gone = parts.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "windows")).alias("parts"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, spans, kept = [], [], [], []
-            for doc, t, p in zip(*(batch.column(i) for i in range(3))):
-                data = t.as_py().encode()
-                hits = [(x["start"], x["windows"]) for x in (p.as_py() or [])]
-                runs = [(0, len(data))] if any(a < 0 for a, _ in hits) else covered(len(data), hits) if hits else []
-                ids.append(doc.as_py()), sizes.append(len(data))
-                spans.append([{"start": a, "stop": b} for a, b in runs])
-                kept.append(b"".join(data[a:b] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(data)])))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "spans", "kept"])
+            for a, b in rounds(pc.binary_length(batch.column(1)).to_pylist(), 4 * PIECE_BYTES):
+                ids, texts, parts = (batch.column(i).slice(a, b - a) for i in range(3))
+                texts = [t.encode() for t in texts.to_pylist()]
+                sizes = np.array([len(t) for t in texts], np.int64)
+                flat = parts.flatten()
+                doc = np.repeat(np.arange(b - a), pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False))
+                gone = covered(sizes, doc, *(flat.field(i).to_numpy(zero_copy_only=False) for i in range(2)))
+                spans, kept = [], []
+                for text, stop in zip(texts, np.cumsum(sizes)):
+                    mine = gone[stop - len(text):stop]
+                    flips = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]))).tolist() if mine.any() else []
+                    spans.append([{"start": x, "stop": y} for x, y in zip(flips[::2], flips[1::2])])
+                    kept.append(b"".join(text[x:y] for x, y in zip([0, *flips[1::2]], [*flips[::2], len(text)])) if flips else text)
+                yield pa.RecordBatch.from_arrays([
+                    ids, pa.array(sizes), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())],
+                    names=["doc_id", "n_bytes", "spans", "kept"])
 
     out = (texts.join(gone, ["doc_id", "row"], "left").select("doc_id", "text", "parts")
            .mapInArrow(removed, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"))
