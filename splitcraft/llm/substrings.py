@@ -252,7 +252,10 @@ def _hot_windows(rows: DataFrame) -> DataFrame:
                     names=["w1", "w2", "doc_id", "row", "start"])
 
     each = rows.mapInArrow(windows, "w1 long, w2 long, doc_id long, row int, start long")
-    first = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
+    # stored, so that the join has both sides' rows freshly dealt and Spark can split
+    # a window with very many places
+    first = stored(each.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                   .where("first < last").drop("last"), "windows")
     return each.join(first, ["w1", "w2"]).where("doc_id > first").select("doc_id", "row", "start", F.lit(1).cast("long").alias("windows"))
 
 
