@@ -334,7 +334,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # whole copies of an earlier text
     mark = [F.xxhash64("text").alias("m1"), F.xxhash64(F.lit(7), "text").alias("m2")]
     marks = stored(texts.where(long).select("doc_id", "row", F.octet_length("text").cast("long").alias("size"), *mark), "marks")
-    firsts = marks.groupBy("m1", "m2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    firsts = stored(marks.groupBy("m1", "m2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                    .where("first < last").drop("last"), "firsts")
     copies = stored(marks.join(firsts, ["m1", "m2"]).where("doc_id > first").select("doc_id", "row").distinct(), "copies")
     size = marks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     windows = repeated_windows(texts.where(long).join(copies, ["doc_id", "row"], "left_anti"), size)
