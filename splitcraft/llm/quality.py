@@ -167,3 +167,53 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals and verdict of every document."""
     return judged(table(spark, sf_dir, "documents")).drop("key")
+
+
+def _oracle() -> str:
+    """The same in SQL: windows as strings, quartiles from sorted lists of bins."""
+    space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    share = {"symbols": "CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END",
+             "dup_lines": "CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END",
+             "upper": "CASE WHEN word_chars > 0 THEN 1000 * n_upper // word_chars ELSE 0 END",
+             "word_len": "CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END"}
+    low_bits = "greatest(length(bin({0})) - 6, 0)"
+    shares_sql = ", ".join(f"CAST({sql} AS BIGINT) AS {name}" for name, sql in share.items())
+    bins = ", ".join(f"({name} >> {low_bits.format(name)}) << {low_bits.format(name)} AS b_{name}" for name in share)
+    quart = ", ".join(f"list_sort(list(b_{name}))[CAST(ceil({q} * count(*) / 4.0) AS BIGINT)] AS {name}_{q}" for name in share for q in (1, 3))
+    pick = ", ".join(f"CASE WHEN f.n < {MIN_GROUP} THEN l.{name}_{q} ELSE f.{name}_{q} END AS {name}_{q}" for name in share for q in (1, 3))
+    bad = []
+    for name, (slack, low) in SHARES.items():
+        far = f"greatest({SPREAD} * ({name}_3 - {name}_1), {slack})"
+        bad.append(f"{name} > {name}_3 + {far}")
+        if low:
+            bad.append(f"{name} < {name}_1 - {far}")
+    return f"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '{space}+'), lambda x: x <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines
+  FROM documents),
+g AS (SELECT r, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS win FROM w, unnest(range(1, len(words) - {WINDOW - 2})) AS t(i)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM g) WHERE c > 1),
+cov AS (SELECT r, sum(least({WINDOW}, i - prev)) AS n FROM
+  (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), i - {WINDOW}) AS prev FROM again) GROUP BY r),
+s AS (
+  SELECT w.r, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+         len(lines) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper
+  FROM w LEFT JOIN cov USING (r)),
+p AS (SELECT *, {shares_sql} FROM s),
+b AS (SELECT *, {bins} FROM p),
+fine AS (SELECT lang, source, count(*) AS n, {quart} FROM b GROUP BY lang, source),
+wide AS (SELECT lang, {quart} FROM b GROUP BY lang),
+cut AS (SELECT f.lang, f.source, {pick} FROM fine f JOIN wide l ON l.lang = f.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words OR {' OR '.join(bad)}) AS kept
+FROM p JOIN cut USING (lang, source)
+"""
+
+
+ORACLE = _oracle()

@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_quality_rules": quality.ORACLE,
     "op8_ball_tree_top_k": topk.ORACLE,
 }
