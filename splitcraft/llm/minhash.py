@@ -299,3 +299,22 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80)
 def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 2-word shingles are similar by 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+#: All pairs that share a shingle, and the closure of their links.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) = 1 THEN words[1] ELSE words[i] || ' ' || words[i + 1] END AS shingle
+      FROM w, unnest(range(1, greatest(len(words), 2))) AS t(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS met FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * met >= 80 * (na.n + nb.n - met)),
+e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT DISTINCT a AS doc_id, a AS root FROM e2 UNION SELECT e2.b, reach.root FROM reach JOIN e2 ON e2.a = reach.doc_id),
+c AS (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.root, w.doc_id) AS component_id,
+       coalesce(c.root, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

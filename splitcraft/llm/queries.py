@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_minmax_dedup": minhash.ORACLE,
     "op4_quality_rules": quality.ORACLE,
     "op8_ball_tree_top_k": topk.ORACLE,
 }
