@@ -4,17 +4,19 @@
 patterns, over the whole text, in time linear in its length.
 
 **Disclosing terms.**  Every address or number found is a protected entity.  A
-term (a word near it, see ``NEAR``) discloses it as far as the corpus ties the
-two together: with document counts N of all, ``d(e)``, ``d(t)`` and ``d(e, t)``
+term (a word of a document that holds it, wherever it stands) discloses it as
+far as the corpus ties the two together: with document counts N of all,
+``d(e)``, ``d(t)`` and ``d(e, t)``
 
     PMI(e; t) = log2(N * d(e, t) / (d(e) * d(t)))      IC(e) = log2(N / d(e))
 
 and ``PMI / IC`` is the share of the entity's information that the term gives
-away, 1 if the term never stands without it.  ``d(t)`` is counted over all
+away, 1 if the term never stands without it.  All counts are over whole
 documents.  A tie seen in fewer than ``SUPPORT`` documents is no evidence.
-Near that entity a term of at least ``GENERALISE`` is replaced by a general
-sign, one of at least ``REMOVE`` is taken out.  Documents without an entity
-are left alone, and base spans always stay.
+In the documents of that entity every occurrence of a term of at least
+``GENERALISE`` is replaced by a general sign, of one of at least ``REMOVE``
+taken out.  Documents without an entity are left alone, and base spans always
+stay.
 
 Null or empty text: no spans.  Rows are told apart by doc_id and text, so that
 repeated ids keep their own spans; null ids are allowed.
@@ -36,16 +38,16 @@ from pyspark.sql import types as T
 from splitcraft.llm.common import row_key, ship, stored, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity that may give it away, and the signs in
-#: which they are looked for.
-NEAR, NEAR_SIGNS = 8, 240
 SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
 #: Terms (and signs in them) up to which their set is sent to every worker;
 #: more are counted by a shuffle of all terms.
 SENT_TERMS, SENT_SIGNS = 400_000, 8_000_000
-#: Distinct terms that a worker counts before it passes the counts on.
-COUNTED_TERMS = 200_000
+#: Distinct terms that a worker counts before it passes the counts on, and terms
+#: with their places that it holds before it passes rows on.
+COUNTED_TERMS, HELD_TERMS = 200_000, 200_000
+#: Parts into which the rows of one entity, or of one of its terms, are dealt.
+SALTS = 16
 
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -114,38 +116,32 @@ def term_of(word: str) -> str:
     return word if len(word) > 2 and not _DIGIT.search(word) else ""
 
 
-def near_terms(text: str, start: int, end: int, spans) -> Iterator[tuple[str, int, int]]:
-    """Terms near an entity with their places, none inside of base spans."""
-    low = max(0, start - NEAR_SIGNS)
-    before = [(m.start(), m.end()) for m in _WORD.finditer(text, low, start)][-NEAR:]
-    if before and before[0][0] == low and low > 0 and not text[low - 1].isspace():
-        before = before[1:]  # cut at its start
-    high = min(len(text), end + NEAR_SIGNS)
-    after = []
-    for m in _WORD.finditer(text, end, high):
-        if m.end() == high and high < len(text) and not text[high].isspace():
-            break
-        after.append((m.start(), m.end()))
-        if len(after) == NEAR:
-            break
-    for a, b in before + after:
-        word = text[a:b]
-        a += len(word) - len(word.lstrip(string.punctuation))
-        b -= len(word) - len(word.rstrip(string.punctuation))
+def text_terms(text: str, spans) -> Iterator[tuple[str, int, int]]:
+    """Terms of a text with their places, none inside of base spans."""
+    at, last = 0, 0  # the first span that may reach the word; what those before it reach
+    for m in _WORD.finditer(text):
+        word = m[0]
         term = term_of(word)
-        if term and a < b and not any(a < e and s < b for s, _, e in spans):
+        if not term:
+            continue
+        a = m.start() + len(word) - len(word.lstrip(string.punctuation))
+        b = m.end() - len(word) + len(word.rstrip(string.punctuation))
+        while at < len(spans) and spans[at][0] < b:
+            last = max(last, spans[at][2])
+            at += 1
+        if last <= a:
             yield term, a, b
 
 
 _SPAN = "start int, kind int, stop int"
 _FOUND = (f"key long, doc_id long, spans array<struct<{_SPAN}>>, entities array<long>, "
-          "near array<struct<entity long, term string, start int, stop int>>")
+          "words array<struct<term string, start int, stop int>>")
 
 
 def _found_type() -> pa.Schema:
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())])
-    near = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
-    return pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("spans", pa.list_(span)), ("entities", pa.list_(pa.int64())), ("near", pa.list_(near))])
+    word = pa.struct([("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
+    return pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("spans", pa.list_(span)), ("entities", pa.list_(pa.int64())), ("words", pa.list_(word))])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -155,22 +151,24 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def find_base(texts: DataFrame) -> DataFrame:
-    """For each row its base spans, entities, and the terms near them."""
+    """For each row its base spans, entities, and all terms beside them."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _found_type()
         for batch in batches:
-            spans, entities, near = [], [], []
-            for text in batch.column(2):
+            start, held, spans, entities, words = 0, 0, [], [], []
+            for n, text in enumerate(batch.column(2), 1):
                 text = text.as_py()
                 got = base_spans(text)
-                ids = [entity(k, text[a:b]) for a, k, b in got]
                 spans.append([{"start": a, "kind": k, "stop": b} for a, k, b in got])
-                entities.append(sorted(set(ids)))
-                near.append([{"entity": e, "term": t, "start": a, "stop": b}
-                             for e, (s, _, end) in zip(ids, got) for t, a, b in near_terms(text, s, end, got)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(x, schema.field(n).type) for x, n in ((spans, "spans"), (entities, "entities"), (near, "near")))],
-                schema=schema)
+                entities.append(sorted({entity(k, text[a:b]) for a, k, b in got}))
+                words.append([{"term": t, "start": a, "stop": b} for t, a, b in text_terms(text, got)] if got else [])
+                held += len(words[-1])
+                if held > HELD_TERMS or n == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(i).slice(start, n - start) for i in range(2)),
+                         *(pa.array(x, schema.field(c).type) for x, c in ((spans, "spans"), (entities, "entities"), (words, "words")))],
+                        schema=schema)
+                    start, held, spans, entities, words = n, 0, [], [], []
 
     return texts.mapInArrow(found, _FOUND)
 
@@ -203,12 +201,25 @@ def term_documents(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return n if few else n.join(terms, "term", "left_semi")
 
 
-def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def tied(found: DataFrame, d_e: DataFrame) -> DataFrame:
+    """``key, entities, words`` of the rows that hold entities of enough
+    documents for a tie; only those entities, repeated rows once."""
+    salt = F.pmod("key", F.lit(SALTS)).cast("int").alias("salt")
+    held = (found.select("key", salt, F.explode("entities").alias("entity"))
+            .join(_salted(d_e.where(F.col("d_e") >= SUPPORT).select("entity")), ["entity", "salt"])
+            .groupBy("key").agg(F.collect_set("entity").alias("entities")))
+    return found.select("key", "words").where("size(words) > 0").join(held, "key").dropDuplicates(["key"]).select("key", "entities", "words")
+
+
+def disclosing(found: DataFrame, ties: DataFrame, d_e: DataFrame, texts: DataFrame) -> DataFrame:
     """``entity, term, share`` of the terms that give an entity away."""
-    near = found.select("key", F.explode("near").alias("_n")).select("key", "_n.entity", "_n.term").distinct()
-    pairs = stored(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("d_et")).where(F.col("d_et") >= SUPPORT), "pairs")
+    met = ties.select(F.explode("entities").alias("entity"), F.array_distinct("words.term").alias("terms")).select("entity", F.explode("terms").alias("term"))
+    pairs = stored(met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("d_et")).where(F.col("d_et") >= SUPPORT), "pairs")
     total = found.count()
-    d_e = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("d_e"))
     d_t = term_documents(texts, pairs.select("term").distinct()).withColumnRenamed("n", "d_t")
     ic = F.log2(F.lit(float(total)) / F.col("d_e"))
     pmi = F.log2(F.lit(float(total)) * F.col("d_et") / (F.col("d_e") * F.col("d_t")))
@@ -222,9 +233,13 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     found = stored(find_base(texts), "private")
-    shares = stored(disclosing(found, texts), "disclosing")
-    marked = (found.select("key", F.explode("near").alias("_n")).select("key", "_n.entity", "_n.term", "_n.start", "_n.stop")
-              .join(shares, ["entity", "term"]).groupBy("key", "start", "stop").agg(F.max("share").alias("share"))
+    d_e = stored(found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("d_e")), "entities")
+    ties = stored(tied(found, d_e), "ties")
+    shares = stored(disclosing(found, ties, d_e, texts), "disclosing")
+    salt = F.pmod("key", F.lit(SALTS)).cast("int").alias("salt")
+    marked = (ties.select("key", salt, F.explode("entities").alias("entity"), "words").select("key", "salt", "entity", F.explode("words").alias("_w"))
+              .select("key", "salt", "entity", "_w.term", "_w.start", "_w.stop")
+              .join(_salted(shares), ["entity", "term", "salt"]).groupBy("key", "start", "stop").agg(F.max("share").alias("share"))
               .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "share"))).alias("terms")))
     return found.select("key", "doc_id", "spans").join(marked, "key", "left").withColumn(
         "terms", F.coalesce("terms", F.array().cast("array<struct<start:int,stop:int,share:double>>")))
