@@ -64,7 +64,8 @@ class BallTree:
 
 
 class Best:
-    """The k best (score, id) of each query, ties to the smaller id."""
+    """The k best (score, id) of each query, an id once with its best score;
+    ties to the smaller id."""
 
     def __init__(self, k: int, floor: np.ndarray):
         self.k, self.floor = k, floor.copy()
@@ -84,10 +85,12 @@ class Best:
             return
         rows, scores, ids = (np.concatenate([x, *y]) for x, y in zip((self.rows, self.scores, self.ids), zip(*self.new)))
         self.new, self.waiting = [], 0
-        order = np.lexsort((ids, -scores, rows))
+        order = np.lexsort((-scores, ids, rows))
         rows, scores, ids = rows[order], scores[order], ids[order]
-        again = np.concatenate(([False], (rows[1:] == rows[:-1]) & (ids[1:] == ids[:-1]) & (scores[1:] == scores[:-1])))
+        again = np.concatenate(([False], (rows[1:] == rows[:-1]) & (ids[1:] == ids[:-1])))
         rows, scores, ids = rows[~again], scores[~again], ids[~again]
+        order = np.lexsort((ids, -scores, rows))
+        rows, scores, ids = rows[order], scores[order], ids[order]
         first = np.searchsorted(rows, rows)
         place = np.arange(len(rows)) - first
         kept = place < self.k
@@ -143,8 +146,12 @@ def search_exactly(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarr
     whole = [[int(x) for x in v] for v in vectors]
     for q, i in zip(queries, query_ids):
         q = [int(x) for x in q]
-        found = {(max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v)))), int(j)) for v, j in zip(whole, ids) if j != i}
-        out += [(int(i), j, s) for s, j in sorted(found, key=lambda x: (-x[0], x[1]))[:k]]
+        best: dict[int, int] = {}
+        for v, j in zip(whole, ids):
+            if j != i:
+                score = max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v))))
+                best[int(j)] = max(best.get(int(j), score), score)
+        out += [(int(i), j, s) for j, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 

@@ -53,6 +53,20 @@ def test_top_k_odd_vectors(spark, monkeypatch, kind):
     assert topk.top_k(df.limit(0), F.lit(True), 5).count() == 0
 
 
+@pytest.mark.parametrize("size", [1.0, 1e7])
+def test_top_k_counts_an_id_once(spark, size):
+    """An id with several top vectors takes one place, in doubles and in whole
+    numbers, as candidate and as query."""
+    rng = random.Random(3)
+    rows = [(i, [size * rng.randint(1, 50), size * rng.randint(1, 50)]) for i in range(60)]
+    rows += [(i, [size * (60 + 3 * n + i), size * 60]) for i in (7, 11, 20) for n in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    from pyspark.sql import functions as F
+
+    got = topk.top_k(df, F.pmod(F.col("vec_id"), F.lit(20)) == 0, 5).collect()
+    assert sorted(map(tuple, got)) == slow_top_k(rows, 20, 5, 1.0)
+
+
 def test_ball_tree_prunes_and_bounds():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(c, 0.05, (400, 3)) for c in (-9, 0, 9)])
