@@ -5,11 +5,11 @@ similarity of at least 0.8; a group is what links connect.
 
 1. **Signatures.**  Every permutation of the shingles gives two values, the
    least and the greatest, so ``BANDS * ROWS`` values cost half as many hash
-   evaluations.  Equal sets (by a 128-bit digest) form a class; only its
-   smallest doc_id goes on.
-2. **Stars.**  Documents that share a band of ``ROWS`` values meet in a bucket.
+   evaluations.  Equal sets (by a 64-bit digest) form a class, a node of the
+   graph; only the document with its smallest doc_id goes on.
+2. **Stars.**  Nodes that share a band of ``ROWS`` values meet in a bucket.
    The smallest one of a bucket is its hub, found by a sum that each task makes
-   first.  Each document is compared with the hub it meets most, then with its
+   first.  Each node is compared with the hub it meets most, then with its
    other hubs outside its own component.
 3. **Rest.**  A bucket may still hold several components.  Each document outside
    its largest one is then compared with all of the others: in a small bucket
@@ -25,7 +25,9 @@ similar pairs are missed more rarely.
 Words are what stands between ASCII white space, A-Z lower-cased.  A text with
 fewer words than a shingle has is one shingle; one without words (or null) has
 none and is linked with nothing.  Rows without a doc_id are linked with
-nothing and kept.  Rows that repeat a doc_id are one node.
+nothing and kept.  Rows that repeat a doc_id are one document: each of its texts
+is compared as a node of its own, then they are linked with each other.  They all
+get one ``component_id`` and stay or go together.
 """
 from __future__ import annotations
 
@@ -107,45 +109,50 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def node_of(shingles: np.ndarray) -> int:
+    """The node of a set: its digest."""
+    return int(np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), np.int64)[0])
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n_shingles, high, low, bands``: set size, digest, band keys
-    (null without shingles)."""
+    """``doc_id, n_shingles, node, bands``: set size, node, band keys (null
+    without shingles)."""
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _constants()
         for batch in batches:
-            sizes, high, low, bands = [], [], [], []
+            sizes, nodes, bands = [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), words)
                 sizes.append(len(s))
                 if not len(s):
-                    high.append(None), low.append(None), bands.append(None)
+                    nodes.append(None), bands.append(None)
                     continue
-                digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                high.append(int(digest[0])), low.append(int(digest[1]))
+                nodes.append(node_of(s))
                 bands.append(band_keys(min_max(s, a, b)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "high", "low", "bands"])
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
+                 pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "bands"])
 
-    return docs.mapInArrow(signed, "doc_id long, n_shingles long, high long, low long, bands array<long>")
+    return docs.mapInArrow(signed, "doc_id long, n_shingles long, node long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, shingles`` (array of long, distinct)."""
+    """``node, shingles`` (array of long, distinct) of the texts that have any."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                found = [shingle_set(t.as_py(), words).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                found = [x for t in part.column(1) if len(x := shingle_set(t.as_py(), words))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node_of(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.mapInArrow(sets, "doc_id long, shingles array<long>")
+    return docs.mapInArrow(sets, "node long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar enough (in hundredths)."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return (pairs.join(left, "a").join(right, "b")
             .where(100 * both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
@@ -199,29 +206,29 @@ def similar_rows(x: list[np.ndarray], y: list[np.ndarray], similarity: int) -> t
 
 
 def _in_blocks(left: DataFrame, placed: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links ``a, b`` between each document of ``left`` (main, doc_id) and the
-    component ``main`` (of ``placed``: doc_id, main) with all others left beside
+    """Links ``a, b`` between each node of ``left`` (main, node) and the
+    component ``main`` (of ``placed``: node, main) with all others left beside
     it.  Both sides are cut into slices of about ``BLOCK_SHINGLES``; a task
     compares one slice with one."""
-    whole = placed.join(left.select("main").distinct(), "main", "left_semi").select("main", "doc_id").unionByName(left)
+    whole = placed.join(left.select("main").distinct(), "main", "left_semi").select("main", "node").unionByName(left)
 
     def sliced(rows: DataFrame) -> DataFrame:
-        rows = rows.join(sets, "doc_id")
+        rows = rows.join(sets, "node")
         total = rows.groupBy("main").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).cast("int").alias("slices"))
-        return stored(rows.join(total, "main").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int")), "slices")
+        return stored(rows.join(total, "main").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")), "slices")
 
     x, y = sliced(left), sliced(whole)
     nx = x.select("main", F.col("slices").alias("other")).distinct()
     ny = y.select("main", F.col("slices").alias("other")).distinct()
     every = F.explode(F.sequence(F.lit(0), F.col("other") - 1))
-    x = x.join(ny, "main").select("main", F.col("slice").alias("sx"), every.alias("sy"), "doc_id", "shingles")
-    y = y.join(nx, "main").select(F.col("main").alias("of"), every.alias("tx"), F.col("slice").alias("ty"), F.col("doc_id").alias("other"), F.col("shingles").alias("elements"))
+    x = x.join(ny, "main").select("main", F.col("slice").alias("sx"), every.alias("sy"), "node", "shingles")
+    y = y.join(nx, "main").select(F.col("main").alias("of"), every.alias("tx"), F.col("slice").alias("ty"), F.col("node").alias("other"), F.col("shingles").alias("elements"))
 
     def compared(left_rows, right_rows):
         import pandas as pd
 
         out = []
-        ids, other = left_rows["doc_id"].to_numpy(), right_rows["other"].to_numpy()
+        ids, other = left_rows["node"].to_numpy(), right_rows["other"].to_numpy()
         a, b = left_rows["shingles"].tolist(), right_rows["elements"].tolist()
         a, b = [np.sort(v) for v in a], [np.sort(v) for v in b]
         for i in range(0, len(a), 256):
@@ -243,18 +250,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
     signed = stored(signatures(texts, words), "signatures")
 
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(full.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    reps = full.select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    met = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = met.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").select("bucket", "hub")
+    classes = stored(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    reps = full.select("doc_id", "node", "bands").join(classes.select(F.col("rep").alias("doc_id"), "node"), ["doc_id", "node"], "left_semi")
+    met = reps.select("node", F.explode("bands").alias("bucket"))
+    shared = met.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("bucket", "hub")
     members = stored(met.join(shared, "bucket"), "buckets")
 
     # stars: first the hub that a document meets most
-    stars = stored(members.where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("times")), "stars")
-    seen = members.select("doc_id").distinct()
-    sets = stored(shingle_sets(texts.join(seen, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
+    stars = stored(members.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("times")), "stars")
+    seen = members.select("node").distinct()
+    read = classes.join(seen, "node", "left_semi").select(F.col("rep").alias("doc_id"))
+    sets = stored(shingle_sets(texts.join(read, "doc_id", "left_semi"), words).dropDuplicates(["node"]), "sets")
     first = stars.groupBy("b").agg(F.min_by("a", F.struct(-F.col("times"), "a")).alias("a"))
-    links = stored(confirmed(first, sets, similarity), "links")
+    # the texts of one doc_id are linked whatever they hold
+    ids = stored(full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")), "ids")
+    same = full.select("doc_id", F.col("node").alias("b")).join(ids.where("a <> z").select("doc_id", "a"), "doc_id").where("a <> b").select("a", "b").distinct()
+    links = stored(confirmed(first, sets, similarity).unionByName(same), "links")
     labels = components(links)
     others = _labelled(_labelled(stars, labels, "a", "ra"), labels, "b", "rb").where("ra <> rb").select("a", "b").join(first, ["a", "b"], "left_anti")
     more = stored(confirmed(others, sets, similarity), "links")
@@ -263,35 +274,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
         labels = components(links)
 
     # the rest: buckets with several components
-    placed = _labelled(members.select("bucket", "hub", "doc_id"), labels, "doc_id", "root")
+    placed = _labelled(members.select("bucket", "hub", "node"), labels, "node", "root")
     by_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     spread = (by_root.groupBy("bucket").agg(F.sum("n").alias("total"), F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("parts"))
               .where("parts > 1 and total > 2"))
     open_ = stored(placed.join(spread.select("bucket", F.col("top.root").alias("main"), ((F.col("total") - F.col("top.n")) * F.col("total")).alias("pairs")), "bucket"), "open")
     if not open_.isEmpty():
         few = F.col("pairs") <= OPEN_PAIRS
-        out = open_.where(few & (F.col("root") != F.col("main"))).select("bucket", "hub", F.col("doc_id").alias("x"), F.col("root").alias("rx"))
-        all_ = open_.where(few).select("bucket", F.col("doc_id").alias("y"), F.col("root").alias("ry"))
+        out = open_.where(few & (F.col("root") != F.col("main"))).select("bucket", "hub", F.col("node").alias("x"), F.col("root").alias("rx"))
+        all_ = open_.where(few).select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"))
         pairs = (out.join(all_, "bucket").where("rx <> ry and x <> hub and y <> hub")
                  .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         rest = confirmed(pairs, sets, similarity)
-        left = open_.where(~few & (F.col("root") != F.col("main"))).select("main", "doc_id").distinct()
+        left = open_.where(~few & (F.col("root") != F.col("main"))).select("main", "node").distinct()
         left = stored(left, "left")
         if not left.isEmpty():
-            rest = rest.unionByName(_in_blocks(left, _labelled(seen, labels, "doc_id", "main"), sets, similarity))
+            rest = rest.unionByName(_in_blocks(left, _labelled(seen, labels, "node", "main"), sets, similarity))
         rest = stored(rest, "links")
         if not rest.isEmpty():
             labels = components(links.unionByName(rest))
 
-    many = classes.where("n > 1").select("high", "low", "rep")
-    out = _labelled(signed.select("doc_id", "n_shingles", "high", "low").join(many, ["high", "low"], "left")
-                    .withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))), labels, "rep", "component_id")
+    # a component is called by its smallest doc_id
+    linked = stored(labels.join(classes.select("node", "rep"), "node"), "linked")
+    named = (linked.join(linked.groupBy("root").agg(F.min("rep").alias("component")), "root").select("node", "component")
+             .unionByName(classes.where("n > 1").join(linked, "node", "left_anti").select("node", F.col("rep").alias("component"))))
+    # a text without shingles goes with the others of its doc_id
+    empty = F.col("n_shingles") == 0
+    rows = (signed.where(~empty).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+            .unionByName(signed.where(empty).select("doc_id", "n_shingles").join(ids.select("doc_id", F.col("a").alias("node")), "doc_id", "left")))
+    out = rows.join(named, "node", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id",
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
-    """``docs`` with one document of each group."""
+    """``docs`` with one document of each group; all rows of its doc_id stay,
+    also equal ones."""
     kept = near_duplicates(docs, words, similarity).where("kept").select(F.col("doc_id").alias("_llm_kept"))
     return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_llm_kept")), "left_semi")
 

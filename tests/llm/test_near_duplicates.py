@@ -57,6 +57,22 @@ def test_wide_group_of_copies(spark, monkeypatch):
     assert got == brute(rows, 2)
 
 
+def test_rows_that_share_an_id_keep_their_own_texts(spark):
+    """Each of an id's texts has its own links, in whatever order the rows
+    come; all rows of the id are in one component, one without words too."""
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(10 ** 6)}" for _ in range(60)] for _ in range(30)]
+    near = lambda n: " ".join(base[n][:-2] + [f"x{rng.randrange(10 ** 6)}"] * 2)
+    rows = [(100 + n, near(n)) for n in range(30)] + [(200 + n, near(n)) for n in range(30)]
+    rows += [(300 + n // 3, near(n)) for n in range(24)]  # three texts of one id link three groups
+    rows += [(50 + n, t) for n in range(6) for t in (near(24 + n), "") ] + [(7, near(29)), (7, "one other text"), (None, near(0))]
+    wanted = brute(rows, 2)
+    for order in (1, -1):
+        got = minhash.near_duplicates(spark.createDataFrame(rows[::order], "doc_id long, text string").repartition(3), 2).collect()
+        assert len(got) == len(rows)
+        assert all(r.component_id == wanted.get(r.doc_id) and r.kept == (r.doc_id == r.component_id or r.doc_id is None) for r in got)
+
+
 def test_matrix_comparison_is_exact():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60))) for _ in range(60)]
