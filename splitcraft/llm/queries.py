@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from splitcraft.llm import bpe, minhash, mixing, pii, quality, sharding, substrings, tokencount, topk, toxicity
+from splitcraft.llm import anchors, bpe, infill, minhash, mixing, pii, quality, resampling, sharding, substrings, tokencount, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
@@ -20,10 +20,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ball_tree_top_k": topk.op8_ball_tree_top_k,
     "op9_temperature_mixing": mixing.op9_temperature_mixing,
     "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
+    "op11_target_resampling": resampling.op11_target_resampling,
+    "op12_block_anchor_dedup": anchors.op12_block_anchor_dedup,
+    "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op1_minmax_dedup": minhash.ORACLE,
     "op4_quality_rules": quality.ORACLE,
     "op8_ball_tree_top_k": topk.ORACLE,
+    "op12_block_anchor_dedup": anchors.ORACLE,
+    "op13_fill_in_middle": infill.ORACLE,
 }
