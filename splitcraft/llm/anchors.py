@@ -100,6 +100,24 @@ def rolling(x: np.ndarray, k: int, factor: int) -> np.ndarray:
     return out
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the number of each entry among them."""
+    order = np.argsort(values)
+    sorted_ = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return sorted_[new], place
+
+
+def both_sorted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The order by ``a`` and ``b``; ``b`` matters where 64 bits agree by chance."""
+    order = np.argsort(a)
+    x, y = a[order], b[order]
+    return np.lexsort((b, a)) if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any() else order
+
+
 class Chunk:
     """The words of some documents and the hashes of their windows."""
 
@@ -114,22 +132,21 @@ class Chunk:
         #: places with a whole block behind them, and the block hash there
         self.at = np.flatnonzero(self.left >= block)
         h = mixed(rolling(self.words, block, FACTORS[0])[self.at]) if len(self.at) else np.zeros(0, np.uint64)
-        self.hash = h >> np.uint64(32 - bits)
-        self.probe = np.unique(self.hash)
+        #: the distinct probes in order, and which of them each place has
+        self.probe, self.place = numbered(h >> np.uint64(32 - bits))
 
     def probes(self) -> tuple[np.ndarray, np.ndarray]:
         """Which probes are a block of the index, and which occur again here."""
-        place = np.searchsorted(self.probe, self.hash)
         in_doc = self.at - np.repeat(self.first[:-1], self.count)[self.at]
         indexed = np.zeros(len(self.probe), bool)
-        indexed[place[in_doc % self.block == 0]] = True
-        return indexed, np.bincount(place, minlength=len(self.probe)) > 1
+        indexed[self.place[in_doc % self.block == 0]] = True
+        return indexed, np.bincount(self.place, minlength=len(self.probe)) > 1
 
     def candidates(self, shared: np.ndarray, span: int) -> None:
         """Windows of ``span`` words round a hit, their hashes, and the distinct
         ones in order (``shared``: one flag for each probe)."""
         hit = np.zeros(len(self.words) + self.block, bool)
-        hit[self.at[shared[np.searchsorted(self.probe, self.hash)]]] = True
+        hit[self.at[shared[self.place]]] = True
         near = np.zeros(len(self.words), bool)
         for o in range(self.block):
             near |= hit[o:o + len(near)]
@@ -139,7 +156,7 @@ class Chunk:
         else:
             a = b = np.zeros(0, np.uint64)
         b = b >> np.uint64(48)
-        order = np.lexsort((b, a))
+        order = both_sorted(a, b)
         a, b = a[order], b[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -301,7 +318,7 @@ def repeats(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_col: s
         sizes = [len(v) for v in values]
         bits_of = lambda name: np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(rows.column(name).to_pylist(), sizes)])
         value = np.concatenate(values)
-        order = np.argsort(value, kind="stable")
+        order = np.argsort(value)
         new = np.ones(len(value), bool)
         new[1:] = value[order][1:] != value[order][:-1]
         run = np.cumsum(new) - 1
@@ -337,7 +354,7 @@ def repeats(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_col: s
         a = np.concatenate(values)
         b = np.concatenate([unplanes(v, "<u2") for v in rows.column("more").to_pylist()])
         least = np.concatenate([unplanes(v, "<i8") for v in rows.column("least").to_pylist()])
-        order = np.lexsort((b, a))
+        order = both_sorted(a, b)
         new = np.ones(len(a), bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
         smallest = np.minimum.reduceat(least[order], np.flatnonzero(new))
