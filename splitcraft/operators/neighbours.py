@@ -204,29 +204,28 @@ def expand_neighbourhood(pool: DataFrame, anchors: DataFrame, lev_col: str, k: i
                    .join(elig, "t1").select("set_id", F.col("t2").alias("template"), "dist", "rank", "c"))
 
 
-def _ordered_rows(rest: DataFrame, elig: DataFrame, lev_col: str, id_col: str, seed: int) -> DataFrame:
-    """(template, id, _pos): the rows of eligible templates, each template's in
-    its random order.  Ordered once for all growth rounds."""
+def _ordered_rows(rest: DataFrame, wanted: DataFrame, lev_col: str, id_col: str, seed: int) -> DataFrame:
+    """(template, id, _pos): the rows of the templates ``wanted``, each template's
+    in its random order."""
     from ..functions.hashing import uniform as U
     from ..session import materialize
     from .joins import template_join
-    wanted = elig.select(F.col("template").alias(lev_col)).distinct()
-    rest = template_join(rest.select(lev_col, id_col), wanted, lev_col, "left_semi")
+    rest = template_join(rest.select(lev_col, id_col), wanted.select(F.col("template").alias(lev_col)), lev_col, "left_semi")
     ordered = row_index(rest.withColumn("_g", U(F.col(id_col), seed, "nbr", "order")), [lev_col, "_g", id_col], "_idx")
     first = ordered.groupBy(lev_col).agg(F.min("_idx").alias("_first"))
     return materialize(template_join(ordered, first, lev_col).select(
         F.col(lev_col).alias("template"), id_col, (F.col("_idx") - F.col("_first")).alias("_pos")))
 
 
-def _arc_candidates(rows: DataFrame, elig: DataFrame, id_col: str, prefix: DataFrame, seed: int) -> DataFrame:
-    """Per (set, template): the first P rows of a random arc of the
+def _arc_candidates(rows: DataFrame, pairs: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """Per pair (set, template, c, P): the first P rows of a random arc of the
     template's rows, with exponential-race keys generated in order
     (key_j = sum_{i<=j} E_i / (c - i), the order statistics of c Exp(1)
     draws), so each set reads at most P rows of any template."""
     from ..functions.hashing import uniform as U
-    pairs = elig.join(prefix, "set_id").where(F.col("c") > 0)
+    pairs = pairs.where(F.col("c") > 0).select("set_id", "template", "c", "P")
     pairs = pairs.withColumn("_o", F.floor(U(F.col("set_id"), seed, F.col("template"), "offset") * F.col("c")))
-    pairs = pairs.withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(F.col("P"), F.col("c")) - 1)))
+    pairs = pairs.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("P"), F.col("c")) - 1)))
     gap = -F.log(U(F.col("set_id"), seed, F.col("template"), F.col("_j"))) / (F.col("c") - F.col("_j"))
     wj = Window.partitionBy("set_id", "template").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
     pairs = (pairs.withColumn("_gap", gap).withColumn("key", F.sum("_gap").over(wj))
@@ -234,32 +233,133 @@ def _arc_candidates(rows: DataFrame, elig: DataFrame, id_col: str, prefix: DataF
     return pairs.join(rows, ["template", "_pos"]).select("set_id", "template", id_col, "key", "P", "c")
 
 
-def resolve_claims(cand: DataFrame, id_col: str, k: int) -> DataFrame:
-    """Sets claim rows in set_id order as if served one after another: every
-    round, each set proposes its k best candidates not held by a smaller
-    set; a row goes to the smallest proposing set.  Holdings stay
-    displaceable and the rounds stop when they no longer change (set 0 is
-    final after one round, set 1 after two, ..., so they always stop).  Lineage is cut by a
-    checkpoint each round."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(cand.sparkSession)
-    held = None
+def _turns(lists: DataFrame, held: DataFrame | None, k: int) -> DataFrame:
+    """The templates that each set may draw from at its turn: the fewest nearest
+    ones, at least ``k`` of them, that hold ``k`` rows which no earlier set has.
+
+    ``lists`` has (set_id, template, rank, c, complete), ``held`` (template, id,
+    holder).  Rows taken before a turn are a running count over the sets in
+    order, per template.  Adds ``left``, and ``total``: the rows left in all of the set's list."""
+    if held is None:
+        x = lists.withColumn("left", F.col("c"))
+    else:
+        taken = held.groupBy("template", F.col("holder").alias("set_id")).agg(F.count(F.lit(1)).alias("_n"))
+        marks = taken.select("template", "set_id", "_n", F.lit(None).cast("int").alias("rank"),
+                             F.lit(None).cast("long").alias("c"), F.lit(None).cast("boolean").alias("complete"))
+        both = lists.select("template", "set_id", F.lit(0).cast("long").alias("_n"), "rank", "c", "complete").unionByName(marks)
+        earlier = Window.partitionBy("template").orderBy("set_id").rangeBetween(Window.unboundedPreceding, -1)
+        x = (both.withColumn("left", F.col("c") - F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+                 .where(F.col("rank").isNotNull()).drop("_n"))
+    near = Window.partitionBy("set_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("total", F.sum("left").over(Window.partitionBy("set_id")))
+    x = x.withColumn("_before", F.coalesce(F.sum("left").over(near), F.lit(0)))
+    return x.where((F.col("rank") <= k) | (F.col("_before") < k)).drop("_before")
+
+
+def _picks(cand: DataFrame, turns: DataFrame, held: DataFrame | None, id_col: str, k: int) -> DataFrame:
+    """(set_id, template, id, key): the ``k`` least keys of each set among rows
+    of its templates that no earlier set holds."""
+    avail = cand.join(turns.select("set_id", "template"), ["set_id", "template"], "left_semi")
+    if held is not None:
+        avail = (avail.join(held.select(id_col, "holder"), id_col, "left")
+                      .where(F.col("holder").isNull() | (F.col("holder") >= F.col("set_id"))))
     w = Window.partitionBy("set_id").orderBy("key", id_col)
+    return (avail.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+                 .select("set_id", "template", id_col, "key"))
+
+
+def _holders(picks: DataFrame, id_col: str) -> DataFrame:
+    """(id, template, holder): a row picked by several sets is the first one's."""
+    return picks.groupBy(id_col, "template").agg(F.min("set_id").alias("holder"))
+
+
+def serve_sets(lists: DataFrame, read_rows, id_col: str, k: int, seed: int = 0, start_prefix: int | None = None,
+               longer=None) -> DataFrame:
+    """(set_id, template, id, key): ``k`` rows for every set, as if the sets were
+    served one after another in ``set_id`` order.
+
+    At its turn a set may draw from its nearest templates, as many as hold ``k``
+    rows that are still there (``_turns``), and takes those with the least keys.
+    What a set gets depends on earlier sets only.  So a guess of all sets'
+    picks is improved in rounds: from the holders of the guess follow the
+    templates at each turn and the rows still there, and from these the picks.
+    Only sets whose templates changed, or that meet a row whose holder changed,
+    are computed again; set 0 is final after one round, set 1 after two at the
+    latest, and sets that want different rows all at once.  Where nothing
+    changes, the guess is the serial result.
+
+    A set reads ``start_prefix`` rows of a template's arc at first, and twice as
+    many whenever a row it has not read could be among its picks.
+    ``read_rows(templates)`` gives (template, id, _pos); ``longer(short)`` gives
+    the longer lists of the sets ``short`` (set_id) whose list holds fewer than
+    ``k`` rows at their turn and is not ``complete``."""
+    from ..session import materialize
+    lists = materialize(lists)
+    known = lists.select("template").distinct()
+    rows = read_rows(known)
+    prefix = None                      # (set_id, P) of sets that read more than at first
+    start = F.lit(int(start_prefix or max(4 * k, 8))).cast("long")
+
+    def with_prefix(pairs):
+        if prefix is None:
+            return pairs.withColumn("P", start)
+        return pairs.join(prefix, "set_id", "left").withColumn("P", F.coalesce("P", start))
+
+    picks = cand = turns = held = changed = grown = None
     while True:
-        if held is None:
-            avail = cand
+        now = materialize(_turns(lists, held, k))
+        short = now.where((F.col("total") < k) & ~F.col("complete")).select("set_id").distinct()
+        if longer is not None and short.limit(1).count():
+            short = materialize(short)
+            more = materialize(longer(short))
+            lists = materialize(lists.join(short, "set_id", "left_anti").unionByName(more.select(*lists.columns)))
+            new = materialize(more.select("template").distinct().join(known, "template", "left_anti"))
+            if new.limit(1).count():
+                rows = materialize(rows.unionByName(read_rows(new)))
+            known = lists.select("template").distinct()
+            continue
+        if picks is None:
+            cand = materialize(_arc_candidates(rows, with_prefix(now), id_col, seed))
+            picks = materialize(_picks(cand, now, None, id_col, k))
+            turns = now
         else:
-            blocked = cand.join(held, id_col).where(F.col("holder") < F.col("set_id")).select("set_id", id_col)
-            avail = cand.join(blocked, ["set_id", id_col], "left_anti")
-        prop = avail.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-        new = prop.groupBy(id_col).agg(F.min("set_id").alias("holder")).checkpoint()
-        if held is not None:
-            diff = new.join(held, [id_col, "holder"], "full_outer").join(
-                new.join(held, [id_col, "holder"], "inner").select(id_col), id_col, "left_anti")
-            if diff.limit(1).count() == 0:
-                break
-        held = new
-    return held
+            def print_of(t):   # one value per set for its templates
+                return t.groupBy("set_id").agg(F.bit_xor(F.xxhash64("template")).alias("_h"), F.count(F.lit(1)).alias("_c"))
+            other = print_of(now).join(print_of(turns), ["set_id", "_h", "_c"], "left_anti").select("set_id")
+            if changed is not None:
+                other = other.unionByName(cand.join(changed, id_col).where(F.col("set_id") > F.col("_from")).select("set_id"))
+            if grown is not None:
+                other = other.unionByName(grown)
+            redo = materialize(other.distinct())
+            turns = now
+            if redo.limit(1).count() == 0:
+                # nothing moves any more; does a set have to read further?
+                got = picks.groupBy("set_id").agg(F.count(F.lit(1)).alias("_got"), F.max("key").alias("_took"))
+                # unread rows of a template have keys above the last one read
+                used = cand.join(now.select("set_id", "template"), ["set_id", "template"], "left_semi")
+                read = (used.where(F.col("P") < F.col("c")).groupBy("set_id", "template").agg(F.max("key").alias("_read"))
+                            .groupBy("set_id").agg(F.min("_read").alias("_read")))
+                grow = materialize(read.join(got, "set_id", "left")
+                                   .where((F.coalesce("_got", F.lit(0)) < k) | (F.col("_took") > F.col("_read"))).select("set_id"))
+                if grow.limit(1).count() == 0:
+                    return picks
+                again = with_prefix(grow).select("set_id", (F.col("P") * 2).alias("P"))
+                prefix = materialize(again if prefix is None else prefix.join(grow, "set_id", "left_anti").unionByName(again))
+                cand = materialize(cand.join(grow, "set_id", "left_anti").unionByName(
+                    _arc_candidates(rows, with_prefix(now.join(grow, "set_id", "left_semi")), id_col, seed)))
+                grown, changed = grow, None
+                continue
+            fresh = (now.join(redo, "set_id", "left_semi").select("set_id", "template", "c")
+                        .join(cand.select("set_id", "template").distinct(), ["set_id", "template"], "left_anti"))
+            cand = materialize(cand.unionByName(_arc_candidates(rows, with_prefix(fresh), id_col, seed)))
+            part = _picks(cand.join(redo, "set_id", "left_semi"), now, held, id_col, k)
+            picks = materialize(picks.join(redo, "set_id", "left_anti").unionByName(part))
+        new_held = materialize(_holders(picks, id_col))
+        old = (held if held is not None else new_held.limit(0)).select(id_col, F.col("holder").alias("_old"))
+        # rows with another holder than before; sets up to the smaller one see no change
+        changed = (new_held.select(id_col, F.col("holder").alias("_new")).join(old, id_col, "full_outer")
+                   .where(~F.col("_new").eqNullSafe(F.col("_old"))).select(id_col, F.least("_new", "_old").alias("_from")))
+        held, grown = new_held, None
 
 
 def draw_anchors(pool: DataFrame, id_col: str, weights_col: str, m: int, seed: int = 0) -> DataFrame:
@@ -277,6 +377,20 @@ def draw_anchors(pool: DataFrame, id_col: str, weights_col: str, m: int, seed: i
     return a.withColumn("set_id", (F.row_number().over(wa) - 1).cast("long")).drop("_key", "_w")
 
 
+def neighbour_lists(pool: DataFrame, lev_col: str, anchor_templates: DataFrame, counts: DataFrame, k: int, n_temps: int) -> DataFrame:
+    """(t1, template, rank, c, complete): the ``k`` nearest templates of each
+    anchor template with their row counts.  A complete list has all templates,
+    the own one last (distance 100000)."""
+    near = nearest_templates(pool, lev_col, min(k, max(n_temps - 1, 1)), anchors=anchor_templates)
+    near = near.select("t1", "t2", F.col("rank").cast("int").alias("rank"))
+    complete = k >= n_temps - 1
+    if complete:
+        own = anchor_templates.select(F.col(lev_col).alias("t1"), F.col(lev_col).alias("t2"), F.lit(10 ** 9).alias("rank"))
+        near = near.unionByName(own)
+    return near.join(counts, "t2", "left").select("t1", F.col("t2").alias("template"), "rank",
+                                                  F.coalesce("c", F.lit(0)).alias("c"), F.lit(complete).alias("complete"))
+
+
 def neighbour_sets(pool: DataFrame, id_col: str, weights_col: str, lev_col: str, training_size: int,
                    set_size: int, seed: int = 0, start_prefix: int | None = None) -> DataFrame:
     """floor(floor(0.95 * size) / (k + 1)) sets: an anchor drawn with weight
@@ -285,10 +399,11 @@ def neighbour_sets(pool: DataFrame, id_col: str, weights_col: str, lev_col: str,
     remainder form dev (set_id -1), validated on ``weights_col`` against
     the sets.  Output: (split_name, set_id, id, label).
 
-    Divergences from the sequential reference (stated): anchors are reserved
-    first; template eligibility uses the starting row counts; a set whose
-    candidates are exhausted by earlier sets stays short unless its
-    templates still have unread rows (then it reads a longer prefix).
+    Sets are served in order, each from the rows left at its turn: where
+    earlier sets have emptied its k nearest templates, its neighbourhood widens
+    until it holds k rows (``serve_sets``), so a set is short only when the
+    whole pool is used up.  Rows without a template are never drawn.
+    Divergence from the sequential reference (stated): anchors are reserved first.
     """
     from ..session import materialize
     from .coverage import validate_and_fix
@@ -300,29 +415,22 @@ def neighbour_sets(pool: DataFrame, id_col: str, weights_col: str, lev_col: str,
     split = f"{k}_{training_size}_0_false"
     anchors = materialize(draw_anchors(pool, id_col, weights_col, m, seed).select("set_id", id_col, lev_col, weights_col))
     rest = materialize(pool.join(anchors.select(id_col), id_col, "left_anti"))
-    elig = materialize(expand_neighbourhood(pool, anchors, lev_col, k, id_col))
-
-    rows = _ordered_rows(rest, elig, lev_col, id_col, seed)
-    p0 = start_prefix or max(4 * k, 8)
-    prefix = anchors.select("set_id", F.lit(p0).alias("P"))
-    while True:
-        cand = materialize(_arc_candidates(rows, elig, id_col, prefix, seed))
-        held = resolve_claims(cand, id_col, k)
-        got = held.groupBy(F.col("holder").alias("set_id")).agg(F.count(F.lit(1)).alias("_got"))
-        # unread rows of a template have keys above the last one read: a set reads
-        # more while it is short, or took a key above the least of those
-        trunc = (cand.where(F.col("P") < F.col("c")).groupBy("set_id", "template").agg(F.max("key").alias("_read"))
-                     .groupBy("set_id").agg(F.min("_read").alias("_read")))
-        took = (cand.join(held.select(id_col, F.col("holder").alias("set_id")), [id_col, "set_id"])
-                    .groupBy("set_id").agg(F.max("key").alias("_took")))
-        grow = (prefix.join(trunc, "set_id").join(got, "set_id", "left").join(took, "set_id", "left")
-                      .where((F.coalesce("_got", F.lit(0)) < k) | (F.col("_took") > F.col("_read"))))
-        if grow.limit(1).count() == 0:
-            break
-        prefix = materialize(prefix.join(grow.select("set_id", F.lit(True).alias("_g")), "set_id", "left")
-                                   .select("set_id", F.when(F.col("_g"), F.col("P") * 2).otherwise(F.col("P")).alias("P")))
-
-    members = held.select(F.col("holder").alias("set_id"), id_col)
+    counts = materialize(rest.groupBy(F.col(lev_col).alias("t2")).agg(F.count(F.lit(1)).alias("c")))
+    n_temps = pool.where(F.col(lev_col).isNotNull()).select(lev_col).distinct().count()
+    sets = anchors.select("set_id", F.col(lev_col).alias("t1"))
+    size = {"k": 2 * k}
+
+    def lists_of(wanted):
+        near = neighbour_lists(pool, lev_col, wanted.select(F.col("t1").alias(lev_col)).distinct(), counts, size["k"], n_temps)
+        return wanted.join(near, "t1").select("set_id", "template", "rank", "c", "complete")
+
+    def longer(short):
+        size["k"] *= 2
+        return lists_of(sets.join(short, "set_id", "left_semi"))
+
+    picks = serve_sets(lists_of(sets), lambda wanted: _ordered_rows(rest, wanted, lev_col, id_col, seed),
+                       id_col, k, seed, start_prefix, longer)
+    members = picks.select("set_id", id_col)
     train = anchors.select("set_id", id_col).unionByName(members).withColumn("label", F.lit(1))
     remainder = rest.join(members.select(id_col), id_col, "left_anti")
     dev = uniform_sample(remainder.select(id_col, weights_col), id_col,

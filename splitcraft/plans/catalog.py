@@ -1033,7 +1033,7 @@ def q_token_edit_distance(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------
-# neighbourhood sets (rows-only: sequential definition, no SQL oracle)
+# neighbourhood sets
 # ---------------------------------------------------------------------------
 NBR_SIZE, NBR_K = 1000, 4
 
@@ -1043,7 +1043,74 @@ def _neighbour_sets(spark, sf_dir):
     return NB.neighbour_sets(lv, "example_id", "abstract_template", "template", NBR_SIZE, NBR_K)
 
 
-@register("neighbour_sets", None)
+def _neighbour_sql(tail: str) -> str:
+    """The sets served one after another by a recursive query: its state is the
+    list of ids taken so far."""
+    from ..functions.hashing import uniform_sql
+    from ..functions.vocab import program_vocab_sql
+    k, n_dev = NBR_K, int(NBR_SIZE * 0.05 // 1)
+    order = uniform_sql("l.example_id", "0", "'nbr'", "'order'")
+    offset = uniform_sql("w.set_id", "0", "w.t2", "'offset'")
+    gap = uniform_sql("w.set_id", "0", "w.t2", "i")
+    u_dev = uniform_sql("r.example_id", "0", "'dev'", "'draw'")
+    ctes = [
+        *_neighbour_ctes(),
+        f"rest AS MATERIALIZED (SELECT l.example_id, l.template, l.abstract_template, row_number() OVER (PARTITION BY l.template ORDER BY {order}, l.example_id) - 1 AS pos "
+        "FROM leveled l WHERE l.example_id NOT IN (SELECT example_id FROM anchors))",
+        "wanted AS MATERIALIZED (SELECT a.set_id, n.t2, n.rank, n.c, coalesce(sum(n.c) OVER (PARTITION BY a.set_id ORDER BY n.rank "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_all FROM anchors a JOIN counted n ON n.t1 = a.template)",
+        f"arcs AS (SELECT set_id, t2, c, CAST(floor({offset} * c) AS BIGINT) AS o, unnest(range(0, c)) AS i FROM wanted w "
+        # all sets together take m * k rows, so a set never gets to templates beyond these
+        f"WHERE c > 0 AND (rank <= {k} OR before_all < {int(NBR_SIZE * 0.95 // 1 // (k + 1)) * k + k}))",
+        f"raced AS (SELECT set_id, t2, (o + i) % c AS pos, sum(-ln({gap}) / (c - i)) "
+        "OVER (PARTITION BY set_id, t2 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS key FROM arcs w)",
+        "cand AS MATERIALIZED (SELECT d.set_id, d.t2, r.example_id, d.key FROM raced d JOIN rest r ON r.template = d.t2 AND r.pos = d.pos)",
+        "served(j, taken, mine) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) UNION ALL "
+        "SELECT j + 1, list_concat(any_value(taken), coalesce(list(example_id) FILTER (WHERE rn IS NOT NULL), [])), "
+        "coalesce(list(example_id) FILTER (WHERE rn IS NOT NULL), []) FROM ("
+        " SELECT s.j, s.taken, p.example_id, p.rn FROM served s LEFT JOIN ("
+        "  SELECT set_id, example_id, row_number() OVER (ORDER BY key, example_id) AS rn FROM ("
+        "   SELECT c.set_id, c.example_id, c.key FROM cand c JOIN ("
+        "    SELECT set_id, t2, rank, coalesce(sum(c - coalesce(gone, 0)) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before "
+        "    FROM wanted JOIN served ON wanted.set_id = served.j LEFT JOIN ("
+        "     SELECT template AS t2, count(*) AS gone FROM (SELECT unnest(taken) AS example_id FROM served) JOIN rest USING (example_id) GROUP BY 1) USING (t2)) e "
+        f"   ON c.set_id = e.set_id AND c.t2 = e.t2 AND (e.rank <= {k} OR e.before < {k})"
+        "   WHERE c.example_id NOT IN (SELECT unnest(taken) FROM served)) "
+        f"  QUALIFY rn <= {k}) p ON p.set_id = s.j WHERE s.j < (SELECT count(*) FROM anchors)) GROUP BY j)",
+        "members AS (SELECT j - 1 AS set_id, unnest(mine) AS example_id FROM served UNION ALL SELECT set_id, example_id FROM anchors)",
+        f"lab AS (SELECT m.set_id, m.example_id, l.abstract_template AS p, 1 AS label FROM members m JOIN leveled l USING (example_id) UNION ALL "
+        f"SELECT -1, example_id, abstract_template, 2 FROM (SELECT r.example_id, r.abstract_template, "
+        f"row_number() OVER (ORDER BY -ln({u_dev}), r.example_id) AS rn FROM rest r WHERE r.example_id NOT IN (SELECT example_id FROM members)) WHERE rn <= {n_dev})",
+        f"voc AS (SELECT label, unnest({program_vocab_sql('p')}) AS tok FROM lab)",
+        "missing AS (SELECT tok FROM voc WHERE label = 2 EXCEPT SELECT tok FROM voc WHERE label = 1)",
+        "kept AS (SELECT * FROM lab WHERE label = 1 OR NOT EXISTS (SELECT 1 FROM missing m "
+        "WHERE strpos(lab.p, ' ' || regexp_replace(m.tok, '^\\s+|\\s+$', '', 'g') || ' ') > 0))",
+    ]
+    return Q.with_programs(*ctes).replace("WITH ", "WITH RECURSIVE ", 1) + tail
+
+
+def _neighbour_ctes() -> list[str]:
+    """Anchors, and all templates by distance with their row counts."""
+    from ..functions.hashing import uniform_sql
+    m = int(NBR_SIZE * 0.95 // 1 // (NBR_K + 1))
+    u = uniform_sql("l.example_id", "0", "'anchors'", "'draw'")
+    return [
+        *POOL_CTES, Q.LEVELED.replace("leveled AS (", "leveled AS MATERIALIZED ("), *_enc_sql(["template"]),
+        "fr AS (SELECT abstract_template, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS freq FROM leveled "
+        "WHERE abstract_template IS NOT NULL GROUP BY 1)",
+        f"drawn AS (SELECT l.example_id, l.template, row_number() OVER (ORDER BY -ln({u}) / (1.0 / f.freq), l.example_id) - 1 AS set_id "
+        "FROM leveled l JOIN fr f USING (abstract_template))",
+        f"anchors AS (SELECT * FROM drawn WHERE set_id < {m})",
+        "cnt AS (SELECT template AS t2, count(*) AS c FROM leveled WHERE example_id NOT IN (SELECT example_id FROM anchors) GROUP BY 1)",
+        f"near AS (SELECT a.t AS t1, b.t AS t2, {DIST_SQL} AS dist, CAST(row_number() OVER (PARTITION BY a.t ORDER BY {DIST_SQL}, b.t) AS INTEGER) AS rank "
+        "FROM enc a JOIN enc b ON a.t <> b.t WHERE a.t IN (SELECT template FROM anchors) "
+        f"UNION ALL SELECT t, t, {NB.SELF_DISTANCE}, 1000000000 FROM enc WHERE t IN (SELECT template FROM anchors))",
+        "counted AS (SELECT n.*, coalesce(cnt.c, 0) AS c FROM near n LEFT JOIN cnt USING (t2))",
+    ]
+
+
+@register("neighbour_sets", _neighbour_sql(
+    f" SELECT '{NBR_K}_{NBR_SIZE}_0_false' AS split_name, CAST(set_id AS BIGINT) AS set_id, example_id, CAST(label AS INTEGER) AS label FROM kept"))
 def q_neighbour_sets(spark, sf_dir):
     """190 sets of an anchor (weight 1/p(abstract template)) plus 4 rows of
     its nearest typed templates, and 50 dev rows (set_id -1)."""
@@ -1085,7 +1152,9 @@ def q_expand_neighbourhood(spark, sf_dir):
     return NB.expand_neighbourhood(lv, a, "template", NBR_K, "example_id")
 
 
-@register("set_quality", None)
+@register("set_quality", _neighbour_sql(
+    " SELECT CAST(set_id AS BIGINT) AS set_id, count(*) AS rows, count(DISTINCT example_id) AS distinct_ids, "
+    f"count(*) <= {NBR_K + 1} AND count(*) = count(DISTINCT example_id) AS ok FROM kept WHERE set_id >= 0 GROUP BY set_id"))
 def q_set_quality(spark, sf_dir):
     """Per neighbourhood set: rows, distinct ids, ok (<= k + 1 rows, unique ids)."""
     return NB.set_quality(_neighbour_sets(spark, sf_dir), "example_id", NBR_K)
