@@ -961,12 +961,21 @@ def q_read_predictions(spark, sf_dir):
     return back.select("example_id", F.size("predicted_tokens").cast("long").alias("n_tokens"), "correct")
 
 
-@register("read_raw_pairs_file", Q.with_programs() + " SELECT DISTINCT question AS c0 FROM programs")
+@register("read_raw_pairs_file", Q.with_programs() + " SELECT line_no, c0, c1 FROM (SELECT CAST(row_number() OVER (ORDER BY example_id) - 1 AS BIGINT) AS line_no, "
+          "question AS c0, query AS c1, row_number() OVER (PARTITION BY question ORDER BY example_id) AS rn FROM programs) WHERE rn = 1")
 def q_read_raw_pairs_file(spark, sf_dir):
-    """A raw file of three tab-separated fields, split by its reader; one line
-    per question stays."""
-    lines = programs(spark, sf_dir).select(F.concat_ws("\t", "example_id", "question", "query").alias("value"))
-    return _round_trip(spark, lambda path: lines.write.text(path), lambda path: SHD.read_raw_pairs(spark, path)).select("c0")
+    """Raw files of three tab-separated fields, written in id order; of each
+    question the first line of all files stays, with its number."""
+    lines = programs(spark, sf_dir).orderBy("example_id").select(F.concat_ws("\t", "example_id", "question", "query").alias("value"))
+    return _round_trip(spark, lambda path: lines.write.text(path), lambda path: SHD.read_raw_pairs(spark, path)).select("line_no", "c0", "c1")
+
+
+@register("read_pairs_by_place", Q.with_programs() + " SELECT CAST(row_number() OVER (ORDER BY example_id) - 1 AS VARCHAR) AS example_id, question, query FROM programs")
+def q_read_pairs_by_place(spark, sf_dir):
+    """Pair files without ids, written in id order: a row's place over all files
+    is its id."""
+    p = programs(spark, sf_dir).orderBy("example_id").select("question", "query")
+    return _round_trip(spark, _headerless(p), lambda path: TSV.read_pairs(spark, path, 0, 1, None))
 
 
 @register("stage_counts", Q.with_programs(*CLI_CTES) +

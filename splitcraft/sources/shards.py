@@ -6,6 +6,11 @@ without a single-partition window: range-partition and sort by the order,
 take the per-partition position from ``monotonically_increasing_id`` (its
 low 33 bits), and add the partition's offset from a per-partition count
 (one small aggregate, one row per partition).
+
+``read_numbered`` gives the lines of files their numbers as they are scanned:
+Spark tells for each row the file and the split of it (``_metadata``), the rows of a split
+are numbered in a row, and a count per split gives the lines in front of it.
+No line is sorted or shuffled, however the splits are packed into tasks.
 """
 from __future__ import annotations
 
@@ -35,6 +40,25 @@ def row_index(df: DataFrame, order_cols: list[str], out_col: str = "row_idx",
                .drop("_mid", "_pid", "_loc", "_off"))
 
 
+def read_numbered(read, path, out_col: str = "line_no") -> DataFrame:
+    """``read(path)`` (a file scan, nothing done to it yet) with the 0-based
+    number of each line over all files: files of a folder by name, several paths
+    in the order given, a file by the places of its splits."""
+    paths = [path] if isinstance(path, str) else list(path)
+    rows = None
+    for i, p in enumerate(paths):
+        scan = read(p)
+        part = scan.select(*[F.col(f"`{c}`") for c in scan.columns], F.lit(i).alias("_ord"), F.col("_metadata.file_path").alias("_file"),
+                           F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid"))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    split = ["_ord", "_file", "_block"]
+    counts = rows.groupBy(*split).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*split, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return (rows.join(F.broadcast(shifts), split)   # one row per split of the input
+                .withColumn(out_col, F.col("_mid") + F.col("_shift")).drop(*split, "_mid", "_shift"))
+
+
 def shard_round_robin(df: DataFrame, order_cols: list[str], num_shards: int, shard_col: str = "shard") -> DataFrame:
     """Line i (in ``order_cols`` order) goes to shard i mod n; also keeps the
     line's position inside its shard (``shard_pos``)."""
@@ -77,9 +101,9 @@ def first_wins(df: DataFrame, key_cols: list[str], order_cols: list[str]) -> Dat
 def read_raw_pairs(spark: SparkSession, path, remove_index: bool = True, drop_dups: bool = True) -> DataFrame | None:
     """Raw pair file: split each line on tab (no quoting).  Width != 2 with
     ``remove_index``: keep fields 1, 2 as (c0, c1), dedup key c0; width 2:
-    (c0, c1), dedup key c1; otherwise all fields, key c1.  First line wins.
-    Empty file -> None."""
-    raw = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    (c0, c1), dedup key c1; otherwise all fields, key c1.  First line wins,
+    over all files and splits (``read_numbered``).  Empty file -> None."""
+    raw = read_numbered(spark.read.text, path)
     parts = raw.select("line_no", F.split("value", "\t", -1).alias("f"))
     width = parts.agg(F.max(F.size("f"))).first()[0]
     if width is None:

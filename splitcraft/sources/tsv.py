@@ -25,14 +25,14 @@ def read_pairs(spark: SparkSession, path, question_col: int = 1, query_col: int
                id_col: int | None = 0) -> DataFrame:
     """Headerless TSV -> (example_id, question, query, *other positional
     columns as c<k>).  Without an id column (None) the id is the row's place,
-    as text, in the order of the files."""
-    df = _reader(spark, False).csv(path)
+    as text, over all files and their splits (``read_numbered``)."""
     if id_col is None:
-        from .shards import row_index
+        from .shards import read_numbered
         names = {question_col: "question", query_col: "query"}
-        rows = row_index(df.withColumn("_line", F.monotonically_increasing_id()), ["_line"], "example_id")
+        rows = read_numbered(_reader(spark, False).csv, path, "example_id")
         return rows.select(F.col("example_id").cast("string").alias("example_id"),
-                           *[F.col(f"_c{i}").alias(names.get(i, f"c{i}")) for i in range(len(df.columns))])
+                           *[F.col(f"_c{i}").alias(names.get(i, f"c{i}")) for i in range(len(rows.columns) - 1)])
+    df = _reader(spark, False).csv(path)
     names = {id_col: "example_id", question_col: "question", query_col: "query"}
     return df.select(*[F.col(f"_c{i}").alias(names.get(i, f"c{i}")) for i in range(len(df.columns))])
 
