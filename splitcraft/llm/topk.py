@@ -18,6 +18,9 @@ held at its ends.  A query without any other vector has no rows.
 """
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -139,15 +142,23 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, vector
     return best
 
 
-def search_exactly(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+def whole(vector: np.ndarray, scale: float) -> list[int]:
+    """``floor(scale * x)`` of each component, also where the product is beyond
+    the range of doubles."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(vector * scale)
+    return [int(s) if np.isfinite(s) else math.floor(Fraction(float(x)) * Fraction(scale)) for s, x in zip(scaled, vector)]
+
+
+def search_exactly(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, scale: float = 1.0) -> pd.DataFrame:
     """The same in whole numbers of any size, for components so large that
-    doubles can't hold the scores."""
+    doubles can't hold the scores; components are not scaled yet."""
     out = []
-    whole = [[int(x) for x in v] for v in vectors]
+    vectors = [whole(v, scale) for v in vectors]
     for q, i in zip(queries, query_ids):
-        q = [int(x) for x in q]
+        q = whole(q, scale)
         best: dict[int, int] = {}
-        for v, j in zip(whole, ids):
+        for v, j in zip(vectors, ids):
             if j != i:
                 score = max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v))))
                 best[int(j)] = max(best.get(int(j), score), score)
@@ -163,7 +174,7 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: float = 1.0, id_col: str
     v = F.col(vector_col)
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = vectors.where(v.isNotNull() & (F.size(v) > 0) & ~odd & F.col(id_col).isNotNull())
-    good = stored(good.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double") * scale).alias("v"),
+    good = stored(good.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"),
                               F.size(v).alias("dim"), is_query.alias("is_query")).distinct(), "vectors")
     rows, asked = good.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
     shards, blocks = max(1, -(-rows // SHARD_ROWS)), max(1, -(-asked // BLOCK_ROWS))
@@ -178,10 +189,13 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: float = 1.0, id_col: str
     def in_shard(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        q, x = np.floor(np.stack(left["v"].to_numpy())), np.floor(np.stack(right["vector"].to_numpy()))
+        raw_q, raw_x = np.stack(left["v"].to_numpy()), np.stack(right["vector"].to_numpy())
+        with np.errstate(over="ignore", invalid="ignore"):
+            q, x = np.floor(raw_q * scale), np.floor(raw_x * scale)
+            exact = np.abs(q).max() * np.abs(x).max() * q.shape[1] < EXACT
         qi, xi = left["id"].to_numpy(), right["vec_id"].to_numpy()
-        if np.abs(q).max() * np.abs(x).max() * q.shape[1] >= EXACT:
-            return search_exactly(q, qi, x, xi, k)
+        if not exact:
+            return search_exactly(raw_q, qi, raw_x, xi, k, scale)
         floor = left["floor"].fillna(-np.inf).to_numpy(np.float64)
         best = search(q, qi, floor, x, xi, k)
         return pd.DataFrame({"query_id": qi[best.rows], "vec_id": best.ids, "score": best.scores.astype("int64")})

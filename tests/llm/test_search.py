@@ -53,6 +53,17 @@ def test_top_k_odd_vectors(spark, monkeypatch, kind):
     assert topk.top_k(df.limit(0), F.lit(True), 5).count() == 0
 
 
+def test_top_k_where_scaling_leaves_the_doubles(spark):
+    """64 * x is beyond a double, x is not; zeros beside it."""
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1.7e308, 0.0]), (1, [-1.7e308, 0.5]), (2, [0.0, 0.25]), (3, [1e-300, -0.01]), (4, [5e306, 1.0]), (20, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, F.pmod(F.col("vec_id"), F.lit(20)) == 0, 3, 64.0).collect()))
+    most = (1 << 63) - 1
+    assert got == [(0, 1, 4, most), (0, 2, 2, 0), (0, 3, 3, 0), (20, 1, 0, 0), (20, 2, 1, 0), (20, 3, 2, 0)]
+
+
 @pytest.mark.parametrize("size", [1.0, 1e7])
 def test_top_k_counts_an_id_once(spark, size):
     """An id with several top vectors takes one place, in doubles and in whole
