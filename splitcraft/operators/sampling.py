@@ -16,11 +16,13 @@ Scale plan for "n smallest keys per split" (``smallest_n``):
   2. one pass over the (row x split) keys keeps only key <= t; survivors
      (about n + 4 sqrt(n) plus at most 4.4 %) are the only rows that get
      shuffled;
-  3. survivors are counted per split; the rare split with fewer survivors
-     than needed is redone without a cut, so the result is exact;
-  4. exact ``row_number`` over (split order by key, id) on survivors.
-A split's rank window therefore holds O(n) rows (n is the requested sample
-size), independent of the pool size.
+  3. survivors are counted per split; a split that takes its whole pool needs
+     no ranking; the rare split with fewer survivors than needed, one whose cut
+     was not found, and one of more than ``RANKED_ROWS`` rows gets its exact cut
+     by selection (``grouped_cut``), so the result is exact;
+  4. exact ``row_number`` over (split order by key, id) on the other survivors.
+A rank window therefore holds O(n) rows (n is the requested sample size, at most
+``RANKED_ROWS``), independent of the pool size.
 """
 from __future__ import annotations
 
@@ -29,8 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import race_key, uniform
+from ..session import materialize
+from .joins import template_join
 
 MARGIN_SIGMAS = 4.0
+#: Rows of a sample that one task ranks; larger samples are cut by selection.
+RANKED_ROWS = 1_000_000
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -101,51 +107,136 @@ def race_thresholds(summary: DataFrame, group_cols: list[str], n_col: str = "n",
                       F.col("_n").alias("need"), F.col("_npos").alias("available"))
 
 
+def id_text(df: DataFrame, id_col: str) -> Column:
+    """The id as text in the id's own order (whole numbers get leading zeros)."""
+    if df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.lpad((F.col(id_col).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.col(id_col).cast("string")
+
+
+def grouped_cut(keyed: DataFrame, group_cols: list[str], key_col: str, id_col: str, n_col: str, bins: int = 256) -> DataFrame:
+    """(group..., cut_key, cut_id): the ``n``-th smallest (key, id) of every group
+    that has more rows; ``cut_id`` is the id as ``id_text`` gives it.
+
+    Selection for all groups at once: a round counts the remaining rows of each
+    group in ``bins`` slices between its least and greatest key and goes on with
+    the slice that holds the n-th, by that slice's own least and greatest key.
+    Where all remaining keys are equal, the ids decide, one sign after the
+    common beginning at a time.  A round is one aggregate; no group's rows are
+    ever ranked or read in one place, and no keys come to the driver."""
+    rows = materialize(keyed.select(*group_cols, F.col(key_col).cast("double").alias("_k"), id_text(keyed, id_col).alias("_t"),
+                                    F.col(n_col).cast("long").alias("_need")).where(F.col("_k").isNotNull()))
+
+    def chosen(hist: DataFrame, by: str) -> DataFrame:
+        """Of each group the slice with the n-th row; ``_need`` counts on in it."""
+        upto = F.sum("_n").over(Window.partitionBy(*group_cols).orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+        return (hist.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need")))
+                    .withColumn("_need", F.col("_need") - F.col("_upto") + F.col("_n")))
+
+    size = F.count(F.lit(1)).alias("_n")
+    state = materialize(rows.groupBy(*group_cols).agg(size, F.max("_need").alias("_need"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
+                        .where((F.col("_need") > 0) & (F.col("_need") < F.col("_n"))).select(*group_cols, "_need", "_n", "_lo", "_hi"))
+    keys = rows.drop("_need")
+    while True:
+        wide = state.where(F.col("_lo") < F.col("_hi"))
+        if wide.limit(1).count() == 0:
+            break
+        left = template_join(keys, wide.drop("_n"), group_cols).where(F.col("_k").between(F.col("_lo"), F.col("_hi")))
+        slice_ = F.least(F.floor((F.col("_k") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
+        hist = left.groupBy(*group_cols, slice_.alias("_b")).agg(size, F.max("_need").alias("_need"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
+        state = materialize(state.where(F.col("_lo") == F.col("_hi")).unionByName(chosen(hist, "_b").select(*state.columns)))
+    cuts = state.select(*group_cols, F.col("_lo").alias("cut_key"))
+    ties = template_join(keys, state.select(*group_cols, "_need", "_lo"), group_cols).where(F.col("_k") == F.col("_lo")).select(*group_cols, "_t", "_need")
+    ids = None
+    while True:
+        both = ties.groupBy(*group_cols).agg(size, F.max("_need").alias("_need"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+        # the longest common beginning of the least and greatest id is that of all
+        same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length("_lo"), F.lit(1))), lambda i: F.substring("_lo", 1, i) == F.substring("_hi", 1, i)))
+        both = materialize(both.withColumn("_p", F.when((F.col("_need") == F.col("_n")) | (F.col("_lo") == F.col("_hi")), 0).otherwise(same + 1)))
+        settled = both.where(F.col("_p") == 0).select(*group_cols, F.col("_hi").alias("cut_id"))
+        ids = settled if ids is None else ids.unionByName(settled)
+        more = both.where(F.col("_p") > 0).select(*group_cols, "_p")
+        if more.limit(1).count() == 0:
+            break
+        ties = template_join(ties, more, group_cols).withColumn("_c", F.expr("substring(_t, _p, 1)"))
+        hist = ties.groupBy(*group_cols, "_c").agg(size, F.max("_need").alias("_need"))
+        ties = template_join(ties.drop("_need", "_p"), chosen(hist, "_c").select(*group_cols, "_c", "_need"), [*group_cols, "_c"]).drop("_c")
+    return cuts.join(ids, group_cols)
+
+
+def within_cuts(keyed: DataFrame, cuts: DataFrame, group_cols: list[str], key_col: str, id_col: str) -> Column:
+    """Condition on ``keyed`` joined with ``cuts`` (left): the row is among its
+    group's first; groups without a cut are taken whole."""
+    return (F.col("cut_key").isNull() | (F.col(key_col) < F.col("cut_key"))
+            | ((F.col(key_col) == F.col("cut_key")) & (id_text(keyed, id_col) <= F.col("cut_id"))))
+
+
+def first_by_cut(keyed: DataFrame, group_cols: list[str], key_col: str, id_col: str, n_col: str) -> DataFrame:
+    """Rows with the ``n`` smallest (key, id) per group, by ``grouped_cut``."""
+    cuts = grouped_cut(keyed, group_cols, key_col, id_col, n_col)
+    joined = template_join(keyed, cuts, group_cols, "left")
+    return joined.where(within_cuts(keyed, cuts, group_cols, key_col, id_col) & (F.col(n_col) > 0)).select(*keyed.columns)
+
+
 def smallest_n(keyed: DataFrame, group_cols: list[str], key_col: str, id_col: str,
                n_col: str, thresholds: DataFrame | None = None, small_groups: bool = True) -> DataFrame:
     """Rows with the ``n`` smallest ``key`` per group (ties by id); exact.
 
     ``keyed`` holds one row per (row, group) with a per-group ``n_col``.
     With ``thresholds`` (from ``race_thresholds``) only rows under the
-    group's cut are ranked; groups whose cut kept too few rows are redone
-    without a cut.  ``small_groups`` as in ``race_thresholds``.
+    group's cut are ranked; groups whose cut kept too few rows, or that have
+    none, are cut by selection.  ``small_groups`` as in ``race_thresholds``.
     """
     keyed = keyed.where(F.col(key_col).isNotNull())
-    if thresholds is not None:
-        th = thresholds.select(*group_cols, "threshold", "need", "available")
-        if small_groups:
-            th = F.broadcast(th)
-        cand = (keyed.join(th, group_cols)
-                     .where(F.col("threshold").isNull() | (F.col(key_col) <= F.col("threshold"))))
-        cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
-        short = (cand.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_kept"))
-                     .join(th, group_cols, "right")
-                     .where(F.coalesce(F.col("_kept"), F.lit(0)) < F.least(F.col("need"), F.col("available")))
-                     .select(*group_cols)).persist(StorageLevel.MEMORY_AND_DISK)
-        keep_cols = keyed.columns
-        cand = cand.select(*keep_cols)
-        if short.limit(1).count():      # rare: a cut that kept too few rows
-            cand = (cand.join(short, group_cols, "left_anti")
-                        .unionByName(keyed.join(short, group_cols, "left_semi")))
-    else:
-        cand = keyed
+    if thresholds is None:
+        return first_by_cut(keyed, group_cols, key_col, id_col, n_col)
+    need, have = F.col("need"), F.col("available")
+    whole = need >= have
+    # no cut although the group is far larger, or more rows than one task should rank
+    far = F.col("threshold").isNull() & (have > need + MARGIN_SIGMAS * F.sqrt(need) + 8)
+    path = F.when(whole, "whole").when(far | (need > RANKED_ROWS), "cut").otherwise("rank")
+    th = thresholds.select(*group_cols, "threshold", "need", "available", path.alias("_path"))
+    joined = keyed.join(F.broadcast(th), group_cols) if small_groups else template_join(keyed, th, group_cols)
+    cand = (joined.where((F.col("_path") != "cut") & (F.col("threshold").isNull() | whole | (F.col(key_col) <= F.col("threshold"))))
+                  .persist(StorageLevel.MEMORY_AND_DISK))
+    kept = cand.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_kept"))
+    th = F.broadcast(th) if small_groups else th
+    by_cut = (kept.join(th, group_cols, "right")
+                  .where((F.col("_path") == "cut") | (F.coalesce(F.col("_kept"), F.lit(0)) < F.least(need, have)))
+                  .select(*group_cols)).persist(StorageLevel.MEMORY_AND_DISK)
+    columns = keyed.columns
     w = Window.partitionBy(*group_cols).orderBy(F.col(key_col), F.col(id_col))
-    return (cand.withColumn("_rank", F.row_number().over(w))
-                .where(F.col("_rank") <= F.col(n_col))
-                .drop("_rank"))
+    ranked = cand.where(F.col("_path") == "rank")
+    rest = None
+    if by_cut.limit(1).count():      # rare
+        ranked = ranked.join(by_cut, group_cols, "left_anti")
+        rest = first_by_cut(template_join(keyed, by_cut, group_cols, "left_semi"), group_cols, key_col, id_col, n_col)
+    out = (ranked.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col(n_col)).select(*columns)
+                 .unionByName(cand.where(F.col("_path") == "whole").select(*columns)))
+    return out if rest is None else out.unionByName(rest.select(*columns))
 
 
 def train_dev_split(sample: DataFrame, group_cols: list[str], id_col: str, dev_share,
-                    seed: int = 0, label_col: str = "label") -> DataFrame:
+                    seed: int = 0, label_col: str = "label", largest: int | None = None) -> DataFrame:
     """Label 2 (dev) on ceil(p * size) rows of each sample, 1 (train) on the
     rest; dev rows are the smallest md5 keys (salt 'dev').
 
     ``dev_share`` is a float or a column name holding p per group.  Windows
-    are per sample, so they hold at most the sample size.
+    are per sample, so they hold at most the sample size; where ``largest``, the
+    size of the largest sample, is above ``RANKED_ROWS``, the dev rows are cut
+    by selection and no task holds a sample.
     """
     p = F.col(dev_share) if isinstance(dev_share, str) else F.lit(float(dev_share))
     split_name = F.concat_ws("|", *[F.col(c).cast("string") for c in group_cols])
     u2 = uniform(F.col(id_col), seed, split_name, "dev")
+    if largest is not None and largest > RANKED_ROWS:
+        sample = materialize(sample.withColumn("_u", u2))
+        sizes = sample.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_size"))
+        keyed = template_join(sample, sizes, group_cols).withColumn("_dev", F.ceil(p * F.col("_size")))
+        cuts = grouped_cut(keyed, group_cols, "_u", id_col, "_dev")
+        dev = within_cuts(keyed, cuts, group_cols, "_u", id_col) & (F.col("_dev") > 0)
+        return (template_join(keyed, cuts, group_cols, "left").withColumn(label_col, F.when(dev, F.lit(2)).otherwise(F.lit(1)).cast("int"))
+                .drop("_u", "_size", "_dev", "cut_key", "cut_id"))
     w_all = Window.partitionBy(*group_cols)
     w_ord = Window.partitionBy(*group_cols).orderBy(u2, F.col(id_col))
     return (sample.withColumn("_size", F.count(F.lit(1)).over(w_all))
@@ -234,7 +325,7 @@ def cap_per_group(df: DataFrame, group_cols: list[str], id_col: str, n: int, see
         base = base.where(F.col(c).isNotNull())
     counted = F.count(F.col(count_col)) if count_col else F.count(F.lit(1))
     sizes = base.groupBy(*group_cols).agg(counted.alias("_gsize"))
-    keyed = base.join(sizes, group_cols)
+    keyed = template_join(base, sizes, group_cols)
     small = keyed.where(F.col("_gsize") <= n).drop("_gsize")
     big = keyed.where(F.col("_gsize") > n).drop("_gsize")
     return small.unionByName(top_n_per_group(big, group_cols, id_col, n, seed, "cap").drop("_u"))
@@ -257,7 +348,8 @@ def two_phase_sample(pool: DataFrame, id_col: str, template_col: str, n: int, ex
     prefix = top_n_per_group(base, [template_col], id_col, n, seed, split_name,
                              parts=(seed, split_name, "row"))
     w_t = Window.partitionBy(template_col).orderBy("_u", id_col)
-    prefix = prefix.withColumn("_j", F.row_number().over(w_t) - 1).join(counts, template_col)
+    prefix = prefix.withColumn("_j", F.row_number().over(w_t) - 1)
+    prefix = template_join(prefix, counts, template_col)
     gap_u = uniform(F.col(id_col), seed, F.lit(split_name), "gap")
     rate = F.pow((F.col("_c") - F.col("_j")).cast("double"), F.lit(float(exponent)))
     prefix = prefix.withColumn("_gap", -F.log(gap_u) / rate)
@@ -266,59 +358,48 @@ def two_phase_sample(pool: DataFrame, id_col: str, template_col: str, n: int, ex
     return global_smallest(arrivals, "arrival", id_col, n)
 
 
-def kth_cut(df: DataFrame, key_col: str, id_col: str, k: int, bins: int = 4096,
-            collect_below: int = 50000):
+def kth_id(df: DataFrame, id_col: str, k: int):
+    """The ``k``-th smallest id, found sign by sign: each round counts the signs
+    that follow the ids' common beginning.  Equal ids count one by one."""
+    part = df.select(id_col, id_text(df, id_col).alias("_t"))
+    while True:
+        st = part.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"), F.count(F.lit(1)).alias("c")).first()
+        if st["lo"] == st["hi"] or k == st["c"]:
+            return part.where(F.col("_t") == st["hi"]).select(id_col).first()[0]
+        p = next((i for i, (a, b) in enumerate(zip(st["lo"], st["hi"])) if a != b), len(st["lo"])) + 1
+        sign, before = F.substring("_t", p, 1), 0
+        for ch, n in sorted((r[0], r[1]) for r in part.groupBy(sign.alias("_c")).count().collect()):
+            if before + n >= k:
+                part, k = part.where(sign == ch), k - before
+                break
+            before += n
+
+
+def kth_cut(df: DataFrame, key_col: str, id_col: str, k: int, bins: int = 4096):
     """Exact cut ``(key, id)`` such that exactly ``k`` rows have
     ``(key, id) <= cut`` (None when the frame has at most k rows).
 
-    Fully distributed: each round is one aggregate (count, min, max) and one
-    histogram of the key over ``bins`` equal-width bins, and keeps only the
-    bin holding the k-th row, narrowing about ``bins``-fold per round.  The
-    next round filters with the very bin expression that was counted, so
-    rows on bin edges are never counted twice or lost.  Once at most
-    ``collect_below`` rows remain, their (key, id) pairs are read and the
-    k-th is picked; if many rows share one key, they are ranked and a
-    single row is read back.  No task ever ranks the whole frame.
-    """
-    key = F.col(key_col)
+    Each round is one aggregate: a histogram of the key over ``bins`` slices
+    between the least and greatest remaining key, with the least and greatest key
+    of each slice, between which the next round looks.  Where all remaining keys
+    are equal, the ids decide (``kth_id``).  No keys are read and nothing is ranked;
+    what comes to the driver is one histogram a round."""
     if k <= 0:
         return None
-    part, need = df, k
-
-    def pick(frame, need, small):
-        if small:   # at most ``collect_below`` rows: read their two key columns
-            last = frame.select(key_col, id_col).orderBy(key_col, id_col).limit(need).collect()[need - 1]
-        else:       # many rows share one key: rank them, read back one row
-            w = Window.orderBy(key_col, id_col)
-            last = (frame.select(key_col, id_col).withColumn("_r", F.row_number().over(w))
-                         .where(F.col("_r") == need).first())
-        return last[0], last[1]
-
-    first = True
-    while True:
-        st = part.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("c")).first()
-        if first:
-            if st["c"] <= k:
-                return None
-            first = False
-        if st["c"] <= collect_below:
-            return pick(part, need, True)
-        lo, hi = float(st["lo"]), float(st["hi"])
-        if hi <= lo:
-            return pick(part, need, False)
-        width = (hi - lo) / bins
-        b = F.least(F.floor((key - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-        hist = sorted((r[0], r[1]) for r in part.groupBy(b.alias("_b")).count().collect())
-        acc = 0
-        for bi, cnt in hist:
-            if acc + cnt >= need:
-                need -= acc
-                narrowed = part.where(b == F.lit(bi))
-                if cnt == st["c"]:     # one bin holds everything (float granularity)
-                    return pick(narrowed, need, cnt <= collect_below)
-                part = narrowed
+    key, need = F.col(key_col).cast("double"), k
+    lo, hi, c = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    if c <= k:
+        return None
+    while lo < hi:
+        slice_ = F.least(F.floor((key - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1)).cast("int")
+        hist = (df.where(key.between(F.lit(lo), F.lit(hi))).groupBy(slice_.alias("_b"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect())
+        for r in sorted(hist, key=lambda r: r["_b"]):
+            if r["n"] >= need:
+                lo, hi = r["lo"], r["hi"]
                 break
-            acc += cnt
+            need -= r["n"]
+    return lo, kth_id(df.where(key == F.lit(lo)), id_col, need)
 
 
 def below_cut(df: DataFrame, key_col: str, id_col: str, cut) -> DataFrame:

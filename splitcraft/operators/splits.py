@@ -64,7 +64,8 @@ def _sample_and_label(pool: DataFrame, id_col: str, program_col: str, weight: F.
     th = race_thresholds(summary, ["split_name"])
     sample = smallest_n(keyed.select("split_name", "n", "_key", id_col, program_col),
                         ["split_name"], "_key", id_col, "n", th)
-    labeled = train_dev_split(sample.drop("_key", "n"), ["split_name"], id_col, dev_share, seed)
+    labeled = train_dev_split(sample.drop("_key", "n"), ["split_name"], id_col, dev_share, seed,
+                              largest=max(s["n"] for s in specs))
     if validate:
         labeled = validate_and_fix(with_vocab(labeled, program_col), ["split_name"], id_col, program_col)
     return labeled.select("split_name", id_col, "label")
@@ -186,8 +187,7 @@ def compositional_split(pool: DataFrame, id_col: str, template_col: str, program
     dev_t = below_cut(rest, "_u", template_col, cut_dev) if n_dev > 0 else rest.limit(0)
     roles = (test_t.select(template_col, F.lit("comp_test").alias("role"))
              .unionByName(dev_t.select(template_col, F.lit("comp_dev").alias("role"))))
-    rows = (pool.where(F.col(template_col).isNotNull())
-                .join(roles, template_col, "left").withColumn("role", F.coalesce("role", F.lit("train"))))
+    rows = (template_join(pool.where(F.col(template_col).isNotNull()), roles, template_col, "left").withColumn("role", F.coalesce("role", F.lit("train"))))
     rows = rows.persist()
     train = rows.where(F.col("role") == "train").withColumn("_u", uniform(F.col(id_col), seed, "compositional", "iid_test"))
     n_train = train.count()

@@ -1,6 +1,7 @@
 """Sampler invariants, determinism and exactness of the scale paths."""
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from splitcraft.functions.hashing import race_key, uniform
@@ -77,7 +78,7 @@ def test_kth_cut_matches_sort(spark):
     df = spark.range(0, 20000).select(F.col("id").cast("string").alias("id"),
                                       uniform(F.col("id"), 3, "x", "y").alias("u"))
     for k in (1, 17, 5000, 19999):
-        cut = SM.kth_cut(df, "u", "id", k, bins=64, collect_below=100)
+        cut = SM.kth_cut(df, "u", "id", k, bins=64)
         got = SM.below_cut(df, "u", "id", cut).count()
         assert got == k
         want = sorted((r.u, r.id) for r in df.collect())[k - 1]
@@ -160,6 +161,34 @@ def test_kth_cut_with_ties_and_bin_edges(spark):
                                      (F.floor(uniform(F.col("id"), 9, "x", "y") * 40) / 8.0).alias("u"))
     rows = sorted((r.u, r.id) for r in df.collect())
     for k in (1, 150, 2999, 5999):
-        cut = SM.kth_cut(df, "u", "id", k, bins=8, collect_below=50)
+        cut = SM.kth_cut(df, "u", "id", k, bins=8)
         assert cut == rows[k - 1]
         assert SM.below_cut(df, "u", "id", cut).count() == k
+
+
+@pytest.mark.parametrize("keys", ["spread", "ties", "equal"])
+@pytest.mark.parametrize("ids", ["text", "long"])
+def test_grouped_cut_is_the_nth_of_every_group(spark, keys, ids):
+    """Sizes below, at and above n; ids of several lengths, also below zero."""
+    n_of = {"a": 1, "b": 37, "c": 500, "d": 60, "e": 0}
+    size_of = {"a": 40, "b": 300, "c": 90, "d": 60, "e": 10}
+    rows = []
+    for g, size in size_of.items():
+        for i in range(size):
+            key = {"spread": (i * 7919 % 1009) ** 3 / 7.0, "ties": float(i % 3), "equal": 5.0}[keys]
+            rows.append((g, key, f"x{i * 31 % 1000}" if ids == "text" else i * 31 % 1000 - 400, n_of[g]))
+    df = spark.createDataFrame(rows, f"g string, k double, id {'string' if ids == 'text' else 'long'}, n int").repartition(3)
+    got = sorted((r.g, r.k, r.id) for r in SM.first_by_cut(df, ["g"], "k", "id", "n").collect())
+    want = [(g, k, i) for g in n_of for _, k, i, _ in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]))[:n_of[g]]]
+    assert got == sorted(want)
+
+
+def test_large_samples_are_cut_not_ranked(spark, monkeypatch):
+    """Above RANKED_ROWS no window holds a sample; the rows are the same."""
+    pool = _pool(spark)
+    specs = [{"split_name": "s", "n": 70}, {"split_name": "t", "n": 10 ** 6}]
+    one = SM.uniform_sample(pool, "example_id", specs, seed=4)
+    small = sorted((r.split_name, r.example_id, r.label) for r in SM.train_dev_split(one, ["split_name"], "example_id", 0.2).collect())
+    monkeypatch.setattr(SM, "RANKED_ROWS", 10)
+    other = SM.train_dev_split(SM.uniform_sample(pool, "example_id", specs, seed=4), ["split_name"], "example_id", 0.2, largest=10 ** 6)
+    assert sorted((r.split_name, r.example_id, r.label) for r in other.collect()) == small
