@@ -368,9 +368,10 @@ def draw_anchors(pool: DataFrame, id_col: str, weights_col: str, m: int, seed: i
     about 1.2 m rows are ranked); the final order is a window over the m
     anchors only."""
     from ..functions.hashing import race_key, uniform as U
+    from .joins import template_join
     from .sampling import template_counts, weighted_sample
     counts = template_counts(pool, weights_col)
-    pooled = pool.join(counts.select(weights_col, (1.0 / F.col("freq")).alias("_w")), weights_col)
+    pooled = template_join(pool, counts.select(weights_col, (1.0 / F.col("freq")).alias("_w")), weights_col)
     a = weighted_sample(pooled, id_col, "_w", [{"split_name": "anchors", "n": m}], class_col=weights_col, seed=seed)
     a = a.withColumn("_key", race_key(U(F.col(id_col), seed, "anchors", "draw"), F.col("_w")))
     wa = Window.partitionBy("split_name").orderBy("_key", id_col)

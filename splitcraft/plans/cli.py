@@ -50,7 +50,7 @@ def run_splits(spark, args) -> dict:
     if args.save_uat_samples:
         specs = S.uat_specs([-1], [args.training_size], 5)
         a = S.uat_splits(pool, "example_id", "abstract_template", "query", [-1], [args.training_size],
-                         replicates=5, dev_share=0.20, seed=args.seed).persist()
+                         replicates=5, dev_share=0.20, seed=args.seed, on_short="error").persist()
         S.check_split_sizes(a)
         pool_f = TP.attach_template_freq(pool, "abstract_template")
         out["splits"] = str(parent / "small_uat_splits.tsv")

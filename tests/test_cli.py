@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from splitcraft.functions import templates as T
@@ -57,3 +58,13 @@ def test_score_command_reports_all_measures(spark, tmp_path):
     assert 0 < s.bleu < 1 and s.rouge_1 == round((1 + 2 * (2 / 3) * 0.5 / (2 / 3 + 0.5)) / 2, 9)
     flags = {r.example_id: r.correct for r in spark.read.json(str(tmp_path / "out" / "correct")).collect()}
     assert flags == {"a": True, "b": False}
+
+
+def test_cli_refuses_a_sample_larger_than_the_pool(spark, tmp_dir):
+    p = programs(spark, SF_SMALL).limit(30)
+    for name, rows in (("pool.tsv", p), ("test.tsv", p.limit(2)), ("dev.tsv", p.limit(0))):
+        _write_tsv(rows.select("example_id", "question", "query", F.lit("x"), F.lit("y"), T.template_abstract(F.col("query")))
+                   if name != "pool.tsv" else rows.select("example_id", "question", "query"), os.path.join(tmp_dir, name))
+    with pytest.raises(ValueError, match="larger than population"):
+        cli.main(["splits", "--augmented_path", os.path.join(tmp_dir, "pool.tsv"), "--compositional_test_path", os.path.join(tmp_dir, "test.tsv"),
+                  "--compositional_dev_path", os.path.join(tmp_dir, "dev.tsv"), "--training_size", "31", "--save_uat_samples"])
