@@ -12,14 +12,18 @@ far as the corpus ties the two together: with document counts N of all,
 
 and ``PMI / IC`` is the share of the entity's information that the term gives
 away, 1 if the term never stands without it.  All counts are over whole
-documents.  A tie seen in fewer than ``SUPPORT`` documents is no evidence.
+documents, and documents with equal texts count as one in each of them: neither
+a repeated row nor a copy is evidence, and a table that holds every row twice
+has the marks of the one that holds it once.  A tie seen in fewer than
+``SUPPORT`` different texts is no evidence.
 In the documents of that entity every occurrence of a term of at least
 ``GENERALISE`` is replaced by a general sign, of one of at least ``REMOVE``
 taken out.  Documents without an entity are left alone, and base spans always
 stay.
 
-Null or empty text: no spans.  Rows are told apart by doc_id and text, so that
-repeated ids keep their own spans; null ids are allowed.
+Null or empty text: no spans; together they are one text of the N.  Rows are
+told apart by doc_id and text, so that repeated ids keep their own spans; null
+ids are allowed.
 """
 from __future__ import annotations
 
@@ -46,8 +50,10 @@ SENT_TERMS, SENT_SIGNS = 400_000, 8_000_000
 #: Distinct terms that a worker counts before it passes the counts on, and terms
 #: with their places that it holds before it passes rows on.
 COUNTED_TERMS, HELD_TERMS = 200_000, 200_000
-#: Parts into which the rows of one entity, or of one of its terms, are dealt.
+#: Parts into which the rows of one entity, of one of its terms, or of one text are dealt.
 SALTS = 16
+#: Bits of the map of texts with copies that is sent to every worker (8 MB).
+COPY_BITS = 1 << 26
 
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -111,9 +117,8 @@ def entity(kind: int, value: str) -> int:
 
 
 def term_of(word: str) -> str:
-    """A word as it is counted, '' if it is none."""
-    word = word.lower().strip(string.punctuation)
-    return word if len(word) > 2 and not _DIGIT.search(word) else ""
+    """A word as it is counted, '' if it holds nothing but punctuation."""
+    return word.lower().strip(string.punctuation)
 
 
 def text_terms(text: str, spans) -> Iterator[tuple[str, int, int]]:
@@ -134,20 +139,20 @@ def text_terms(text: str, spans) -> Iterator[tuple[str, int, int]]:
 
 
 _SPAN = "start int, kind int, stop int"
-_FOUND = (f"key long, doc_id long, spans array<struct<{_SPAN}>>, entities array<long>, "
+_FOUND = (f"key long, doc_id long, text_key long, spans array<struct<{_SPAN}>>, entities array<long>, "
           "words array<struct<term string, start int, stop int>>")
 
 
 def _found_type() -> pa.Schema:
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())])
     word = pa.struct([("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
-    return pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("spans", pa.list_(span)), ("entities", pa.list_(pa.int64())), ("words", pa.list_(word))])
+    return pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("spans", pa.list_(span)), ("entities", pa.list_(pa.int64())), ("words", pa.list_(word))])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc_id = F.col(id_col).cast("long")
-    return docs.select(row_key(id_col, text_col).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
+    return docs.select(row_key(id_col, text_col).alias("key"), doc_id.alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def find_base(texts: DataFrame) -> DataFrame:
@@ -156,7 +161,7 @@ def find_base(texts: DataFrame) -> DataFrame:
         schema = _found_type()
         for batch in batches:
             start, held, spans, entities, words = 0, 0, [], [], []
-            for n, text in enumerate(batch.column(2), 1):
+            for n, text in enumerate(batch.column(3), 1):
                 text = text.as_py()
                 got = base_spans(text)
                 spans.append([{"start": a, "kind": k, "stop": b} for a, k, b in got])
@@ -165,7 +170,7 @@ def find_base(texts: DataFrame) -> DataFrame:
                 held += len(words[-1])
                 if held > HELD_TERMS or n == batch.num_rows:
                     yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(i).slice(start, n - start) for i in range(2)),
+                        [*(batch.column(i).slice(start, n - start) for i in range(3)),
                          *(pa.array(x, schema.field(c).type) for x, c in ((spans, "spans"), (entities, "entities"), (words, "words")))],
                         schema=schema)
                     start, held, spans, entities, words = n, 0, [], [], []
@@ -173,8 +178,28 @@ def find_base(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(found, _FOUND)
 
 
+def different_texts(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``texts`` for each text.  Only texts that may have a copy are
+    moved: a map of ``COPY_BITS`` bits, one for each key that occurs twice, tells
+    them from all others, so what is sent has a fixed size."""
+    bit = F.pmod("text_key", F.lit(COPY_BITS)) + 1  # Spark's bitmap buckets count from 1
+    copied = found.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = (copied.groupBy(F.bitmap_bucket_number(bit).alias("bucket"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect())
+    sent = texts.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in parts})
+
+    @F.pandas_udf("boolean")
+    def may_repeat(bucket: pd.Series, position: pd.Series) -> pd.Series:
+        maps = sent.value
+        return pd.Series([b in maps and bool(maps[b][p >> 3] >> (p & 7) & 1) for b, p in zip(bucket, position)], dtype=bool)
+
+    told = texts.select("text_key", "text", may_repeat(F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)).alias("several"))
+    several = told.where("several").dropDuplicates(["text_key"])
+    return told.where("not several").unionByName(several).select("text")
+
+
 def term_documents(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, n``: in how many of all documents each of ``terms`` stands.  A
+    """``term, n``: in how many of ``texts`` each of ``terms`` stands.  A
     set of terms of checked size is sent to the workers; beyond it the counts
     of all terms are shuffled and joined."""
     size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
@@ -205,22 +230,22 @@ def _salted(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def tied(found: DataFrame, d_e: DataFrame) -> DataFrame:
-    """``key, entities, words`` of the rows that hold entities of enough
-    documents for a tie; only those entities, repeated rows once."""
-    salt = F.pmod("key", F.lit(SALTS)).cast("int").alias("salt")
-    held = (found.select("key", salt, F.explode("entities").alias("entity"))
+def tied(once: DataFrame, d_e: DataFrame) -> DataFrame:
+    """``text_key, entities, words`` of the texts that hold entities of enough
+    texts for a tie; only those entities."""
+    salt = F.pmod("text_key", F.lit(SALTS)).cast("int").alias("salt")
+    held = (once.select("text_key", salt, F.explode("entities").alias("entity"))
             .join(_salted(d_e.where(F.col("d_e") >= SUPPORT).select("entity")), ["entity", "salt"])
-            .groupBy("key").agg(F.collect_set("entity").alias("entities")))
-    return found.select("key", "words").where("size(words) > 0").join(held, "key").dropDuplicates(["key"]).select("key", "entities", "words")
+            .groupBy("text_key").agg(F.collect_set("entity").alias("entities")))
+    return once.select("text_key", "words").where("size(words) > 0").join(held, "text_key").select("text_key", "entities", "words")
 
 
 def disclosing(found: DataFrame, ties: DataFrame, d_e: DataFrame, texts: DataFrame) -> DataFrame:
     """``entity, term, share`` of the terms that give an entity away."""
     met = ties.select(F.explode("entities").alias("entity"), F.array_distinct("words.term").alias("terms")).select("entity", F.explode("terms").alias("term"))
     pairs = stored(met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("d_et")).where(F.col("d_et") >= SUPPORT), "pairs")
-    total = found.count()
-    d_t = term_documents(texts, pairs.select("term").distinct()).withColumnRenamed("n", "d_t")
+    total = found.select("text_key").distinct().count()
+    d_t = term_documents(different_texts(texts, found), pairs.select("term").distinct()).withColumnRenamed("n", "d_t")
     ic = F.log2(F.lit(float(total)) / F.col("d_e"))
     pmi = F.log2(F.lit(float(total)) * F.col("d_et") / (F.col("d_e") * F.col("d_t")))
     return (pairs.join(d_e, "entity").join(d_t, "term").where(F.col("d_e") < total)
@@ -233,16 +258,20 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     found = stored(find_base(texts), "private")
-    d_e = stored(found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("d_e")), "entities")
-    ties = stored(tied(found, d_e), "ties")
+    # what one text holds is the same in each of its copies: counted and marked once
+    once = found.where("size(entities) > 0").select("text_key", "entities", "words").dropDuplicates(["text_key"])
+    d_e = stored(once.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("d_e")), "entities")
+    ties = stored(tied(once, d_e), "ties")
     shares = stored(disclosing(found, ties, d_e, texts), "disclosing")
-    salt = F.pmod("key", F.lit(SALTS)).cast("int").alias("salt")
-    marked = (ties.select("key", salt, F.explode("entities").alias("entity"), "words").select("key", "salt", "entity", F.explode("words").alias("_w"))
-              .select("key", "salt", "entity", "_w.term", "_w.start", "_w.stop")
-              .join(_salted(shares), ["entity", "term", "salt"]).groupBy("key", "start", "stop").agg(F.max("share").alias("share"))
-              .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "share"))).alias("terms")))
-    return found.select("key", "doc_id", "spans").join(marked, "key", "left").withColumn(
-        "terms", F.coalesce("terms", F.array().cast("array<struct<start:int,stop:int,share:double>>")))
+    salt = F.pmod("text_key", F.lit(SALTS)).cast("int").alias("salt")
+    marked = (ties.select("text_key", salt, F.explode("entities").alias("entity"), "words").select("text_key", "salt", "entity", F.explode("words").alias("_w"))
+              .select("text_key", "salt", "entity", "_w.term", "_w.start", "_w.stop")
+              .join(_salted(shares), ["entity", "term", "salt"]).groupBy("text_key", "start", "stop").agg(F.max("share").alias("share"))
+              .groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "share"))).alias("terms")))
+    # rows of one text are dealt by their own key, which tells copies apart
+    rows = found.select("doc_id", "key", "text_key", "spans", F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
+    return rows.join(_salted(marked), ["text_key", "salt"], "left").select("key", "doc_id", "spans", F.coalesce(
+        "terms", F.array().cast("array<struct<start:int,stop:int,share:double>>")).alias("terms"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:

@@ -130,17 +130,19 @@ def test_disclosing_terms(spark, monkeypatch, sent):
     assert clean[50] == texts[50]
 
 
-@pytest.mark.parametrize("sent", [0, 10 ** 6])
-def test_disclosing_terms_anywhere_in_the_document(spark, monkeypatch, sent):
+@pytest.mark.parametrize("sent, times", [(0, 1), (10 ** 6, 1), (10 ** 6, 3)])
+def test_disclosing_terms_anywhere_in_the_document(spark, monkeypatch, sent, times):
     """A name in the heading is tied to an address in the footer, and goes
-    wherever it stands again; held against plain counts over whole documents."""
+    wherever it stands again; held against plain counts over whole documents of
+    which equal texts count once, however often the table holds its rows."""
     monkeypatch.setattr(pii, "SENT_TERMS", sent)
     monkeypatch.setattr(pii, "HELD_TERMS", 50, raising=False)
     filler = " ".join(["common words here then"] * 40)
     rows = [(i, f"Zanzibarian report\n{filler} zanzibarian, {filler} mail jo@x.example.com or bo@y.example.com {i}") for i in range(3)]
-    rows += [(10 + i, f"{filler} other person{'s' * (i % 3)} mail someone{i % 15}@x.example.com {filler} (quux{'abc'[i % 3]})") for i in range(20)]
-    rows += [(50 + i, f"report {filler} no data at all") for i in range(20)] + [(70, ""), (71, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rows += [(10 + i, f"{filler} other person{'s' * (i % 3)} mail someone{i % 15}@x.example.com {filler} (quux{'abc'[i % 3]}) li jd{i % 5}{' again' * (i > 7)}") for i in range(20)]
+    rows += [(50 + i, f"report {filler} no data at all or {i}") for i in range(20)] + [(70, ""), (71, None)]
+    rows += [(80 + i, "only copies hold these words, mail copy@z.example.com") for i in range(4)]
+    docs = spark.createDataFrame(rows * times, "doc_id long, text string").repartition(3)
     found = {r.doc_id: r for r in pii.find_private(docs).collect()}
     texts = {i: t or "" for i, t in rows}
     own, held = {}, {}
@@ -148,16 +150,18 @@ def test_disclosing_terms_anywhere_in_the_document(spark, monkeypatch, sent):
         spans = plain_spans(t)
         held[i] = {(k, t[a:b].lower()) for a, k, b in spans}
         own[i] = [(w, a, b) for m in re.finditer(r"\w+", t) for w, a, b in [(m[0].lower(), *m.span())]
-                  if len(w) > 2 and not re.search("[0-9]", w) and not any(a < e and s < b for s, _, e in spans)]
-    d_e = Counter(e for x in held.values() for e in x)
-    d_t = Counter(w for x in own.values() for w in {w for w, _, _ in x})
-    d_et = Counter((e, w) for i in texts for e in held[i] for w in {w for w, _, _ in own[i]})
-    share = {(e, w): math.log2(len(rows) * n / (d_e[e] * d_t[w])) / math.log2(len(rows) / d_e[e]) for (e, w), n in d_et.items() if n >= pii.SUPPORT}
+                  if not any(a < e and s < b for s, _, e in spans)]
+    first = {t: i for i, t in reversed(texts.items())}.values()
+    d_e = Counter(e for i in first for e in held[i])
+    d_t = Counter(w for i in first for w in {w for w, _, _ in own[i]})
+    d_et = Counter((e, w) for i in first for e in held[i] for w in {w for w, _, _ in own[i]})
+    share = {(e, w): math.log2(len(first) * n / (d_e[e] * d_t[w])) / math.log2(len(first) / d_e[e]) for (e, w), n in d_et.items() if n >= pii.SUPPORT}
     for i, r in found.items():
         wanted = [(a, b, max(share.get((e, w), 0) for e in held[i])) for w, a, b in own[i] if held[i]]
         wanted = [(a, b, round(s, 9)) for a, b, s in wanted if s >= pii.GENERALISE]
         assert [(t.start, t.stop, round(t.share, 9)) for t in r.terms] == wanted, i
     assert [texts[0][t.start:t.stop] for t in found[0].terms] == ["Zanzibarian", "zanzibarian"]
+    assert any(r.terms for i, r in found.items() if 10 <= i < 30) and not any(found[80 + i].terms for i in range(4))
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert "anzibarian" not in "".join(clean[i] for i in range(3)) and clean[50] == texts[50]
 
