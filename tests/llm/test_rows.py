@@ -139,7 +139,7 @@ def test_disclosing_terms_anywhere_in_the_document(spark, monkeypatch, sent, tim
     monkeypatch.setattr(pii, "HELD_TERMS", 50, raising=False)
     filler = " ".join(["common words here then"] * 40)
     rows = [(i, f"Zanzibarian report\n{filler} zanzibarian, {filler} mail jo@x.example.com or bo@y.example.com {i}") for i in range(3)]
-    rows += [(10 + i, f"{filler} other person{'s' * (i % 3)} mail someone{i % 15}@x.example.com {filler} (quux{'abc'[i % 3]}) li jd{i % 5}{' again' * (i > 7)}") for i in range(20)]
+    rows += [(10 + i, f"{filler} other person{'s' * (i % 3)} mail someone{i % 15}@x.example.com {filler} (quux{'abc'[i % 3]}) li jd{i % 15}{' again' * (i > 7)}") for i in range(20)]
     rows += [(50 + i, f"report {filler} no data at all or {i}") for i in range(20)] + [(70, ""), (71, None)]
     rows += [(80 + i, "only copies hold these words, mail copy@z.example.com") for i in range(4)]
     docs = spark.createDataFrame(rows * times, "doc_id long, text string").repartition(3)
