@@ -131,7 +131,8 @@ def mixture(docs: DataFrame, entropy: float | None = None, repeats: float | None
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **target) -> DataFrame:
-    """``docs`` as mixed: each row as often as it is taken."""
+    """``docs`` as mixed: each row as often as it is taken.  Rows with one id and
+    text share their passes: where the last pass takes one of them, all are."""
     picked = (mixture(docs, id_col=id_col, text_col=text_col, **target).groupBy("key", "pass").agg(F.count(F.lit(1)).alias("n"))
               .groupBy("key").agg(F.count(F.lit(1)).alias("_llm_times")).withColumnRenamed("key", "_llm_key"))
     return (docs.withColumn("_llm_key", row_key(id_col, text_col)).join(picked, "_llm_key").withColumn("_llm_pass", F.explode(F.sequence(F.lit(1), F.col("_llm_times"))))
@@ -143,7 +144,8 @@ ENTROPY, REPEATS = 0.97, 4.0
 
 
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture of all documents by source, with the tokens of the table as
-    its budget."""
+    """The mixture of all documents by source, with the least budget that reads
+    every document once; smaller sources are read again, so there are more rows
+    than documents."""
     docs = table(spark, sf_dir, "documents")
     return mixture(docs, entropy=ENTROPY, repeats=REPEATS).select("doc_id", "source", "pass", "tokens", "weight", "block", "place")

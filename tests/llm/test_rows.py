@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from splitcraft.llm import mixing, pii, quality, sharding
 
@@ -230,6 +231,37 @@ def test_mixture_is_a_budgeted_permutation(small):
     assert sorted(map(tuple, d.itertuples(index=False))) == sorted(map(tuple, again.itertuples(index=False)))
 
 
+@pytest.mark.parametrize("table, target", [("small", {"entropy": 0.99, "budget": 60000, "blocks": 8}), ("small", {"repeats": 2.0}),
+                                           ("small", {"budget": 900, "blocks": 4}), ("edge_docs", {"repeats": 3.0, "blocks": 2})])
+def test_mixture_row_by_row(request, spark, monkeypatch, table, target):
+    """Every row of the mixture from a plain loop: passes over a source in the
+    order of slice and hash, read until the goal, blocks by the place before."""
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 10)
+    docs, blocks = request.getfixturevalue(table), target.get("blocks", 64)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = [(r.key, r.doc_id, r.source or "", max(1, len(WORD.findall(r.t)))) for r in
+            docs.select(mixing.row_key().alias("key"), F.col("doc_id"), F.col("source"), text.alias("t")).collect()]
+    weighted, _ = mixing.weights(mixing.sources(spark.createDataFrame(rows, "key long, doc_id long, source string, tokens long")),
+                                 target.get("entropy"), target.get("repeats"), target.get("budget"))
+    goals = {r.source: (r.goal, r.weight) for r in weighted.collect()}
+    assert abs(sum(w for _, w in goals.values()) - 1) < 1e-9
+    hashes = {(r.key, r.p): (r.mixed, r.place) for r in spark.createDataFrame(rows, "key long, doc_id long, source string, tokens long")
+              .select("key", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("p")).withColumn("mixed", F.xxhash64("key", "p", F.lit(17)))
+              .withColumn("place", F.xxhash64("mixed", F.lit("block"))).collect()}
+    wanted = []
+    for source, (goal, weight) in goals.items():
+        own = [r for r in rows if r[2] == source]
+        slices, at, n = max(-(-len(own) // 10), mixing.SLICES), 0, 0
+        while at < goal:
+            for key, doc_id, _, tokens in sorted(own, key=lambda r: (hashes[r[0], n][0] % slices, hashes[r[0], n][0], r[0])):
+                if at < goal:
+                    wanted.append((str(key), str(doc_id), source, n, tokens, round(weight, 12), at * blocks // goal, hashes[key, n][1]))
+                at += tokens
+            n += 1
+    got = [(str(r.key), str(r.doc_id), r.source, r["pass"], r.tokens, round(r.weight, 12), r.block, r.place) for r in mixing.mixture(docs, **target).collect()]
+    assert sorted(got) == sorted(wanted)
+
+
 def test_mixing_on_edge_rows(edge_docs, no_docs):
     out = mixing.mix(edge_docs, repeats=2.0)
     assert out.columns == edge_docs.columns
