@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splitcraft.operators.sampling import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -116,8 +118,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     </s>; predicted = gold without <s>, minus its first token when
     o_orderkey % 7 = 0, plus one token when % 11 = 0, without </s> when
     % 13 = 0.  Every 17th example has no gold (has_gold false)."""
-    p = programs(spark, sf_dir)
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    p = spread(programs(spark, sf_dir), "example_id")  # token ids and scores are the work, not the scan
     ok = F.col("o_orderkey")
     p = p.withColumn("o_orderkey", F.split(F.col("example_id"), "-", 2).getItem(1).cast("long"))
     gold = F.concat(F.array(F.lit("<s>")), F.split(F.col("query"), " "), F.array(F.lit("</s>")))
