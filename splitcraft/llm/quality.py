@@ -3,14 +3,16 @@
 1. Each document's signals come from array functions on its own row; nothing is
    exploded or shuffled for them.
 2. Shares of those signals go into quantile sketches per language and source.  A
-   sketch is a histogram over log-linear bins (exact below 32, then 32 bins for
-   each power of two, so a quantile is at most 1/32 too low).  Sketches merge by
+   sketch is a histogram over log-linear bins (exact below 256, then 128 bins for
+   each power of two, so a quantile is at most 1/128 too low).  Sketches merge by
    adding counts, so each task sums its own rows first and the result does not
-   depend on the order.  A group of fewer than ``MIN_GROUP`` documents takes the
-   merged sketch of its language.
-3. A share fails where it lies beyond ``max(SPREAD * (q75 - q25), slack)`` above
-   the group's q75 (for the word length also that far below its q25).  A group
-   without outliers loses nothing.
+   depend on the order.  Documents that fail the base rule are not counted: what is
+   rejected anyway sets no cut-off.  A group with fewer than ``MIN_GROUP`` counted
+   documents takes the merged sketch of its language.
+3. A share fails where it lies beyond ``SPREAD * (q75 - q25)`` above the group's
+   q75 (for the word length also that far below its q25).  ``SHARES`` holds the least
+   such distance; it decides where a group has next to no spread, as where three
+   quarters of the documents hold no symbol.  A group without outliers loses nothing.
 4. The cut-offs are joined to the documents by language, source and a salt, so
    that a group with a third of all rows is dealt to many tasks.
 
@@ -30,12 +32,14 @@ SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
 #: The base rule: fewer words fail, and more repeated words in a hundred.
 MIN_WORDS, MAX_REPEATED = 20, 30
-#: Tukey's far fence, in spreads between the quartiles.
-SPREAD = 3
+#: The fence, in spreads between the quartiles.
+SPREAD = 8
 #: For each share (in thousandths of words, lines or characters; the word length
 #: in hundredths of a character) the least distance of a cut-off from its
 #: quartile, and whether low values fail as well.
-SHARES = {"symbols": (250, False), "dup_lines": (500, False), "upper": (300, False), "word_len": (250, True)}
+SHARES = {"symbols": (250, False), "dup_lines": (500, False), "upper": (10, False), "word_len": (10, True)}
+#: Bits of a value that its bin keeps.
+BIN_BITS = 8
 MIN_GROUP = 50
 SALTS = 32
 
@@ -92,14 +96,17 @@ def shares() -> dict[str, Column]:
 
 def bin_floor(v: Column) -> Column:
     """The least value in the bin of ``v`` (non-negative)."""
-    drop = F.greatest(F.length(F.bin(v)) - 6, F.lit(0))
+    drop = F.greatest(F.length(F.bin(v)) - BIN_BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", v, drop), drop)
 
 
 def sketch(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Sketches of every share by group: ``keys..., share, bin, n``."""
+    """Sketches of every share by group: ``keys..., share, bin, n``, with n the
+    documents that pass the base rule (0 keeps a group that has none)."""
     long = F.explode(F.array(*[F.struct(F.lit(k).alias("share"), bin_floor(c).alias("bin")) for k, c in shares().items()]))
-    return rows.select(*keys, long.alias("_s")).select(*keys, "_s.share", "_s.bin").groupBy(*keys, "share", "bin").agg(F.count(F.lit(1)).alias("n"))
+    counted = F.when(base_failed(), 0).otherwise(1).alias("_c")
+    return rows.select(*keys, counted, long.alias("_s")).select(*keys, "_c", "_s.share", "_s.bin").groupBy(*keys, "share", "bin").agg(
+        F.sum("_c").alias("n"))
 
 
 def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
@@ -176,10 +183,11 @@ def _oracle() -> str:
              "dup_lines": "CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END",
              "upper": "CASE WHEN word_chars > 0 THEN 1000 * n_upper // word_chars ELSE 0 END",
              "word_len": "CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END"}
-    low_bits = "greatest(length(bin({0})) - 6, 0)"
+    low_bits = f"greatest(length(bin({{0}})) - {BIN_BITS}, 0)"
     shares_sql = ", ".join(f"CAST({sql} AS BIGINT) AS {name}" for name, sql in share.items())
     bins = ", ".join(f"({name} >> {low_bits.format(name)}) << {low_bits.format(name)} AS b_{name}" for name in share)
-    quart = ", ".join(f"list_sort(list(b_{name}))[CAST(ceil({q} * count(*) / 4.0) AS BIGINT)] AS {name}_{q}" for name in share for q in (1, 3))
+    good = "FILTER (WHERE NOT base_failed)"
+    quart = ", ".join(f"list_sort(list(b_{name}) {good})[CAST(ceil({q} * count(*) {good} / 4.0) AS BIGINT)] AS {name}_{q}" for name in share for q in (1, 3))
     pick = ", ".join(f"CASE WHEN f.n < {MIN_GROUP} THEN l.{name}_{q} ELSE f.{name}_{q} END AS {name}_{q}" for name in share for q in (1, 3))
     bad = []
     for name, (slack, low) in SHARES.items():
@@ -204,14 +212,13 @@ s AS (
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
          len(lines) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper
   FROM w LEFT JOIN cov USING (r)),
-p AS (SELECT *, {shares_sql} FROM s),
+p AS (SELECT *, {shares_sql}, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AS base_failed FROM s),
 b AS (SELECT *, {bins} FROM p),
-fine AS (SELECT lang, source, count(*) AS n, {quart} FROM b GROUP BY lang, source),
+fine AS (SELECT lang, source, count(*) {good} AS n, {quart} FROM b GROUP BY lang, source),
 wide AS (SELECT lang, {quart} FROM b GROUP BY lang),
 cut AS (SELECT f.lang, f.source, {pick} FROM fine f JOIN wide l ON l.lang = f.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AS base_failed,
-       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words OR {' OR '.join(bad)}) AS kept
+       base_failed, NOT (base_failed OR {' OR '.join(bad)}) AS kept
 FROM p JOIN cut USING (lang, source)
 """
 

@@ -24,7 +24,7 @@ def signals(t):
 
 
 def floor_bin(v):
-    drop = max(v.bit_length() - 6, 0)
+    drop = max(v.bit_length() - 8, 0)
     return v >> drop << drop
 
 
@@ -41,17 +41,19 @@ def verdicts(rows):
         return values[math.ceil(q * len(values) / 4) - 1]
 
     fine, wide = {}, {}
-    for i, (_, lang, source) in enumerate(rows):
-        fine.setdefault((lang or "", source or ""), []).append(i)
-        wide.setdefault(lang or "", []).append(i)
+    for i, (t, lang, source) in enumerate(rows):
+        n, _, _, _, rep, _, _ = signals(t)
+        if not (n < 20 or 100 * rep > 30 * n):
+            fine.setdefault((lang or "", source or ""), []).append(i)
+            wide.setdefault(lang or "", []).append(i)
     out = []
     for i, (t, lang, source) in enumerate(rows):
         n, chars, sym, dup, rep, _, _ = signals(t)
         base = n < 20 or 100 * rep > 30 * n
         bad = base
-        group = fine[lang or "", source or ""]
-        group = wide[lang or ""] if len(group) < quality.MIN_GROUP else group
-        for share, (slack, low) in quality.SHARES.items():
+        group = fine.get((lang or "", source or ""), [])
+        group = wide.get(lang or "", []) if len(group) < quality.MIN_GROUP else group
+        for share, (slack, low) in quality.SHARES.items() if group else ():
             a, b = quartile(group, share, 1), quartile(group, share, 3)
             far = max(quality.SPREAD * (b - a), slack)
             bad = bad or shares[i][share] > b + far or (low and shares[i][share] < a - far)
@@ -81,6 +83,18 @@ def test_quality_groups_have_their_own_cutoffs(spark):
     assert [i for i, k in got.items() if not k] == [200]
 
 
+def test_quality_cutoffs_follow_the_spread(spark):
+    """One word length is far out in a uniform source and usual in a mixed one;
+    documents that fail the base rule move no cut-off."""
+    def text(i, size):
+        return " ".join(f"{k:0{size}d}" for k in range(i * 40, i * 40 + 40))
+    rows = [(i, text(i, 5 + i % 2), "en", "even") for i in range(80)] + [(100 + i, text(i, 4 + i % 9), "en", "mixed") for i in range(80)]
+    rows += [(300, text(300, 20), "en", "even"), (301, text(301, 20), "en", "mixed")]
+    rows += [(400 + i, "x" * 30 + f" {i}", "en", "even") for i in range(200)]
+    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [i for i, k in got.items() if not k and i < 400] == [300] and not any(k for i, k in got.items() if i >= 400)
+
+
 def test_sketches_merge(spark, small):
     rows = quality.with_signals(small).select("lang", "source", "_signals.*")
     one = quality.sketch(rows, ["lang"])
