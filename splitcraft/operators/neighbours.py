@@ -18,10 +18,13 @@ compares the few remaining anchors with all templates).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import whitespace_tokens
+from ..session import materialize
 from ..sources.shards import row_index
 
 CODE_BASE, SURROGATES, SURROGATES_END, CODE_END = 0x4E00, 0xD800, 0xE000, 0x110000
@@ -79,12 +82,8 @@ Q_GRAM = 2
 PAD_L, PAD_R = "\u3000", "\u3001"   # outside the token code range
 
 
-def _prefix_grams(e: DataFrame, col: str, d: int) -> DataFrame:
-    """(template, g): the q*d + 1 globally rarest numbered q-grams of each
-    encoded template (whole set when shorter).  Two templates within token
-    edit distance d share at least max(|G|) - q*d q-grams (each edit breaks
-    at most q), so, when that bound is positive, their prefixes in one
-    global order share a gram (prefix filtering)."""
+def _numbered_grams(e: DataFrame, col: str) -> DataFrame:
+    """(template, g): the numbered q-grams of each encoded template."""
     q = Q_GRAM
     padded = F.concat(F.lit(PAD_L * (q - 1)), F.col("enc"), F.lit(PAD_R * (q - 1)))
     ng = F.length(padded) - q + 1
@@ -92,23 +91,32 @@ def _prefix_grams(e: DataFrame, col: str, d: int) -> DataFrame:
                                                    lambda i: F.substring(padded, i, q))).alias("pos", "gram"))
     # number repeated grams so multiset overlap becomes set overlap
     w = Window.partitionBy(col, "gram").orderBy("pos")
-    grams = grams.withColumn("g", F.concat_ws("#", "gram", F.row_number().over(w).cast("string")))
-    freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("_df"))
+    return grams.select(col, F.concat_ws("#", "gram", F.row_number().over(w).cast("string")).alias("g"))
+
+
+def _prefix_grams(grams: DataFrame, freq: DataFrame, col: str, d: int) -> DataFrame:
+    """(template, g): the q*d + 1 rarest grams of each template by ``freq``
+    (whole set when shorter).  Two templates within token edit distance d
+    share at least max(|G|) - q*d q-grams (each edit breaks at most q), so,
+    when that bound is positive, their prefixes share a gram (prefix
+    filtering).  That holds only if both sides are ordered by the same ``freq``."""
     wp = Window.partitionBy(col).orderBy("_df", "g")
     return (grams.join(freq, "g").withColumn("_r", F.row_number().over(wp))
-                 .where(F.col("_r") <= q * d + 1).select(col, "g"))
+                 .where(F.col("_r") <= Q_GRAM * d + 1).select(col, "g"))
 
 
 def _threshold_pairs(anchors: DataFrame, targets: DataFrame, col: str, d: int) -> DataFrame:
     """(t1, t2, dist) for anchor t1 and target t2 != t1 with token edit
-    distance <= d, exact.  Candidates share a prefix gram (equi-join on the
+    distance <= d, exact; every anchor is a target too.  Candidates share a prefix gram (equi-join on the
     gram); anchors too short for the count bound (|G| <= q*d) use the
     length band instead.  Distances verified with ``levenshtein(a, b, d)``."""
     q = Q_GRAM
     long_a = anchors.where(F.col("ntok") + q - 1 > q * d)
     short_a = anchors.where(F.col("ntok") + q - 1 <= q * d)
-    pa = _prefix_grams(long_a, col, d).select(F.col(col).alias("t1"), "g")
-    pb = _prefix_grams(targets, col, d).select(F.col(col).alias("t2"), "g")
+    grams = _numbered_grams(targets, col)
+    freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("_df"))
+    pa = _prefix_grams(_numbered_grams(long_a, col), freq, col, d).select(F.col(col).alias("t1"), "g")
+    pb = _prefix_grams(grams, freq, col, d).select(F.col(col).alias("t2"), "g")
     cand = pa.join(pb, "g").where(F.col("t1") != F.col("t2")).select("t1", "t2").distinct()
     ea = long_a.select(F.col(col).alias("t1"), F.col("enc").alias("e1"), F.col("ntok").alias("n1"))
     eb = targets.select(F.col(col).alias("t2"), F.col("enc").alias("e2"), F.col("ntok").alias("n2"))
@@ -124,16 +132,49 @@ def template_pairs(df: DataFrame, col: str, max_dist: int) -> DataFrame:
     """(t1, t2, dist) for distinct templates t1 != t2 within token edit
     distance ``max_dist`` (both orders), without comparing all pairs."""
     codes = token_codes(df, [col])
-    e = encode(df, col, codes).persist()
+    e = materialize(encode(df, col, codes))
     return _threshold_pairs(e, e, col, max_dist)
 
 
+def kept_template_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(t1, t2, dist) of the kept table at ``path``: the pairs of all runs that
+    were finished (a run's templates are written last)."""
+    done = spark.read.parquet(f"{path}/templates").select("run").distinct()
+    return spark.read.parquet(f"{path}/pairs").join(F.broadcast(done), "run", "left_semi").select("t1", "t2", "dist")  # one row a run
+
+
+def update_template_pairs(df: DataFrame, col: str, max_dist: int, path: str) -> None:
+    """Bring the kept table of pairs within ``max_dist`` at ``path`` (a shared
+    folder, one for each ``max_dist``) up to the templates of ``df``: only new
+    templates meet the others, pairs of kept ones are not computed again.
+
+    A run appends its pairs, then its templates; one that was cut off between
+    leaves pairs that no reader sees, and is done again by the next."""
+    spark = df.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    kept = fs_path(f"{path}/templates")
+    mine = df.select(col).where(F.col(col).isNotNull()).distinct()
+    old = None
+    if kept.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(kept):
+        old = spark.read.parquet(f"{path}/templates").select(col)
+    new = materialize(mine if old is None else mine.join(old, col, "left_anti"))
+    every = new if old is None else new.unionByName(old)
+    e = materialize(encode(every, col, token_codes(every, [col])))
+    found = _threshold_pairs(e.join(new, col, "left_semi"), e, col, max_dist)
+    if old is not None:  # a kept template meets a new one: the same pair the other way round
+        found = materialize(found)
+        back = found.join(old.select(F.col(col).alias("t2")), "t2", "left_semi")
+        found = found.unionByName(back.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "dist"))
+    run = F.lit(uuid.uuid4().hex).alias("run")
+    found.select("t1", "t2", "dist", run).write.mode("append").parquet(f"{path}/pairs")
+    new.select(col, run).write.mode("append").parquet(f"{path}/templates")
+
+
 def nearest_templates(df: DataFrame, col: str, k: int, anchors: DataFrame | None = None,
                       start_gap: int = 2) -> DataFrame:
     """Exact k nearest other templates of each anchor template (default:
     every distinct template), ties broken by template text:
     (t1, t2, dist, rank)."""
-    from ..session import materialize
     codes = token_codes(df, [col])
     e = materialize(encode(df, col, codes))
     todo = e if anchors is None else e.join(anchors.select(col).distinct(), col, "left_semi")
