@@ -9,13 +9,16 @@ for all splits at once, keyed by the split columns:
   removal       a dev row is dropped when `` strip(tok) `` occurs in its
                 program for some missing tok of its split
 
-The substring test ``' ' + tok + ' ' in program`` is an equi-join: with the
-program split on single spaces into e_0..e_k, it holds exactly when the
-space-split words of tok equal a run of interior elements (first element
-index >= 1, last <= k-1).  Tokens hold at most two spaces (only the
-``org.schema.`` dots can match one), so runs of 1-3 words cover every case.
-The join is hash-partitioned on (split, token); AQE broadcasts the missing
-side when its measured size is small and splits skewed partitions.
+The missing tokens of a group are few against its rows.  They are written and
+measured; up to a stated number each group's tokens travel as one array to the
+rows, which are tested where they lie: with the program split on single spaces
+into e_0..e_k, `` tok `` occurs in it exactly when tok is one of e_1..e_(k-1).  No
+word is exploded or shuffled.  Tokens with inner spaces (only the ``org.schema.``
+dots can match one) are looked for as strings.
+
+Beyond that number the test is an equi-join on (group, run of interior words);
+tokens hold at most two spaces, so runs of 1-3 words cover every case.  AQE splits
+skewed partitions.
 """
 from __future__ import annotations
 
@@ -24,8 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import program_vocab
+from ..session import materialize
+from .joins import BROADCAST_CHARS, BROADCAST_ROWS
 
 MAX_TOKEN_WORDS = 3
+#: Missing tokens of one group up to which its rows are tested in place.
+IN_PLACE_TOKENS = 1000
 
 
 def _strip(c):
@@ -68,17 +75,37 @@ def interior_runs(program, max_words: int = MAX_TOKEN_WORDS) -> F.Column:
     return F.array_distinct(F.concat(*runs))
 
 
-def rows_with_tokens(df: DataFrame, tokens: DataFrame, group_cols: list[str], id_col: str,
-                     program_col: str) -> DataFrame:
-    """(group..., id) of rows whose program contains `` strip(tok) `` for a
-    token of the same group."""
-    toks = tokens.select(*group_cols, _strip(F.col("tok")).alias("_run")).distinct().persist()
-    # runs of several words are needed only for tokens with inner spaces
-    # (a tiny check on the missing-token table)
-    spaced = toks.where(F.instr(F.col("_run"), " ") > 0).limit(1).count() > 0
-    runs = df.select(*group_cols, id_col,
-                     F.explode(interior_runs(F.col(program_col), MAX_TOKEN_WORDS if spaced else 1)).alias("_run"))
-    return runs.join(toks, group_cols + ["_run"], "left_semi").select(*group_cols, id_col).distinct()
+def rows_without_tokens(df: DataFrame, tokens: DataFrame, group_cols: list[str], id_col: str, program_col: str,
+                        vocab_col: str | None = None) -> DataFrame:
+    """Rows of ``df`` that hold no token of their group (``tokens``: group...,
+    tok): `` strip(tok) `` doesn't occur in the program or, with ``vocab_col``, tok
+    is no member of that array.  Rows of a null group, a null program or a null
+    array stay.  Each row is judged on its own, also where ids repeat."""
+    run = F.col("tok") if vocab_col else _strip(F.col("tok"))
+    toks = materialize(tokens.select(*group_cols, run.alias("_run")).distinct())
+    most, n, chars = (toks.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("c"), F.sum(F.length("_run")).alias("s"))
+                      .agg(F.max("c"), F.sum("c"), F.sum("s")).first())
+    if not n:
+        return df
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    spaced = F.instr(F.col("_run"), " ") > 0
+    if most <= IN_PLACE_TOKENS and n <= BROADCAST_ROWS and chars <= BROADCAST_CHARS:
+        one = F.lit(True) if vocab_col else ~spaced
+        lists = toks.groupBy(*group_cols).agg(F.collect_list(F.when(one, F.col("_run"))).alias("_one"),
+                                              F.collect_list(F.when(~one, F.col("_run"))).alias("_many"))
+        words = F.split(program_col, " ", -1)
+        inner = F.col(vocab_col) if vocab_col else F.when(F.size(words) >= 3, F.slice(words, 2, F.size(words) - 2))
+        hit = (F.coalesce(F.arrays_overlap(inner, "_one"), F.lit(False))
+               | F.coalesce(F.exists("_many", lambda t: F.instr(F.col(program_col), F.concat(F.lit(" "), t, F.lit(" "))) > 0), F.lit(False)))
+        return df.join(F.broadcast(lists), group_cols, "left").where(~hit).select(*columns)
+    keyed = df.withColumn("_row", F.xxhash64(id_col, program_col))
+    if vocab_col:
+        held = F.col(vocab_col)
+    else:  # runs of several words are needed only for tokens with inner spaces
+        held = interior_runs(F.col(program_col), MAX_TOKEN_WORDS if toks.where(spaced).limit(1).count() else 1)
+    runs = keyed.select(*group_cols, "_row", F.explode(held).alias("_run"))
+    bad = runs.join(toks, group_cols + ["_run"], "left_semi").select(*group_cols, "_row").distinct()
+    return keyed.join(bad, group_cols + ["_row"], "left_anti").select(*columns)
 
 
 def remove_by_token(df: DataFrame, token: str, program_col: str, id_col: str) -> DataFrame:
@@ -89,20 +116,25 @@ def remove_by_token(df: DataFrame, token: str, program_col: str, id_col: str) ->
 
 def drop_uncovered(eval_rows: DataFrame, train_vocab: DataFrame, group_cols: list[str],
                    join_cols: list[str], id_col: str, program_col: str,
-                   vocab_col: str = "vocab") -> DataFrame:
+                   vocab_col: str = "vocab", strict: bool = False) -> DataFrame:
     """Drop evaluation rows that contain `` strip(tok) `` for a token used by
-    their evaluation group but absent from ``train_vocab`` (join_cols..., tok)."""
+    their evaluation group but absent from ``train_vocab`` (join_cols..., tok);
+    with ``strict`` those whose own vocabulary holds such a token."""
     missing = vocab_table(eval_rows, group_cols, vocab_col).join(train_vocab, join_cols + ["tok"], "left_anti")
-    bad = rows_with_tokens(eval_rows, missing, group_cols, id_col, program_col)
-    return eval_rows.join(bad, group_cols + [id_col], "left_anti")
+    return rows_without_tokens(eval_rows, missing, group_cols, id_col, program_col, vocab_col if strict else None)
 
 
 def validate_and_fix(labeled: DataFrame, group_cols: list[str], id_col: str, program_col: str,
                      label_col: str = "label", train_label: int = 1, eval_label: int = 2,
-                     vocab_col: str = "vocab") -> DataFrame:
+                     vocab_col: str = "vocab", strict: bool = False) -> DataFrame:
     """Drop evaluation rows (label == eval_label) that use a token unseen in
     the train rows (label == train_label) of their group.  Dropped rows leave
-    the output (they get no label); train rows pass unchanged."""
+    the output (they get no label); train rows pass unchanged.
+
+    By default a row goes if `` strip(tok) `` occurs in its program, so a member
+    that begins with a bracket, or an enum, which no blanks need to surround, can
+    stay.  With ``strict`` a row goes if its own vocabulary holds the token: what
+    the evaluation rows use is then part of what the train rows use."""
     if vocab_col not in labeled.columns:
         labeled = with_vocab(labeled, program_col, vocab_col)
     # samples are bounded by the requested sizes; keep them for the branches below
@@ -110,7 +142,7 @@ def validate_and_fix(labeled: DataFrame, group_cols: list[str], id_col: str, pro
     train = labeled.where(F.col(label_col) == train_label)
     dev = labeled.where(F.col(label_col) == eval_label)
     kept = drop_uncovered(dev, vocab_table(train, group_cols, vocab_col), group_cols, group_cols,
-                          id_col, program_col, vocab_col)
+                          id_col, program_col, vocab_col, strict)
     return train.unionByName(kept)
 
 

@@ -142,6 +142,42 @@ def test_validate_and_fix_spaced_and_plain_tokens(spark):
     assert kept == {"t1", "d3", "d4"}
 
 
+def test_coverage_in_place_equals_the_join(spark, monkeypatch):
+    """Both ways against a loop: plain, spaced and strict; null groups and programs, repeated ids."""
+    import random
+
+    from splitcraft.operators import coverage as C
+
+    rng = random.Random(2)
+    parts = ["@org.schema.Hotel.Hotel", "@org schema Hotel.Hotel", "param:a", "param:b", "(param:c", "param:d:X", "enum:q", "tt:x", "not", "count", "x", ""]
+    rows = [(rng.choice(["g", "h", None]), f"e{rng.randint(0, 200)}", rng.choice(["(", ""]) + " ".join(rng.choice(parts) for _ in range(rng.randint(0, 7))) + " )",
+             1 if rng.random() < 0.1 else 2) for _ in range(400)] + [("g", "n", None, 2), ("g", None, "param:zz now param:zz )", 2)]
+    df = C.with_vocab(spark.createDataFrame(rows, "g string, id string, query string, label int"), "query").cache()
+    seen = [tuple(r) for r in df.select("g", "id", "query", "label", "vocab").collect()]
+    for strict in (False, True):
+        want = []
+        for g, i, q, label, vocab in seen:
+            train = {t for x in seen if x[0] == g and x[3] == 1 and g is not None for t in x[4] or []}
+            missing = {t for x in seen if x[0] == g and x[3] == 2 and g is not None for t in x[4] or []} - train
+            gone = q is not None and any(t in vocab if strict else f" {t.strip()} " in q for t in missing)
+            if label == 1 or not gone:
+                want.append(repr((g, i, q, label)))
+        for limit in (1000, 0):
+            monkeypatch.setattr(C, "IN_PLACE_TOKENS", limit)
+            out = C.validate_and_fix(df, ["g"], "id", "query", strict=strict)
+            assert sorted(repr(tuple(r)) for r in out.select("g", "id", "query", "label").collect()) == sorted(want)
+        monkeypatch.undo()
+
+
+def test_coverage_in_place_moves_no_word(spark):
+    from splitcraft.operators import coverage as C
+
+    df = spark.createDataFrame([("g", "a", "now param:x )", 1), ("g", "b", "now param:y )", 2)], "g string, id string, query string, label int")
+    missing = spark.createDataFrame([("g", "param:y ")], "g string, tok string")
+    plan = C.rows_without_tokens(df, missing, ["g"], "id", "query")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "LeftAnti" not in plan
+
+
 def test_short_cut_is_redone_exactly(spark, monkeypatch):
     # a negative margin makes the cut keep too few rows: the redo path must
     # still return exactly the n smallest keys per group
