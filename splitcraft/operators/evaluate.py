@@ -76,11 +76,10 @@ def _strip_ids(c, exclude):
     return F.filter(c, lambda x: ~x.isin(*exclude)) if exclude else c
 
 
-def _make_overlap_udf(max_n: int, lcs: bool):
-    """Arrow function of gold and predicted ids that gives, per row, the lengths
-    and the clipped n-gram matches for n up to ``max_n``, and with ``lcs`` the
-    longest common subsequence.  Built from nested functions, so it is pickled
-    by value and Python workers need no import of this package."""
+def _make_lcs_udf():
+    """Arrow function of gold and predicted ids: the length of their longest common
+    subsequence.  Built from nested functions, so it is pickled by value and
+    Python workers need no import of this package."""
 
     def lcs_bits(a, b) -> int:
         # bit-parallel: one big-int step per element of a
@@ -96,39 +95,56 @@ def _make_overlap_udf(max_n: int, lcs: bool):
             v = ((v + u) | (v - u)) & full
         return len(b) - bin(v).count("1")
 
-    def matches(g, p, n) -> int:
-        counts = {}
-        for k in range(len(g) - n + 1):
-            gram = tuple(g[k:k + n])
-            counts[gram] = counts.get(gram, 0) + 1
-        hit = 0
-        for k in range(len(p) - n + 1):
-            gram = tuple(p[k:k + n])
-            if counts.get(gram, 0) > 0:
-                counts[gram] -= 1
-                hit += 1
-        return hit
-
-    def overlaps(gold, pred):
+    def lengths(gold, pred):
         import pandas as pd
 
-        rows = []
-        for g, p in zip(gold, pred):
-            g, p = ([] if x is None else list(x) for x in (g, p))
-            rows.append([len(g), len(p), lcs_bits(p, g) if lcs else 0, *(matches(g, p, n) for n in range(1, max_n + 1))])
-        return pd.DataFrame(rows, columns=["lg", "lp", "lcs", *(f"m{n}" for n in range(1, max_n + 1))], dtype="int64")
+        return pd.Series([lcs_bits(p, g) for g, p in zip(gold, pred)], dtype="int64")
 
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("lg", "lp", "lcs", *(f"m{n}" for n in range(1, max_n + 1)))])
-    return lcs_bits, F.pandas_udf(overlaps, schema)
+    return lcs_bits, F.pandas_udf(lengths, T.LongType())
 
 
-_lcs_bits, _ = _make_overlap_udf(1, True)
+_lcs_bits, _lcs_length = _make_lcs_udf()
+
+
+def _grams(units: str, n: int) -> F.Column:
+    """The n-grams of an array of strings none of which is the prefix of another,
+    each put together to one string."""
+    size = F.size(units)
+    starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(units, i, F.lit(n)), ""))
+
+
+def _told_apart(grams: str) -> F.Column:
+    """The same with repeated n-grams numbered, so that the intersection of two
+    such arrays has the size of the clipped match."""
+    def step(acc, x):
+        k = F.when(acc["last"] == x, acc["k"] + 1).otherwise(F.lit(0))
+        name = F.when(k == 0, x).otherwise(F.concat(F.lit("#"), k.cast("string"), F.lit("#"), x))
+        return F.struct(F.concat(acc["out"], F.array(name)).alias("out"), x.alias("last"), k.alias("k"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("last"), F.lit(0).alias("k"))
+    numbered = F.aggregate(F.sort_array(grams), start, step, lambda acc: acc["out"])
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.col(grams)).otherwise(numbered)
 
 
 def _overlaps(df: DataFrame, gold_col: str, pred_col: str, exclude, max_n: int, lcs: bool) -> DataFrame:
-    """One row of counts per row of ``df``, in one narrow pass."""
-    _, overlap = _make_overlap_udf(max_n, lcs)
-    return df.select(overlap(_strip_ids(F.col(gold_col), exclude), _strip_ids(F.col(pred_col), exclude)).alias("o")).select("o.*")
+    """Per row of ``df`` the lengths ``lg`` and ``lp``, the clipped n-gram matches
+    ``m1``... and with ``lcs`` the longest common subsequence, in one narrow pass.
+    Matches are native array functions; Python runs for the subsequence only."""
+    sides = df.select(_strip_ids(F.col(gold_col), exclude).alias("g"), _strip_ids(F.col(pred_col), exclude).alias("p"))
+    kinds = {f.name: f.dataType for f in sides.schema}
+    sides = sides.select(*[F.coalesce(F.col(c), F.array().cast(kinds[c])).alias(c) for c in "gp"])
+    # an id with its length in front; a null one equals a null one
+    unit = lambda x: F.coalesce(F.concat(F.length(x.cast("string")).cast("string"), F.lit(":"), x.cast("string")), F.lit("~"))
+    rows = sides.withColumns({f"u{c}": F.transform(c, unit) for c in "gp"})
+    found = [F.size("g").cast("long").alias("lg"), F.size("p").cast("long").alias("lp")]
+    ns = range(1, max_n + 1)
+    rows = rows.withColumns({f"{c}{n}": _grams(f"u{c}", n) for c in "gp" for n in ns})
+    rows = rows.withColumns({f"{c}{n}": _told_apart(f"{c}{n}") for c in "gp" for n in ns})
+    found += [F.size(F.array_intersect(f"g{n}", f"p{n}")).cast("long").alias(f"m{n}") for n in ns]
+    if lcs:
+        found.append(_lcs_length("g", "p").alias("lcs"))
+    return rows.select(*found)
 
 
 def bleu(df: DataFrame, gold_col: str, pred_col: str, id_col: str | None = None, exclude=(), max_n: int = 4) -> DataFrame:
