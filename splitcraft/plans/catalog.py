@@ -335,6 +335,15 @@ def q_validate_and_fix(spark, sf_dir):
     return C.validate_and_fix(lab, VF_GROUP, "example_id", "query").select(*VF_GROUP, "example_id", "label")
 
 
+@register("validate_and_fix_strict", Q.with_programs(*_vf_sql_ctes(),
+          "bad AS (SELECT v.example_id FROM voc v JOIN missing m USING (domain, tok) WHERE v.label = 2)") +
+          " SELECT domain, example_id, label FROM lab WHERE example_id NOT IN (SELECT example_id FROM bad)")
+def q_validate_and_fix_strict(spark, sf_dir):
+    """Every evaluation row goes whose own vocabulary has a member unseen in train."""
+    lab = _vf_labeled(spark, sf_dir)
+    return C.validate_and_fix(lab, VF_GROUP, "example_id", "query", strict=True).select(*VF_GROUP, "example_id", "label")
+
+
 @register("split_coverage", Q.with_programs(*_vf_sql_ctes()) +
           " SELECT domain, tok, CASE WHEN tok IN (" + ", ".join(Q.sql_str(o) for o in V.OPERATORS) +
           ") THEN 'operator' ELSE 'property' END AS kind FROM missing")
@@ -874,23 +883,35 @@ from ..sources import shards as SHD  # noqa: E402
 
 SHARDS = 4
 SHARD_SQL = ("s AS (SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) % 4 AS INTEGER) AS shard, "
-             "(row_number() OVER (ORDER BY doc_id) - 1) // 4 AS shard_pos FROM documents)")
+             "(row_number() OVER (ORDER BY doc_id) - 1) // 4 AS shard_pos, text FROM documents)")
 
 
-@register("shard_round_robin", "WITH " + SHARD_SQL + " SELECT doc_id, shard, shard_pos FROM s")
+@register("shard_round_robin", "WITH " + SHARD_SQL + " SELECT doc_id, shard, shard_pos, text FROM s")
 def q_shard_round_robin(spark, sf_dir):
     """Documents in doc_id order dealt round-robin to 4 shards."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    return SHD.shard_round_robin(d, ["doc_id"], SHARDS).select("doc_id", "shard", "shard_pos")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return SHD.shard_round_robin(d, ["doc_id"], SHARDS).select("doc_id", "shard", "shard_pos", "text")
 
 
 @register("merge_shards", "WITH " + SHARD_SQL +
-          " SELECT doc_id, row_number() OVER (ORDER BY shard_pos // 2, shard, shard_pos) - 1 AS merged_pos FROM s")
+          " SELECT doc_id, row_number() OVER (ORDER BY shard_pos // 2, shard, shard_pos) - 1 AS merged_pos, text FROM s")
 def q_merge_shards(spark, sf_dir):
     """The 4 shards interleaved back two lines at a time."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     sh = SHD.shard_round_robin(d, ["doc_id"], SHARDS)
-    return SHD.merge_shards(sh, 2).select("doc_id", "merged_pos")
+    return SHD.merge_shards(sh, 2).select("doc_id", "merged_pos", "text")
+
+
+@register("shard_files", "WITH " + SHARD_SQL +
+          " SELECT doc_id, text, shard, shard_pos, row_number() OVER (ORDER BY shard_pos // 2, shard, shard_pos) - 1 AS merged_pos FROM s")
+def q_shard_files(spark, sf_dir):
+    """Documents as lines of JSON, dealt in doc_id order to the files of 4 named
+    shards, read back and interleaved two lines at a time."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    lines = _round_trip(spark, lambda path: SHD.write_shard_files(d, ["doc_id"], "value", path, SHARDS),
+                        lambda path: SHD.read_shard_files(spark, path, SHARDS, 2))
+    return lines.select(F.from_json("value", "doc_id long, text string").alias("d"), "shard", "shard_pos", "merged_pos").select(
+        "d.*", "shard", "shard_pos", "merged_pos")
 
 
 @register("read_raw_pairs",
@@ -1016,6 +1037,21 @@ def q_template_pairs(spark, sf_dir):
     return NB.template_pairs(leveled_pool(spark, sf_dir), "template", PAIR_GAP)
 
 
+@register("template_pairs_kept", Q.with_programs(*POOL_CTES, Q.LEVELED, *_enc_sql(["template"])) +
+          f" SELECT a.t AS t1, b.t AS t2, {DIST_SQL} AS dist FROM enc a JOIN enc b "
+          f"ON a.t <> b.t WHERE levenshtein(a.enc, b.enc) <= {PAIR_GAP}")
+def q_template_pairs_kept(spark, sf_dir):
+    """The same pairs from a kept table: a first run over the templates of some
+    shapes, then one over all, which computes only what is new."""
+    pool = leveled_pool(spark, sf_dir)
+
+    def runs(path):
+        NB.update_template_pairs(pool.where("shape < 3"), "template", PAIR_GAP, path)
+        NB.update_template_pairs(pool, "template", PAIR_GAP, path)
+
+    return _round_trip(spark, runs, lambda path: NB.kept_template_pairs(spark, path))
+
+
 @register("nearest_templates", Q.with_programs(*POOL_CTES, Q.LEVELED, *_enc_sql(["template"])) +
           f" SELECT t1, t2, dist, rank FROM (SELECT a.t AS t1, b.t AS t2, {DIST_SQL} AS dist, "
           f"CAST(row_number() OVER (PARTITION BY a.t ORDER BY {DIST_SQL}, b.t) AS INTEGER) AS rank "

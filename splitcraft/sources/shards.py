@@ -75,6 +75,48 @@ def shard_path(path: str, k: int) -> str:
     return path + f"_part{k + 1}"
 
 
+def write_shard_files(lines: DataFrame, order_cols: list[str], line_col: str, path: str, num_shards: int) -> list[str]:
+    """Deal the text lines of ``line_col`` round-robin, in ``order_cols`` order, to
+    ``num_shards`` named shards (``shard_path``) and return their paths.
+
+    All shards are written in one pass: rows are dealt by ranges of (shard,
+    place) and sorted, so the files of a shard hold its lines in the order of
+    their names, however many tasks write it.  The finished folders then get
+    their names, one rename a shard.  A line must hold no line break (as JSON lines
+    don't); a null one is an empty line.  An existing shard is not overwritten."""
+    spark = lines.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    names = [shard_path(path, k) for k in range(num_shards)]
+    work = fs_path(path.rstrip("/") + "_writing")
+    fs = work.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in [*names, work.toString()]:
+        if fs.exists(fs_path(name)):
+            raise FileExistsError(name)
+    rows = lines.select(*[F.col(f"`{c}`") for c in order_cols], F.coalesce(F.col(line_col), F.lit("")).alias("_line"))
+    sharded = shard_round_robin(rows, order_cols, num_shards).select(F.col("_line").alias("value"), "shard", "shard_pos")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    (sharded.repartitionByRange(n, "shard", "shard_pos").sortWithinPartitions("shard", "shard_pos").drop("shard_pos")
+     .write.partitionBy("shard").text(work.toString()))
+    for k, name in enumerate(names):
+        part = fs_path(work, f"shard={k}")
+        # fewer lines than shards: the others are empty
+        done = fs.rename(part, fs_path(name)) if fs.exists(part) else fs.mkdirs(fs_path(name))
+        if not done:
+            raise OSError(f"{part.toString()} can't be renamed to {name}")
+    fs.delete(work, True)
+    return names
+
+
+def read_shard_files(spark: SparkSession, path: str, num_shards: int, group: int = 1) -> DataFrame:
+    """``value, shard, shard_pos, merged_pos`` of the shards of ``path``: the lines
+    with their places in their shards (``read_numbered``), interleaved ``group`` lines at a time."""
+    rows = None
+    for k in range(num_shards):
+        part = read_numbered(spark.read.text, shard_path(path, k), "shard_pos").withColumn("shard", F.lit(k))
+        rows = part if rows is None else rows.unionByName(part)
+    return merge_shards(rows, group).select("value", "shard", "shard_pos", "merged_pos")
+
+
 def write_shards(sharded: DataFrame, path: str, shard_col: str = "shard", fmt: str = "parquet") -> None:
     """One folder per shard in a single pass (``partitionBy``)."""
     sharded.write.mode("overwrite").partitionBy(shard_col).format(fmt).save(path)

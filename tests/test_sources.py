@@ -64,3 +64,36 @@ def test_first_wins(spark):
     df = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b")], "n long, k string")
     got = sorted(tuple(r) for r in SH.first_wins(df, ["k"], ["n"]).collect())
     assert got == [("a", 1), ("b", 2)]
+
+
+def test_shard_files_keep_line_order(spark, tmp_dir):
+    lines = [f"line {i} \t\"x\" \u2028 é" for i in range(101)]
+    df = spark.createDataFrame(list(enumerate(lines)) + [(101, None)], "i long, v string").repartition(5)
+    path = os.path.join(tmp_dir, "pool.tsv")
+    names = SH.write_shard_files(df, ["i"], "v", path, 4)
+    assert names == [f"{path}_part{k}" for k in (1, 2, 3, 4)] and sorted(os.listdir(tmp_dir)) == [f"pool.tsv_part{k}" for k in (1, 2, 3, 4)]
+    written = lines + [""]
+    for k, name in enumerate(names):
+        files = sorted(f for f in os.listdir(name) if f.startswith("part-"))
+        text = "".join(open(os.path.join(name, f), encoding="utf-8", newline="").read() for f in files)
+        assert text == "".join(x + "\n" for x in written[k::4])
+    back = SH.read_shard_files(spark, path, 4).orderBy("merged_pos").collect()
+    assert [r.value for r in back] == written and [r.merged_pos for r in back] == list(range(102))
+    two = [r.value for r in SH.read_shard_files(spark, path, 4, 2).orderBy("merged_pos").collect()]
+    rest, want = [written[k::4] for k in range(4)], []
+    while any(rest):
+        for r in rest:
+            want += r[:2]
+            del r[:2]
+    assert two == want
+    import pytest
+    with pytest.raises(FileExistsError):
+        SH.write_shard_files(df, ["i"], "v", path, 4)
+
+
+def test_shard_files_of_few_and_no_lines(spark, tmp_dir):
+    df = spark.createDataFrame([(0, "a"), (1, "b")], "i long, v string")
+    SH.write_shard_files(df, ["i"], "v", os.path.join(tmp_dir, "few"), 3)
+    assert [r.value for r in SH.read_shard_files(spark, os.path.join(tmp_dir, "few"), 3).orderBy("merged_pos").collect()] == ["a", "b"]
+    SH.write_shard_files(df.limit(0), ["i"], "v", os.path.join(tmp_dir, "none"), 2)
+    assert SH.read_shard_files(spark, os.path.join(tmp_dir, "none"), 2).count() == 0
