@@ -319,6 +319,9 @@ def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"base_sha256": [hashlib.sha256(written(b).encode()).hexdigest() for b in base],
                              "spans": [written(b) for b in both]})
 
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    def of_kind(k: int):  # a one-argument function: filter() would pass a span's index as the 2nd
+        return lambda s: s["kind"] == k
+
+    counts = [F.size(F.filter("spans", of_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     return found.select("doc_id", *counts, digests("spans", "terms").alias("_d")).select(
         "doc_id", *[f"n_{k}" for k in KINDS[:4]], "_d.base_sha256", "_d.spans")

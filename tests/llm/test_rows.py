@@ -193,6 +193,22 @@ def test_private_data_on_edge_rows(edge_docs, no_docs):
     assert pii.find_private(no_docs).count() == 0
 
 
+def test_private_data_query_counts_each_kind(spark, edge_docs, tmp_dir):
+    """Counts and digest of the registered query, whatever stands where in a text."""
+    parts = {"email": "a.b@x.example.com", "ip": "10.1.2.3", "card": "4111 1111 1111 1111", "phone": "+1 (743) 555-3824"}
+    orders = [("phone", "email"), ("card",), ("email", "email", "ip"), ("ip", "card", "phone", "email", "phone"), ("phone", "phone", "card", "card")]
+    rows = [(100 + i, " \u6f22\U0001f600; ".join(parts[k] for k in kinds)) for i, kinds in enumerate(orders)]
+    docs = edge_docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows * 2, "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_dir}/documents.parquet")
+    got = sorted((str(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.op2_private_data(spark, tmp_dir).collect())
+    wanted = []
+    for r in docs.collect():
+        spans = plain_spans(r.text or "")
+        digest = hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+        wanted.append((str(r.doc_id), *[sum(k == n for _, k, _ in spans) for n in range(4)], digest))
+    assert got == sorted(wanted)
+
+
 def mixed(docs, **target):
     return mixing.mixture(docs, **target).toPandas()
 
