@@ -7,6 +7,8 @@ trailing space or ``)`` (not for enums).  Members are not trimmed, so
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,10 +33,26 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_LEAD = r"(?:[\s(]{0,1})"
+
+
+def _ahead(pattern: str) -> str:
+    """The same pattern, which passes places where no member can begin by their
+    first sign."""
+    return rf"(?=[\s({pattern[len(_LEAD)]}]){pattern}" if pattern.startswith(_LEAD) else pattern
+
+
+def _sign(pattern: str) -> str:
+    """The letters every member of the family begins with (``tt:``, ``@org``...)."""
+    return re.match(r"@?[a-z]+:?", pattern.removeprefix(_LEAD))[0]
+
+
 def extract_properties(program) -> Column:
     """Distinct property members of one program (array<string>)."""
     p = _col(program)
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(p, F.lit(pat), 0) for pat in PROPERTY_PATTERNS]))
+    none = F.when(p.isNotNull(), F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[F.when(F.contains(p, F.lit(_sign(pat))), F.regexp_extract_all(p, F.lit(_ahead(pat)), 0)).otherwise(none)
+                                       for pat in PROPERTY_PATTERNS]))
 
 
 def has_operator(program, op: str) -> Column:
@@ -44,8 +62,7 @@ def has_operator(program, op: str) -> Column:
 def operators_present(program) -> Column:
     """Operators occurring as `` op `` in the program (array<string>)."""
     p = _col(program)
-    return F.filter(F.array(*[F.lit(o) for o in OPERATORS]),
-                    lambda o: F.instr(p, F.concat(F.lit(" "), o, F.lit(" "))) > 0)
+    return F.array_compact(F.array(*[F.when(F.contains(p, F.lit(f" {o} ")), F.lit(o)) for o in OPERATORS]))
 
 
 def program_vocab(program) -> Column:

@@ -45,7 +45,9 @@ def with_vocab(df: DataFrame, program_col: str, vocab_col: str = "vocab") -> Dat
 
 def vocab_table(rows: DataFrame, group_cols: list[str], vocab_col: str = "vocab") -> DataFrame:
     """Distinct (group..., tok) over the rows' vocabularies."""
-    return rows.select(*group_cols, F.explode(vocab_col).alias("tok")).distinct()
+    # a plain explode() makes Spark ask for the array's size and nullness first,
+    # which computes the vocabulary three times
+    return rows.select(*group_cols, F.explode_outer(vocab_col).alias("tok")).where(F.col("tok").isNotNull()).distinct()
 
 
 def missing_tokens(dev: DataFrame, train: DataFrame, group_cols: list[str],
@@ -103,7 +105,7 @@ def rows_without_tokens(df: DataFrame, tokens: DataFrame, group_cols: list[str],
         held = F.col(vocab_col)
     else:  # runs of several words are needed only for tokens with inner spaces
         held = interior_runs(F.col(program_col), MAX_TOKEN_WORDS if toks.where(spaced).limit(1).count() else 1)
-    runs = keyed.select(*group_cols, "_row", F.explode(held).alias("_run"))
+    runs = keyed.select(*group_cols, "_row", F.explode_outer(held).alias("_run")).where(F.col("_run").isNotNull())
     bad = runs.join(toks, group_cols + ["_run"], "left_semi").select(*group_cols, "_row").distinct()
     return keyed.join(bad, group_cols + ["_row"], "left_anti").select(*columns)
 
@@ -135,10 +137,11 @@ def validate_and_fix(labeled: DataFrame, group_cols: list[str], id_col: str, pro
     that begins with a bracket, or an enum, which no blanks need to surround, can
     stay.  With ``strict`` a row goes if its own vocabulary holds the token: what
     the evaluation rows use is then part of what the train rows use."""
+    # kept for the branches below, without the vocabulary, which is larger than the row
+    # and which each branch computes for its own rows
+    labeled = labeled.persist(StorageLevel.MEMORY_AND_DISK)
     if vocab_col not in labeled.columns:
         labeled = with_vocab(labeled, program_col, vocab_col)
-    # samples are bounded by the requested sizes; keep them for the branches below
-    labeled = labeled.persist(StorageLevel.MEMORY_AND_DISK)
     train = labeled.where(F.col(label_col) == train_label)
     dev = labeled.where(F.col(label_col) == eval_label)
     kept = drop_uncovered(dev, vocab_table(train, group_cols, vocab_col), group_cols, group_cols,

@@ -67,7 +67,7 @@ def _sample_and_label(pool: DataFrame, id_col: str, program_col: str, weight: F.
     labeled = train_dev_split(sample.drop("_key", "n"), ["split_name"], id_col, dev_share, seed,
                               largest=max(s["n"] for s in specs))
     if validate:
-        labeled = validate_and_fix(with_vocab(labeled, program_col), ["split_name"], id_col, program_col)
+        labeled = validate_and_fix(labeled, ["split_name"], id_col, program_col)
     return labeled.select("split_name", id_col, "label")
 
 
