@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import named_once
+
 PAD = "@@PADDING@@"
 
 
@@ -106,44 +108,57 @@ def _make_lcs_udf():
 _lcs_bits, _lcs_length = _make_lcs_udf()
 
 
-def _grams(units: str, n: int) -> F.Column:
+def _longer_grams(grams: str, units: str, n: int) -> F.Column:
     """The n-grams of an array of strings none of which is the prefix of another,
-    each put together to one string."""
-    size = F.size(units)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(units, i, F.lit(n)), ""))
+    each put together to one string, from its (n - 1)-grams."""
+    most = F.greatest(F.size(grams) - 1, F.lit(0))
+    return F.transform(F.slice(grams, F.lit(1), most), lambda x, i: F.concat(x, F.get(units, i + (n - 1))))
 
 
 def _told_apart(grams: str) -> F.Column:
     """The same with repeated n-grams numbered, so that the intersection of two
     such arrays has the size of the clipped match."""
-    def step(acc, x):
-        k = F.when(acc["last"] == x, acc["k"] + 1).otherwise(F.lit(0))
-        name = F.when(k == 0, x).otherwise(F.concat(F.lit("#"), k.cast("string"), F.lit("#"), x))
-        return F.struct(F.concat(acc["out"], F.array(name)).alias("out"), x.alias("last"), k.alias("k"))
+    def numbered(ordered):
+        def name(x, i):  # equal ones stand side by side: the distance to the first is the number
+            return F.concat(F.lit("#"), (i + 1 - F.array_position(ordered, x)).cast("string"), F.lit("#"), x)
+        return F.transform(ordered, name)
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("last"), F.lit(0).alias("k"))
-    numbered = F.aggregate(F.sort_array(grams), start, step, lambda acc: acc["out"])
-    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.col(grams)).otherwise(numbered)
+    alone = F.size(F.array_distinct(grams)) == F.size(grams)
+    return F.when(alone, F.transform(grams, lambda x: F.concat(F.lit("#0#"), x))).otherwise(named_once(F.sort_array(grams), numbered))
 
 
 def _overlaps(df: DataFrame, gold_col: str, pred_col: str, exclude, max_n: int, lcs: bool) -> DataFrame:
     """Per row of ``df`` the lengths ``lg`` and ``lp``, the clipped n-gram matches
     ``m1``... and with ``lcs`` the longest common subsequence, in one narrow pass.
-    Matches are native array functions; Python runs for the subsequence only."""
+    Matches are native array functions; Python runs for the subsequence only.
+    Where both sides are equal all n-grams match, and none is put together."""
     sides = df.select(_strip_ids(F.col(gold_col), exclude).alias("g"), _strip_ids(F.col(pred_col), exclude).alias("p"))
     kinds = {f.name: f.dataType for f in sides.schema}
     sides = sides.select(*[F.coalesce(F.col(c), F.array().cast(kinds[c])).alias(c) for c in "gp"])
-    # an id with its length in front; a null one equals a null one
-    unit = lambda x: F.coalesce(F.concat(F.length(x.cast("string")).cast("string"), F.lit(":"), x.cast("string")), F.lit("~"))
-    rows = sides.withColumns({f"u{c}": F.transform(c, unit) for c in "gp"})
+    whole = all(isinstance(k.elementType, T.IntegralType) for k in kinds.values())
+
+    def unit(x):
+        """A whole number with a comma, any other id with its length in front; a
+        null one equals a null one."""
+        x = x.cast("string")
+        return F.coalesce(F.concat(x, F.lit(",")) if whole else F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("~"))
+
+    rows = sides.withColumns({f"a{c}": F.transform(c, unit) for c in "gp"}).withColumn("same", F.col("ag") == F.col("ap"))
+    rows = rows.withColumns({f"u{c}": F.when(F.col("same"), F.array().cast("array<string>")).otherwise(F.col(f"a{c}")) for c in "gp"})
     found = [F.size("g").cast("long").alias("lg"), F.size("p").cast("long").alias("lp")]
     ns = range(1, max_n + 1)
-    rows = rows.withColumns({f"{c}{n}": _grams(f"u{c}", n) for c in "gp" for n in ns})
+    rows = rows.withColumns({f"{c}1": F.col(f"u{c}") for c in "gp"})
+    for n in ns[1:]:
+        rows = rows.withColumns({f"{c}{n}": _longer_grams(f"{c}{n - 1}", f"u{c}", n) for c in "gp"})
     rows = rows.withColumns({f"{c}{n}": _told_apart(f"{c}{n}") for c in "gp" for n in ns})
-    found += [F.size(F.array_intersect(f"g{n}", f"p{n}")).cast("long").alias(f"m{n}") for n in ns]
+    found += [F.when(F.col("same"), F.greatest(F.size("g") - (n - 1), F.lit(0))).otherwise(F.size(F.array_intersect(f"g{n}", f"p{n}")))
+              .cast("long").alias(f"m{n}") for n in ns]
     if lcs:
-        found.append(_lcs_length("g", "p").alias("lcs"))
+        # a null id (and a NaN) is part of no common subsequence
+        plain = all(isinstance(k.elementType, (T.IntegralType, T.StringType)) for k in kinds.values())
+        alike = F.col("same") & ~F.array_contains("ag", "~") if plain else F.lit(False)
+        differ = lambda c: F.when(alike, F.array().cast(kinds[c])).otherwise(F.col(c))
+        found.append(F.when(alike, F.size("g").cast("long")).otherwise(_lcs_length(differ("g"), differ("p"))).alias("lcs"))
     return rows.select(*found)
 
 
