@@ -184,16 +184,12 @@ def different_texts(texts: DataFrame, found: DataFrame) -> DataFrame:
     them from all others, so what is sent has a fixed size."""
     bit = F.pmod("text_key", F.lit(COPY_BITS)) + 1  # Spark's bitmap buckets count from 1
     copied = found.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = (copied.groupBy(F.bitmap_bucket_number(bit).alias("bucket"))
-             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect())
-    sent = texts.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in parts})
-
-    @F.pandas_udf("boolean")
-    def may_repeat(bucket: pd.Series, position: pd.Series) -> pd.Series:
-        maps = sent.value
-        return pd.Series([b in maps and bool(maps[b][p >> 3] >> (p & 7) & 1) for b, p in zip(bucket, position)], dtype=bool)
-
-    told = texts.select("text_key", "text", may_repeat(F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)).alias("several"))
+    maps = stored(copied.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")), "copies")
+    # the bit is read by Spark itself: no second Python worker beside the one that counts
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(place div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    told = (texts.select("text_key", "text", F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("place"))
+            .join(F.broadcast(maps), "bucket", "left")
+            .select("text_key", "text", F.coalesce(F.getbit(byte, F.col("place") % 8) == 1, F.lit(False)).alias("several")))
     several = told.where("several").dropDuplicates(["text_key"])
     return told.where("not several").unionByName(several).select("text")
 
